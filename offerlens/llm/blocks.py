@@ -39,14 +39,21 @@ def spread(data: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+#: Stands for a null id inside blocks.
+NO_ID = -(2**63)
+
+
 class Block:
-    """Some documents: ids, where each starts and ends in the bytes, and the bytes (UTF-8)."""
+    """Some documents in ascending order of id: ids, where each starts and ends in the bytes, and the bytes (UTF-8)."""
 
     def __init__(self, payload: bytes):
         self.ids, sizes, self.bytes = spread(payload, np.int64, np.int64, np.uint8)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
 
+    def doc_ids(self) -> list[int | None]:
+        return [None if i == NO_ID else i for i in self.ids.tolist()]
+
     def texts(self) -> Iterator[str]:
         raw = self.bytes.tobytes()
         for a, b in zip(self.starts, self.ends, strict=True):
@@ -64,7 +71,9 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
         task, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def block() -> pa.RecordBatch:
-            payload = squeeze(np.array(ids, np.int64), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            own = [texts[i] for i in order]
+            payload = squeeze(np.array([ids[i] for i in order], np.int64), np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8))
             return pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([payload], pa.binary())], ["block", "payload"])
 
         for batch in batches:
@@ -73,7 +82,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
                 if ids and size + len(t) > limit:
                     yield block()
                     seq, ids, texts, size = seq + 1, [], [], 0
-                ids.append(i)
+                ids.append(NO_ID if i is None else i)
                 texts.append(t)
                 size += len(t)
         if ids:

@@ -124,7 +124,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 bytes_of[w] = b"".join([piece[i] for i in own])
                 at, k = at + s, k + c
         rows = []
-        for doc, text in zip(b.ids.tolist(), b.texts(), strict=True):
+        for doc, text in zip(b.doc_ids(), b.texts(), strict=True):
             words = split(text)
             ids = ",".join([text_of[w] for w in words])
             decoded = b"".join([bytes_of[w] for w in words]).decode("utf-8", "replace").encode()
