@@ -1,10 +1,63 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline of five stages over `documents`, each on all that its predecessor kept.
+
+Language identification drops the documents it rejects, exact dedup and near-dedup keep one document of each group,
+suffix-array dedup takes repeated passages out of the texts, and packing deals the documents into batches.  Null texts
+have no language and are dropped by the first stage, as are texts without a letter.  Rows are matched by doc_id, which
+the table holds once; rows that repeat one keep or lose their place together.  Extra columns are carried along.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from offerlens.llm import exact, language, minhash, packing, repeats
+
+
+def kept_only(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is kept."""
+    ids = decided.where("kept").select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_kept_id"]), "left_semi")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.accepted(docs, language.fit(docs))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return kept_only(docs, exact.dedup(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return kept_only(docs, minhash.near_duplicates(docs))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeated_bytes(docs, with_text=True).select(F.col("doc_id").alias("_cut_id"), F.col("kept").alias("_cut_text"))
+    rest = docs.drop("text").withColumn("_cut_id", F.col("doc_id").cast("long"))
+    joined = rest.join(cut, rest["_cut_id"].eqNullSafe(cut["_cut_id"])).withColumn("text", F.col("_cut_text"))
+    return joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", identify_language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", pack)]
+
+#: The stages are a classifier, a banded similarity join and passage removal: SQL has no form for their rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's result is written as Parquet in the shared checkpoint folder and read again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+    return docs

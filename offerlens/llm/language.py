@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ CENTROIDS = 3
 REJECT_QUANTILE, REJECT_MARGIN = 0.001, 0.8
 
 NOT_LETTER = regex.compile(r"[^\p{L}]+")
+LETTER = regex.compile(r"\p{L}").search
 
 
 def counts(text: str) -> np.ndarray:
@@ -86,8 +88,17 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def judged(model: Model, text: str | None) -> tuple[str, float, bool]:
+    """Language, score and whether the text is rejected."""
+    if text is None or not model.langs or not LETTER(text):
+        return "und", 0.0, True
+    c = model.cosines(text)
+    i = int(c.argmax())
+    return model.langs[i], min(1.0, max(0.0, float(c[i]))), bool(c[i] < model.least[model.langs[i]])
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score, rejected, and the columns to carry.
+    """doc_id, lang_pred, score, rejected, and the columns to carry (not of those names).
 
     lang_pred is `und`, with score 0 and rejected true, for null texts and texts without a letter, or if the model
     learned nothing.  score is the cosine, 0 to 1.  Other texts always get the nearest language; rejected says that it
@@ -96,19 +107,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids of fixed size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, letter = held.value, regex.compile(r"\p{L}").search
         for frame in frames:
-            got = []
-            for t in frame["_text"]:
-                if t is None or not m.langs or not letter(t):
-                    got.append(("und", 0.0, True))
-                    continue
-                c = m.cosines(t)
-                i = int(c.argmax())
-                got.append((m.langs[i], min(1.0, max(0.0, float(c[i]))), bool(c[i] < m.least[m.langs[i]])))
-            yield pd.concat([frame.drop(columns="_text"), pd.DataFrame(got, columns=names, index=frame.index)], axis=1)
-
-    names = ["lang_pred", "score", "rejected"]
+            got = pd.DataFrame([judged(held.value, t) for t in frame["_text"]], columns=["lang_pred", "score", "rejected"], index=frame.index)
+            yield pd.concat([frame.drop(columns="_text"), got], axis=1)
+
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *(carry or []))
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "_text")
     return rows.mapInPandas(run, f"{kept}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is not rejected."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([not judged(held.value, t)[2] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

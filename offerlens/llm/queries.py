@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import bpe, exact, language, minhash, packing, repeats, urls
+from offerlens.llm import bpe, exact, fingerprints, language, minhash, packing, repeats, scoring, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeated_words(documents(spark, sf_dir))
 
@@ -40,6 +44,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(documents(spark, sf_dir))
 
@@ -48,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_minhash, op4_bpe, op6_substring_dedup, op7_url_filter, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_minhash, op4_bpe, op5_fingerprints, op6_substring_dedup, op7_url_filter, op8_lm_scores, op9_exact_dedup, op10_packing)}
 
 ORACLE = {
     "op9_exact_dedup": """
