@@ -33,10 +33,13 @@ class Grams:
         doc = np.repeat(np.arange(len(stop)), self.sizes)
         self.at = np.arange(len(words)) + (doc + 1) * lead  # of each word among words and marks
         self.doc = doc
-        stream = np.full(len(words) + lead * len(stop), START)
+        stream = np.empty(len(words) + lead * len(stop), np.uint64)
         stream[self.at] = words
+        first = np.cumsum(self.sizes + lead) - (self.sizes + lead)
+        for k in range(lead):  # the k-th mark is a symbol of its own, so no n-gram across documents looks like one inside
+            stream[first + k] = START + np.uint64(k)
         #: Digests of the n-grams that end at each place, for n from 1 to order; at the marks of a document some reach
-        #: into the one before, which only tells apart what is never asked for.
+        #: into the one before; nothing asks for those.
         self.by_n = [stream]
         for n in range(2, order + 1):
             before = np.concatenate([np.zeros(1, np.uint64), self.by_n[-1][:-1]])[: len(stream)]
