@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Hashed n-gram dimensions; n-grams of 1 to 3 characters.
 DIMS = 1 << 14
-#: Labelled rows a language that the centroids are fitted on, and characters of all of those together at most about.
-FIT_ROWS = 2000
+#: Labelled rows a language that the centroids are fitted on.  The driver holds a vector of DIMS floats for each.
+FIT_ROWS = 250
 CENTROIDS = 3
 #: A text is rejected below this quantile of its language's labelled cosines, less a margin: texts unlike any language.
 REJECT_QUANTILE, REJECT_MARGIN = 0.001, 0.8
@@ -46,9 +46,12 @@ class Model:
     """idf, the centroids with their languages, and the least cosine of each language."""
 
     def __init__(self, texts: list[str], langs: list[str]):
-        tf = np.array([np.log1p(counts(t)) for t in texts], dtype=np.float32).reshape(len(texts), DIMS)
-        self.idf = (np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
-        x, own = unit(tf * self.idf), np.array(langs, dtype=object)
+        x, own = np.zeros((len(texts), DIMS), np.float32), np.array(langs, dtype=object)
+        for row, t in zip(x, texts, strict=True):
+            row[:] = np.log1p(counts(t))
+        self.idf = (np.log((1 + len(texts)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
+        x *= self.idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         parts = [(lang, clustered(x[own == lang])) for lang in sorted(set(langs))]
         self.langs = [lang for lang, c in parts for _ in c]
         self.centroids = np.concatenate([c for _, c in parts]) if parts else np.zeros((0, DIMS), np.float32)
