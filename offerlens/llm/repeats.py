@@ -9,7 +9,7 @@ at the same place, so only anchors, one in some dozens of symbols, are compared
    (bytes), or a suffix automaton those with any other (words);
 3. the spans found go back to the blocks, which take them out of the text.
 
-An anchor with more snippets than GROUP_LIMIT (a line that very many texts share, each going on differently) is not
+An anchor with more snippets than the group limit (a line that very many texts share, each going on differently) is not
 searched as a group.  Its windows are compared one by one through their digests instead, each at most once a block.
 """
 
@@ -30,9 +30,8 @@ from offerlens.llm import blocks, suffixes
 from offerlens.llm.automaton import Automaton
 from offerlens.llm.digest import BASE_A, BASE_B, anchors, mix, prefix, span
 
-#: Bytes of text in a block here: the hash arrays take some hundred times as much.
-BLOCK_BYTES = 2 << 20
-GROUP_LIMIT = 2000
+#: Rows of a partition that are searched together, besides the last group's.
+SEARCH_ROWS = 20_000
 BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -44,6 +43,8 @@ class Passages:
     gram: int
     words: bool
     first_stays: bool
+    group_limit: int = 2000
+    block_bytes: int = 1 << 20  # the hash arrays take some hundred times as much
 
 
 BYTES = Passages(window=100, gram=32, words=False, first_stays=True)
@@ -94,12 +95,12 @@ def word_spans(b: blocks.Block) -> tuple[np.ndarray, np.ndarray]:
 
 def spans(docs: DataFrame, kind: Passages, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The blocks, and (block, at, before, after): symbols at-before to at+after of the block are to go."""
-    held = blocks.packed(docs, id_col, text_col, BLOCK_BYTES)
+    held = blocks.packed(docs, id_col, text_col, kind.block_bytes)
     seen = blocks.each(held, lambda block, b: ask(block, Symbols(b, kind)), "h long, block long, n long, c long")
     w = W.partitionBy("h")  # a row for each block that has the anchor, at most
     live = seen.select("h", "block", F.sum("n").over(w).alias("n"), F.sum("c").over(w).alias("c")).where("n > 1").select("block", "h", "c")
     told = blocks.answered(held, live, lambda block, b, own: tell(block, Symbols(b, kind), own), TOLD)
-    dealt = told.repartition(blocks.partitions(docs.sparkSession), "h")
+    dealt = told.repartition(blocks.partitions(docs.sparkSession), "h").sortWithinPartitions("h")
     return held, dealt.mapInPandas(lambda frames: search(frames, kind), "block long, at long, before int, after int")
 
 
@@ -122,7 +123,7 @@ def tell(block: int, s: Symbols, live: pd.DataFrame) -> pd.DataFrame:
     inner = place < len(hashes)
     held[inner] = hashes[place[inner]] == s.hash[inner]
     hot = held.copy()
-    hot[held] = crowd[place[held]] > GROUP_LIMIT
+    hot[held] = crowd[place[held]] > s.kind.group_limit
     keep = held[s.first] & ~hot[s.first]
     rep = s.first[keep]
     out = [pd.DataFrame({
@@ -147,28 +148,45 @@ def windows(block: int, s: Symbols, hot: np.ndarray) -> list[pd.DataFrame]:
     return [asked, pd.DataFrame({"h": mix(known.astype(np.uint64)).view(np.int64), "kind": 2, "block": block, "at": known, "doc": 0, "pos": 0, "n": 0, "before": 0, "other": 0, "snippet": None})]
 
 
+def whole_groups(frames: Iterator[pd.DataFrame], key: str, least: int) -> Iterator[pd.DataFrame]:
+    """The rows of frames that are in order of the key, in frames of about so many rows that hold whole groups."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for frame in frames:
+        while len(frame):
+            part, frame = frame.iloc[:least], frame.iloc[least:]
+            if n >= least:  # what comes before the last group of what is held can go
+                rows = pd.concat(held, ignore_index=True)
+                k = rows[key].to_numpy()
+                cut = int(np.searchsorted(k, k[-1]))
+                if cut:
+                    yield rows.iloc[:cut].reset_index(drop=True)
+                held, n = [rows.iloc[cut:]], len(rows) - cut
+            held.append(part)
+            n += len(part)
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def search(frames: Iterator[pd.DataFrame], kind: Passages) -> Iterator[pd.DataFrame]:
-    got = [f for f in frames if len(f)]
-    if not got:
-        return
-    rows = pd.concat(got, ignore_index=True)
+    """Spans that are to go, from the rows of a partition in order of h, some SEARCH_ROWS at a time."""
     names = ["block", "at", "before", "after"]
-    known = rows[rows["kind"] == 2]
-    if len(known):
-        yield known.assign(before=0, after=kind.window)[names]
-    asked = rows[rows["kind"] == 1]
-    if len(asked):
-        g = asked.groupby(["h", "other"], sort=False)
-        if kind.first_stays:
-            asked = asked.sort_values(["doc", "pos"])
-            found = asked[asked.duplicated(["h", "other"])]
-        else:
-            found = asked[g["n"].transform("sum") > 1]
-        if len(found):
-            yield found.assign(before=0, after=kind.window)[names]
-    snippets = rows[rows["kind"] == 0].sort_values(["h", "doc", "pos"], ignore_index=True)
-    if len(snippets):
-        yield (earlier if kind.first_stays else anywhere)(snippets, kind)
+    for rows in whole_groups(frames, "h", SEARCH_ROWS):
+        known = rows[rows["kind"] == 2]
+        if len(known):
+            yield known.assign(before=0, after=kind.window)[names]
+        asked = rows[rows["kind"] == 1]
+        if len(asked):
+            if kind.first_stays:
+                asked = asked.sort_values(["doc", "pos"])
+                found = asked[asked.duplicated(["h", "other"])]
+            else:
+                found = asked[asked.groupby(["h", "other"], sort=False)["n"].transform("sum") > 1]
+            if len(found):
+                yield found.assign(before=0, after=kind.window)[names]
+        snippets = rows[rows["kind"] == 0].sort_values(["h", "doc", "pos"], ignore_index=True)
+        if len(snippets):
+            yield (earlier if kind.first_stays else anywhere)(snippets, kind)
 
 
 def earlier(rows: pd.DataFrame, kind: Passages) -> pd.DataFrame:
@@ -263,7 +281,7 @@ def covered(s: Symbols, found: pd.DataFrame) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, kind: Passages = BYTES) -> DataFrame:
     """Documents without the bytes of any 100-byte string that also starts earlier.
 
     Earlier is a smaller doc_id, or the same document and an earlier start; of rows with the same id the first read
@@ -273,7 +291,7 @@ def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
 
     def cut(block: int, b: blocks.Block, found: pd.DataFrame) -> pd.DataFrame:
-        s = Symbols(b, BYTES)
+        s = Symbols(b, kind)
         gone, rows = covered(s, found), []
         for doc, x, y in zip(b.doc_ids(), b.starts.tolist(), b.ends.tolist(), strict=True):
             own = gone[x:y]
@@ -282,11 +300,11 @@ def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             rows.append((doc, y - x, int(own.sum()), n_spans, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "ignore"),) if with_text else ()))
         return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
-    held, found = spans(docs, BYTES, id_col, text_col)
+    held, found = spans(docs, kind, id_col, text_col)
     return blocks.answered(held, found, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
-def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, kind: Passages = WORDS) -> DataFrame:
     """Documents without the words of any 35-word sequence that also starts anywhere else.
 
     Words are runs of other characters than blanks and ASCII controls 9 to 13, unchanged.  Returns doc_id, n_words,
@@ -296,7 +314,7 @@ def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
 
     def cut(block: int, b: blocks.Block, found: pd.DataFrame) -> pd.DataFrame:
-        s = Symbols(b, WORDS)
+        s = Symbols(b, kind)
         gone, rows, raw = covered(s, found), [], b.bytes.tobytes()
         starts, ends = s.word_at.tolist(), s.word_end.tolist()
         for doc, x, y in zip(b.doc_ids(), s.starts.tolist(), s.ends.tolist(), strict=True):
@@ -304,5 +322,5 @@ def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: st
             rows.append((doc, y - x, int(gone[x:y].sum()), hashlib.sha256(kept).hexdigest()) + ((kept.decode(),) if with_text else ()))
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
 
-    held, found = spans(docs, WORDS, id_col, text_col)
+    held, found = spans(docs, kind, id_col, text_col)
     return blocks.answered(held, found, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
