@@ -5,8 +5,9 @@ keeps the shingle that arrives first.  Two documents agree in a register with th
 their weights.  A document is done as soon as no process can arrive before its latest register.
 
 Documents of equal bands meet in buckets.  There each is compared with the bucket's first document only; most buckets
-are then one component.  In the others, documents of different components are compared with each other.  Links count
-if the exact Jaccard similarity of the shingle sets reaches the threshold.
+are then one component.  In the others, documents outside the bucket's main component are compared with all of it:
+in pairs if the bucket is small, else in tasks that hold a bounded part of it and return links that join what they
+found, not all pairs.  Links count if the exact Jaccard similarity of the shingle sets reaches the threshold.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from offerlens.llm.shared import components, cut
 SHINGLE, SIMILAR = 5, 0.8
 #: 40 bands of 6 registers miss a pair of similarity 0.8 with a probability of 5e-6.
 BANDS, ROWS = 40, 6
+#: Buckets of more documents are compared inside tasks, in parts of PART documents.
+SMALL, PART = 16, 512
+#: Characters of texts that are hashed together.
+CHUNK = 4 << 20
 
 
 class Texts:
@@ -80,7 +85,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, set_digest, n, bands): the digest of the whole shingle set, its size, and a key for each band."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in chunked(frames, "text", 8 << 20):
+        for frame in chunked(frames, "text", CHUNK):
             n = len(frame)
             doc, h, times = shingles(frame["text"].tolist())
             size = np.bincount(doc, minlength=n)
@@ -114,7 +119,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, shingles): the sorted digests of each document, as bytes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in chunked(frames, "text", 8 << 20):
+        for frame in chunked(frames, "text", CHUNK):
             doc, h, _ = shingles(frame["text"].tolist())
             parts = np.split(h, np.searchsorted(doc, np.arange(1, len(frame))))
             yield pd.DataFrame({"doc_id": frame["doc_id"], "shingles": [p.tobytes() for p in parts]})
@@ -123,8 +128,8 @@ def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, shingles binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similar: float, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, similarity) of the pairs whose shingle sets are similar enough."""
+def verified(pairs: DataFrame, held: DataFrame, similar: float) -> DataFrame:
+    """(a, b) of the pairs whose shingle sets are similar enough."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -132,18 +137,55 @@ def verified(pairs: DataFrame, docs: DataFrame, similar: float, id_col: str, tex
             for x, y in zip(frame["x"], frame["y"], strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                got.append(both / max(1, len(p) + len(q) - both))
-            out = frame[["a", "b"]].assign(similarity=got)
-            yield out[out["similarity"] >= similar]
+                got.append(both / max(1, len(p) + len(q) - both) >= similar)
+            yield frame.loc[np.array(got, bool), ["a", "b"]]
 
-    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = docs.join(ids, F.col(id_col).cast("long") == F.col("node"), "left_semi")
-    held = cut(sets(asked, id_col, text_col).dropDuplicates(["doc_id"]))
     x, y = held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, similarity double")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def crossed(left: DataFrame, held: DataFrame, similar: float, most: int) -> DataFrame:
+    """(a, b): links across components in crowded buckets, as a forest for each part.
+
+    left has key, doc, root, main and size.  A bucket is dealt into parts by hash; each task takes one pair of parts,
+    so a bucket of any size is compared whole and no task holds more than about twice `most` documents.
+    """
+
+    def run(key, frame):
+        frame = frame.drop_duplicates("doc").reset_index(drop=True)
+        sets_ = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+        size = np.array([len(x) for x in sets_])
+        _, ids = np.unique(np.concatenate(sets_), return_inverse=True)
+        starts = np.cumsum(size) - size
+        root, part, up = frame["root"].to_numpy().copy(), frame["part"].to_numpy(), np.arange(len(frame))
+        seen, out = np.zeros(int(ids.max()) + 1, bool), []
+
+        def top(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i in np.flatnonzero(frame["root"].to_numpy() != frame["main"].to_numpy()):
+            other = np.flatnonzero((root != root[i]) & (np.minimum(size, size[i]) >= similar * np.maximum(size, size[i]) - 1e-9) & ((part != part[i]) | (key[1] == key[2])))
+            if not len(other):
+                continue
+            own = ids[starts[i] : starts[i] + size[i]]
+            seen[own] = True
+            both = np.add.reduceat(seen[ids], starts)[other]
+            seen[own] = False
+            for j in other[both / (size[i] + size[other] - both) >= similar]:
+                if (x := top(i)) != (y := top(j)):
+                    up[x] = y
+                    out.append((frame["doc"][i], frame["doc"][j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    parts = F.ceil(F.col("size") / most).cast("int")
+    own = left.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc", "key"), F.col("parts")).cast("int"))
+    dealt = own.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "mate"), "j": F.greatest("part", "mate")})
+    return dealt.join(held.withColumnRenamed("doc_id", "doc"), "doc").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, part: int = PART) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), kept (it is that one).
 
     Classes are the components of links: Jaccard similarity of the sets of five-word shingles of at least `similar`,
@@ -158,18 +200,20 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     heads = rows.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = cut(rows.join(heads, "key"))
     fits = lambda n, m: (F.least(n, m) >= F.greatest(n, m) * similar - 1e-9)  # noqa: E731  else the sets can't be similar enough
+    met = rows.select(F.col("doc").alias("node")).distinct()
+    asked = docs.join(met, F.col(id_col).cast("long") == F.col("node"), "left_semi")
+    shingle_sets = cut(sets(asked, id_col, text_col).dropDuplicates(["doc_id"]))
     star = rows.where((F.col("doc") != F.col("head.doc")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.doc").alias("a"), F.col("doc").alias("b")).distinct()
-    star = cut(star)
-    links = cut(verified(star, docs, similar, id_col, text_col).select("a", "b"))
+    links = cut(verified(star, shingle_sets, similar))
     root = components(links)
-    # buckets that are not one component yet: compare across components
-    named = rows.select("key", "doc", "n").join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    open_keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = cut(named.join(open_keys, "key"))
-    x, y = left.select("key", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")), left.select("key", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
-    across = cut(across.join(star, ["a", "b"], "left_anti"))
-    more = cut(links.unionByName(verified(across, docs, similar, id_col, text_col).select("a", "b")))
+    # buckets that are not one component yet
+    named = rows.select("key", "doc", "n", "size").join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    main = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times")).groupBy("key").agg(F.max_by("root", F.struct("times", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    left = cut(named.join(main.where("roots > 1").select("key", "main"), "key"))
+    x = left.where((F.col("root") != F.col("main")) & (F.col("size") <= small)).select("key", F.col("doc").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
+    y = left.where(F.col("size") <= small).select("key", F.col("doc").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"))
+    across = x.join(y, "key").where((F.col("root_x") != F.col("root_y")) & fits(F.col("n_x"), F.col("n_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = links.unionByName(verified(across, shingle_sets, similar)).unionByName(crossed(left.where(F.col("size") > small), shingle_sets, similar, part))
     root = components(more)
     member = worded.select("doc_id", "one", "two", "n").join(reps.select("one", "two", "n", "rep"), ["one", "two", "n"])
     member = member.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
