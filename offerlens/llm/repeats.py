@@ -6,7 +6,8 @@ at the same place, so only anchors, one in some dozens of symbols, are compared
 1. each block sends its distinct anchor hashes; those seen once are done with;
 2. for the others it sends its distinct snippets, anchor and all that a window holding it can cover, to the partition
    of the anchor's hash, where a bounded group is searched: a suffix sort finds the windows with an earlier occurrence
-   (bytes), or a suffix automaton those with any other (words);
+   (bytes), or a suffix automaton those with any other (words).  Where all snippets of an anchor have one digest (128
+   bits with the anchor's), the text need not be sent: it is the same everywhere;
 3. the spans found go back to the blocks, which take them out of the text.
 
 An anchor with more snippets than the group limit (a line that very many texts share, each going on differently) is not
@@ -70,8 +71,8 @@ class Symbols:
         doc = np.searchsorted(self.ends, self.at, side="right")
         self.doc, reach = doc, kind.window - kind.gram
         self.lo, self.hi = np.maximum(self.at - reach, self.starts[doc]), np.minimum(self.at + kind.window, self.ends[doc])
-        snippet = self.digest(self.lo, self.hi) + mix((self.at - self.lo).astype(np.uint64))
-        _, first, self.own_class, self.times = np.unique(mix(self.hash + snippet * np.uint64(BASE_B)), return_index=True, return_inverse=True, return_counts=True)
+        self.snippet = self.digest(self.lo, self.hi) + mix((self.at - self.lo).astype(np.uint64))
+        _, first, self.own_class, self.times = np.unique(mix(self.hash + self.snippet * np.uint64(BASE_B)), return_index=True, return_inverse=True, return_counts=True)
         self.first = first  # of each class the anchor of least id and position, as documents are in order
 
     def digest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,9 +97,10 @@ def word_spans(b: blocks.Block) -> tuple[np.ndarray, np.ndarray]:
 def spans(docs: DataFrame, kind: Passages, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The blocks, and (block, at, before, after): symbols at-before to at+after of the block are to go."""
     held = blocks.packed(docs, id_col, text_col, kind.block_bytes)
-    seen = blocks.each(held, lambda block, b: ask(block, Symbols(b, kind)), "h long, block long, n long, c long")
+    seen = blocks.each(held, lambda block, b: ask(block, Symbols(b, kind)), "h long, block long, n long, c long, low long, high long")
     w = W.partitionBy("h")  # a row for each block that has the anchor, at most
-    live = seen.select("h", "block", F.sum("n").over(w).alias("n"), F.sum("c").over(w).alias("c")).where("n > 1").select("block", "h", "c")
+    live = seen.select("h", "block", F.sum("n").over(w).alias("n"), F.sum("c").over(w).alias("c"), (F.min("low").over(w) == F.max("high").over(w)).alias("same"))
+    live = live.where("n > 1").select("block", "h", "c", "same")
     told = blocks.answered(held, live, lambda block, b, own: tell(block, Symbols(b, kind), own), TOLD)
     dealt = told.repartition(blocks.partitions(docs.sparkSession), "h").sortWithinPartitions("h")
     return held, dealt.mapInPandas(lambda frames: search(frames, kind), "block long, at long, before int, after int")
@@ -106,30 +108,39 @@ def spans(docs: DataFrame, kind: Passages, id_col: str, text_col: str) -> tuple[
 
 def ask(block: int, s: Symbols) -> Iterator[pd.DataFrame]:
     h, n = np.unique(s.hash, return_counts=True)
-    _, c = np.unique(s.hash[s.first], return_counts=True)
-    yield pd.DataFrame({"h": h.view(np.int64), "block": block, "n": n, "c": c})
+    own = s.hash[s.first]
+    order = np.lexsort((s.snippet[s.first].view(np.int64), own))
+    _, at, c = np.unique(own[order], return_index=True, return_counts=True)
+    digests = s.snippet[s.first][order].view(np.int64)
+    yield pd.DataFrame({"h": h.view(np.int64), "block": block, "n": n, "c": c, "low": digests[at], "high": digests[at + c - 1]})
 
 
 TOLD = "h long, kind int, block long, at long, doc long, pos long, n long, before int, other long, snippet binary"
 
 
 def tell(block: int, s: Symbols, live: pd.DataFrame) -> pd.DataFrame:
-    """Rows of kind 0: the snippet of a class; 1: the digest of a window of a hot anchor; 2: a span found in the block itself."""
-    hashes, order = live["h"].to_numpy(np.int64).view(np.uint64), None
+    """Rows of kind 0: the snippet of a class; 1: the digest of a window of a hot anchor; 2: a span found in the block itself; 3: a class of an anchor that has no other, with the symbols after the anchor's start."""
+    hashes = live["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    hashes, crowd = hashes[order], live["c"].to_numpy(np.int64)[order]
+    hashes, crowd, same = hashes[order], live["c"].to_numpy(np.int64)[order], live["same"].to_numpy(bool)[order]
     place = np.searchsorted(hashes, s.hash)
     held = np.zeros(len(s.hash), bool)
     inner = place < len(hashes)
     held[inner] = hashes[place[inner]] == s.hash[inner]
     hot = held.copy()
-    hot[held] = crowd[place[held]] > s.kind.group_limit
-    keep = held[s.first] & ~hot[s.first]
-    rep = s.first[keep]
-    out = [pd.DataFrame({
-        "h": s.hash[rep].view(np.int64), "kind": 0, "block": block, "at": s.at[rep], "doc": s.block.ids[s.doc[rep]], "pos": s.at[rep] - s.starts[s.doc[rep]], "n": s.times[keep],
-        "before": s.at[rep] - s.lo[rep], "other": 0, "snippet": [s.raw(a, b) for a, b in zip(s.lo[rep].tolist(), s.hi[rep].tolist(), strict=True)],
-    })]
+    alone = held.copy()
+    alone[held] = same[place[held]]
+    hot[held] = (crowd[place[held]] > s.kind.group_limit) & ~alone[held]
+
+    def rows(kind: int, keep: np.ndarray) -> pd.DataFrame:
+        rep = s.first[keep]
+        text = [s.raw(a, b) for a, b in zip(s.lo[rep].tolist(), s.hi[rep].tolist(), strict=True)] if kind == 0 else None
+        return pd.DataFrame({
+            "h": s.hash[rep].view(np.int64), "kind": kind, "block": block, "at": s.at[rep], "doc": s.block.ids[s.doc[rep]], "pos": s.at[rep] - s.starts[s.doc[rep]], "n": s.times[keep],
+            "before": s.at[rep] - s.lo[rep], "other": s.hi[rep] - s.at[rep] if kind else 0, "snippet": text,
+        })
+
+    out = [rows(0, held[s.first] & ~hot[s.first] & ~alone[s.first]), rows(3, alone[s.first])]
     if hot.any():
         out += windows(block, s, np.flatnonzero(hot))
     return pd.concat(out)[[c.split(" ")[0] for c in TOLD.split(", ")]]
@@ -184,6 +195,12 @@ def search(frames: Iterator[pd.DataFrame], kind: Passages) -> Iterator[pd.DataFr
                 found = asked[asked.groupby(["h", "other"], sort=False)["n"].transform("sum") > 1]
             if len(found):
                 yield found.assign(before=0, after=kind.window)[names]
+        alone = rows[(rows["kind"] == 3) & (rows["before"] + rows["other"] >= kind.window)]
+        if kind.first_stays:
+            alone = alone.sort_values(["h", "doc", "pos"])
+            alone = alone[alone.duplicated("h")]
+        if len(alone):
+            yield alone.assign(after=alone["other"])[names]
         snippets = rows[rows["kind"] == 0].sort_values(["h", "doc", "pos"], ignore_index=True)
         if len(snippets):
             yield (earlier if kind.first_stays else anywhere)(snippets, kind)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,20 +57,25 @@ RULES = (
     Rule("points", MONEY, "money", ("puan", "alisveris puani", "para puan"), mode="highest", confidence=0.84),
     Rule("ends_on", DAY, "date", ("son", "bitis", "gecerli", "kadar", "kampanya suresi", "son basvuru", "kampanya donemi", "donem"), ("resmi gazete", "tarihinden once", "sonrasinda"), ("tarihinden once",), "nearest", 0.90),
 )
+#: What a line that can hold a value has: a digit or a number word.
+TELLING = re.compile(r"\d|\bbin|\bmily").search
+compiled = lru_cache(64)(re.compile)
 KEY = str.maketrans("IİŞĞÜÖÇışğüöçâîûÂÎÛ", "iisguocisguocaiuaiu")
 
 
 def position_key(s: str) -> str:
     """Lower case and ASCII letters, of the same length as the text."""
-    return "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in s.translate(KEY)))
+    s = s.translate(KEY)
+    low = s.lower()
+    return low if len(low) == len(s) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in s))
 
 
 def distance(key: str, words: tuple[str, ...], start: int, end: int, window: int) -> int | None:
     """Characters between a span and the nearest of the words inside the window, or None."""
-    best = None
+    best, part, shift = None, key[max(0, start - window) : end + window], max(0, start - window)
     for w in words:
-        for m in re.finditer(rf"\b{re.escape(w)}", key[max(0, start - window) : end + window]):
-            a = max(0, start - window) + m.start()
+        for m in compiled(rf"\b{re.escape(w)}").finditer(part) if w in part else ():
+            a = shift + m.start()
             d = 0 if a < end and a + len(w) > start else min(abs(start - a - len(w)), abs(a - end))
             best = d if best is None else min(best, d)
     return best
@@ -78,8 +84,15 @@ def distance(key: str, words: tuple[str, ...], start: int, end: int, window: int
 def spans_of(document: str, rules: tuple[Rule, ...] = RULES) -> Iterator[tuple]:
     """(rule number, start, end, distance, confidence) of the candidates of a text."""
     key = position_key(document)
+    lines, at = [], 0
+    for line in key.split("\n"):
+        if TELLING(line):
+            lines.append((at, at + len(line)))
+        at += len(line) + 1
+    if not lines:
+        return
     for i, r in enumerate(rules):
-        for m in re.finditer(r.pattern, key):
+        for m in (m for x, y in lines for m in compiled(r.pattern).finditer(key, x, y)):
             a, b = m.span()
             if not any(c.isdigit() for c in m.group()) and not re.search(r"\b(?:bin|milyon|milyar|binde)\b", m.group()):
                 continue
@@ -109,18 +122,20 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
     raw, kind = F.col("raw"), F.col("kind")
     value = F.when(kind == "rate", text.rate(raw)).when(kind == "money", text.money(raw)).when(kind == "term", text.term_months(raw).cast("double")).when(kind == "fee", F.coalesce(text.money(raw), text.rate(raw))).when(kind == "date", F.unix_date(text.date(raw)).cast("double"))
     unit = F.when(kind == "rate", "percent").when(kind == "money", "lira").when(kind == "term", "month").when(kind == "date", "day").otherwise(text.unit_of(raw))
-    found = found.withColumns({"value": value, "unit": unit}).drop("kind").where("value IS NOT NULL")
-    plausible = F.lit(True)
-    for r in rules:
-        ok = F.lit(True)
-        if r.low is not None:
-            ok = F.col("value") > r.low
-        if r.high is not None:
-            ok = ok & (F.col("value") < r.high)
-        if r.zero_ok:
-            ok = ok | (F.col("value") == 0)
-        plausible = F.when(F.col("field") == r.field, ok).otherwise(plausible)
-    return found.where(plausible)
+
+    def plausible(v):
+        out = F.lit(True)
+        for r in rules:
+            ok = F.lit(True)
+            if r.low is not None:
+                ok = v > r.low
+            if r.high is not None:
+                ok = ok & (v < r.high)
+            out = F.when(F.col("field") == r.field, ok | (v == 0) if r.zero_ok else ok).otherwise(out)
+        return out
+
+    kept = text.bound_to(value, lambda v: F.when(plausible(v), v))
+    return found.withColumns({"value": kept, "unit": unit}).drop("kind").where("value IS NOT NULL")
 
 
 def extracted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.operators import eligibility, finance, ranking, records
-from offerlens.plans import query, table
+from offerlens.plans import fixed, query, table
 
 TOP = 100
 GRID = [3, 6, 12, 18, 24, 36, 48]
@@ -97,12 +97,12 @@ def rank_highest_reward(spark, sf_dir):
         CASE WHEN reward IS NULL THEN 0.2::DOUBLE * 0.5 ELSE 0.2::DOUBLE * (CASE WHEN wh = wl THEN 1.0 ELSE (reward - wl) / (wh - wl) END) END AS c,
         CASE WHEN term_months IS NULL THEN 0.15::DOUBLE * 0.5 ELSE 0.15::DOUBLE * (CASE WHEN th = tl THEN 1.0 ELSE (term_months - tl) / (th - tl) END) END AS d
         FROM based CROSS JOIN ends)
-    SELECT offer_id, CAST(round(a + b + bonus + c + d, 9) AS DECIMAL(12, 6)) AS score,
+    SELECT offer_id, floor((a + b + bonus + c + d) * 1e6 + 0.5) / 1e6 AS score,
         CAST((CASE WHEN rate_base IS NULL THEN 0 ELSE 0.40 END) + (CASE WHEN fee_base IS NULL AND NOT coalesce(fee_free, false) THEN 0 ELSE 0.25 END)
-          + (CASE WHEN reward IS NULL THEN 0 ELSE 0.20 END) + (CASE WHEN term_months IS NULL THEN 0 ELSE 0.15 END) AS DECIMAL(12, 6)) AS comparability FROM parts""")
+          + (CASE WHEN reward IS NULL THEN 0 ELSE 0.20 END) + (CASE WHEN term_months IS NULL THEN 0 ELSE 0.15 END) AS DOUBLE) AS comparability FROM parts""")
 def advantage_score(spark, sf_dir):
     rows = ranking.advantage(offers(spark, sf_dir), scenario=SCENARIO)
-    six = lambda c: F.round(F.col(c), 9).cast("decimal(12,6)").alias(c)
+    six = lambda c: fixed(F.col(c), 6).alias(c)
     return rows.select("offer_id", six("score"), six("comparability"))
 
 
@@ -132,10 +132,10 @@ def comparison_warnings(spark, sf_dir):
 PAYMENT = "CASE WHEN {a} > 0 AND {n} > 0 AND {r} >= 0 THEN CASE WHEN {r} / 100 = 0 THEN {a} / {n} ELSE {a} * ({r} / 100) / (1 - pow(1 + {r} / 100, -CAST({n} AS DOUBLE))) END END"
 
 
-@query(OFFERS_SQL + f"SELECT offer_id, CAST(round({PAYMENT.format(a='amount_max', r='rate', n='term_months')}, 6) AS DECIMAL(18, 4)) AS payment, CAST(round({PAYMENT.format(a='amount_max', r='rate', n='term_months')} * term_months, 6) AS DECIMAL(18, 4)) AS total FROM offers")
+@query(OFFERS_SQL + f"SELECT offer_id, floor(({PAYMENT.format(a='amount_max', r='rate', n='term_months')}) * 1e4 + 0.5) / 1e4 AS payment, floor(({PAYMENT.format(a='amount_max', r='rate', n='term_months')} * term_months) * 1e4 + 0.5) / 1e4 AS total FROM offers")
 def annuity_cost(spark, sf_dir):
     a, r, n = F.col("amount_max"), F.col("rate"), F.col("term_months")
-    four = lambda c: F.round(c, 6).cast("decimal(18,4)")
+    four = lambda c: fixed(c, 4)
     return offers(spark, sf_dir).select("offer_id", four(finance.instalment(a, r, n)).alias("payment"), four(finance.cost(a, r, n)).alias("total"))
 
 
@@ -145,10 +145,10 @@ GRID_SQL = OFFERS_SQL + f""",
 """
 
 
-@query(GRID_SQL + "SELECT offer_id, months, CAST(round(p, 6) AS DECIMAL(18, 4)) AS payment, CAST(round(p * months, 6) AS DECIMAL(18, 4)) AS total, CAST(round(p * months - own * term_months, 6) AS DECIMAL(18, 4)) AS total_delta FROM costs")
+@query(GRID_SQL + "SELECT offer_id, months, floor((p) * 1e4 + 0.5) / 1e4 AS payment, floor((p * months) * 1e4 + 0.5) / 1e4 AS total, floor((p * months - own * term_months) * 1e4 + 0.5) / 1e4 AS total_delta FROM costs")
 def term_sensitivity(spark, sf_dir):
     rows = finance.sensitivity(offers(spark, sf_dir), SCENARIO.principal, GRID)
-    return rows.select("offer_id", "months", *[F.round(F.col(c), 6).cast("decimal(18,4)").alias(c) for c in ("payment", "total", "total_delta")])
+    return rows.select("offer_id", "months", *[fixed(F.col(c), 4).alias(c) for c in ("payment", "total", "total_delta")])
 
 
 @query(GRID_SQL + ", longest AS (SELECT offer_id, max(months) AS longest FROM costs GROUP BY offer_id) SELECT offer_id, any_value(longest) AS longest, max(months) FILTER (WHERE months < longest) AS next_shorter, min(months) FILTER (WHERE p <= 2500) AS shortest_affordable FROM costs JOIN longest USING (offer_id) GROUP BY offer_id")
@@ -170,15 +170,15 @@ PAIRS_SQL = OFFERS_SQL + f""",
     profile AS (SELECT c_custkey AS profile_id, n_name AS country, c_mktsegment AS customer_type, c_acctbal * 5 AS amount, CAST(c_custkey % 48 + 1 AS INTEGER) AS months FROM customer JOIN nation ON c_nationkey = n_nationkey),
     held AS (SELECT profile_id, offer_id, rate, fill, amount, months, fee_lira,
         list_filter([CASE WHEN need_type IS NOT NULL AND customer_type IS NOT NULL AND need_type <> customer_type THEN 'customer_type' END, CASE WHEN amount_min IS NOT NULL AND NOT coalesce(amount >= amount_min, false) THEN 'amount_min' END,
-          CASE WHEN amount_max IS NOT NULL AND NOT coalesce(amount <= amount_max, false) THEN 'amount_max' END, CASE WHEN term_months IS NOT NULL AND NOT months BETWEEN 0 AND term_months THEN 'term' END], x -> x IS NOT NULL) AS failed
+          CASE WHEN amount_max IS NOT NULL AND NOT coalesce(amount <= amount_max, false) THEN 'amount_max' END, CASE WHEN term_months IS NOT NULL AND NOT months BETWEEN 0 AND term_months THEN 'term' END], lambda x: x IS NOT NULL) AS failed
         FROM profile JOIN sold USING (country)),
     costed AS (SELECT *, len(failed) = 0 AS eligible, CASE WHEN len(failed) = 0 AND rate > 0 AND rate < 15 THEN {PAYMENT.format(a='amount', r='rate', n='months')} * months + coalesce(fee_lira, 0) END AS cost FROM held)
 """
 
 
-@query(PAIRS_SQL + "SELECT profile_id, offer_id, array_to_string(failed, ',') AS failed, eligible, CAST(round(cost, 6) AS DECIMAL(18, 4)) AS cost FROM costed")
+@query(PAIRS_SQL + "SELECT profile_id, offer_id, array_to_string(failed, ',') AS failed, eligible, floor((cost) * 1e4 + 0.5) / 1e4 AS cost FROM costed")
 def eligibility_reasons(spark, sf_dir):
-    return eligibility.reasons(pairs(spark, sf_dir)).select("profile_id", "offer_id", F.array_join("failed", ",").alias("failed"), "eligible", F.round("cost", 6).cast("decimal(18,4)").alias("cost"))
+    return eligibility.reasons(pairs(spark, sf_dir)).select("profile_id", "offer_id", F.array_join("failed", ",").alias("failed"), "eligible", fixed("cost", 4).alias("cost"))
 
 
 @query(PAIRS_SQL + ", tiered AS (SELECT *, CASE WHEN eligible AND cost IS NOT NULL THEN 0 WHEN eligible THEN 1 ELSE 2 END AS tier FROM costed) SELECT profile_id, offer_id, tier, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY tier, CASE tier WHEN 0 THEN round(cost, 4) WHEN 1 THEN -fill ELSE 0 END, offer_id) AS INTEGER) AS place FROM tiered QUALIFY place <= 5")
@@ -215,11 +215,11 @@ def export_flat_tall(spark, sf_dir):
     return offers(spark, sf_dir).selectExpr("offer_id", f"stack({len(FIELDS)}, {pairs_}) AS (field, value)").where("value IS NOT NULL")
 
 
-@query(OFFERS_SQL + "SELECT field, count(*) - count(value) AS nulls, CAST(round(100.0 * (count(*) - count(value)) / count(*), 6) AS DECIMAL(9, 4)) AS percent FROM offers, LATERAL (VALUES ('rate', rate), ('amount_max', amount_max), ('term_months', CAST(term_months AS DOUBLE)), ('fee', fee), ('reward', reward)) t(field, value) GROUP BY field")
+@query(OFFERS_SQL + "SELECT field, count(*) - count(value) AS nulls, floor((100.0 * (count(*) - count(value)) / count(*)) * 1e4 + 0.5) / 1e4 AS percent FROM offers, LATERAL (VALUES ('rate', rate), ('amount_max', amount_max), ('term_months', CAST(term_months AS DOUBLE)), ('fee', fee), ('reward', reward)) t(field, value) GROUP BY field")
 def null_table(spark, sf_dir):
     got = offers(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f).isNull()).alias(f) for f in FIELDS])
     tall = got.selectExpr("n", f"stack({len(FIELDS)}, {', '.join(f'{chr(39)}{f}{chr(39)}, {f}' for f in FIELDS)}) AS (field, nulls)")
-    return tall.select("field", "nulls", F.round(F.lit(100.0) * F.col("nulls") / F.col("n"), 6).cast("decimal(9,4)").alias("percent"))
+    return tall.select("field", "nulls", fixed(F.lit(100.0) * F.col("nulls") / F.col("n"), 4).alias("percent"))
 
 
 CHECKS = [("rate_over_9", "rate > 9"), ("rate_zero", "rate = 0"), ("amount_small", "amount_max < 5000"), ("amount_large", "amount_max > 90000"), ("term_long", "term_months > 48"), ("fee_large", "fee_unit = 'lira' AND fee > 700"), ("reward_large", "reward > amount_max * 0.07"), ("expired", "ends_on < DATE '1996-01-01'"), ("far_ahead", "ends_on > DATE '2001-01-01'")]
@@ -239,12 +239,12 @@ def contradictions(spark, sf_dir):
 
 
 @query(OFFERS_SQL + """SELECT bank, count(*) AS n, min(rate_base) AS rate_low, max(rate_base) AS rate_high, count(*) FILTER (WHERE rate_base = 0) AS zero_rates, max(term_months) AS longest, count(*) FILTER (WHERE fee_free) AS fee_free,
-    CAST(date_diff('day', max(ends_on), DATE '2001-12-31') AS INTEGER) AS stale_days, CAST(round(count(*) * 100.0 / (SELECT count(*) FROM based), 6) AS DECIMAL(9, 4)) AS share FROM based GROUP BY bank""")
+    CAST(date_diff('day', max(ends_on), DATE '2001-12-31') AS INTEGER) AS stale_days, floor((count(*) * 100.0 / (SELECT count(*) FROM based)) * 1e4 + 0.5) / 1e4 AS share FROM based GROUP BY bank""")
 def bank_profile(spark, sf_dir):
     o = offers(spark, sf_dir).withColumn("base", ranking.reduced("rate"))
     got = o.groupBy("bank").agg(F.count(F.lit(1)).alias("n"), F.min("base").alias("rate_low"), F.max("base").alias("rate_high"), F.count_if(F.col("base") == 0).alias("zero_rates"), F.max("term_months").alias("longest"), F.count_if(F.coalesce("fee_free", F.lit(False))).alias("fee_free"), F.datediff(F.to_date(F.lit("2001-12-31")), F.max("ends_on")).alias("stale_days"))
     total = got.agg(F.sum("n").alias("total"))
-    return got.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("n") * F.lit(100.0) / F.col("total"), 6).cast("decimal(9,4)")).drop("total")
+    return got.crossJoin(F.broadcast(total)).withColumn("share", fixed(F.col("n") * F.lit(100.0) / F.col("total"), 4)).drop("total")
 
 
 @query(OFFERS_SQL + ", candidates AS (SELECT split_part(offer_id, '-', 1) AS doc, CAST(split_part(offer_id, '-', 2) AS INTEGER) // 3 AS start, CAST(split_part(offer_id, '-', 2) AS INTEGER) // 3 + 4 AS \"end\", kind AS field, round(rate, 6) AS distance, offer_id AS rule FROM offers WHERE kind IS NOT NULL AND rate IS NOT NULL) SELECT doc, start, field, rule FROM (SELECT *, row_number() OVER (PARTITION BY doc, start, \"end\" ORDER BY distance, rule) AS n FROM candidates) WHERE n = 1")
@@ -269,7 +269,7 @@ def candidate_select(spark, sf_dir):
     m AS (SELECT offer_id AS doc, 'rate' AS field, CASE WHEN fee_unit = 'lira' THEN rate + 1 ELSE rate * 1.001::DOUBLE END AS v, 0.6::DOUBLE AS c FROM offers WHERE rate IS NOT NULL AND kind <> 'card' UNION ALL SELECT offer_id, 'amount', CASE WHEN fee_unit = 'percent' THEN amount_max * 2 ELSE amount_max END, 0.75::DOUBLE FROM offers WHERE amount_max IS NOT NULL AND kind <> 'home'),
     j AS (SELECT coalesce(r.doc, m.doc) AS doc, coalesce(r.field, m.field) AS field, r.v AS rv, r.c AS rc, m.v AS mv, m.c AS mc, CASE WHEN greatest(abs(r.v), abs(m.v)) = 0 THEN true ELSE abs(r.v - m.v) / greatest(abs(r.v), abs(m.v)) <= 0.01 END AS same FROM r FULL JOIN m ON r.doc = m.doc AND r.field = m.field)
     SELECT doc, field, CASE WHEN rv IS NULL OR mv IS NULL THEN coalesce(rv, mv) WHEN same OR field = 'rate' THEN rv ELSE mv END AS value,
-      CAST(round(CASE WHEN rv IS NULL OR mv IS NULL THEN coalesce(rc, mc) WHEN same THEN least(1.0::DOUBLE, greatest(rc, mc) + 0.08::DOUBLE) WHEN field = 'rate' THEN rc - 0.25::DOUBLE ELSE mc - 0.25::DOUBLE END, 6) AS DECIMAL(6, 4)) AS confidence,
+      floor((CASE WHEN rv IS NULL OR mv IS NULL THEN coalesce(rc, mc) WHEN same THEN least(1.0::DOUBLE, greatest(rc, mc) + 0.08::DOUBLE) WHEN field = 'rate' THEN rc - 0.25::DOUBLE ELSE mc - 0.25::DOUBLE END) * 1e4 + 0.5) / 1e4 AS confidence,
       CASE WHEN mv IS NULL THEN 'rule' WHEN rv IS NULL THEN 'model' WHEN same THEN 'hybrid' WHEN field = 'rate' THEN 'conflict_rule' ELSE 'conflict_model' END AS method FROM j""")
 def reconcile_layers(spark, sf_dir):
     o = offers(spark, sf_dir)
@@ -277,4 +277,4 @@ def reconcile_layers(spark, sf_dir):
     cells = lambda rows, field, value, c: rows.select(doc, F.lit(field).alias("field"), value.alias("value"), F.lit(c).alias("confidence"))
     r = cells(o.where("rate IS NOT NULL"), "rate", F.col("rate"), 0.8).unionByName(cells(o.where("amount_max IS NOT NULL"), "amount", F.col("amount_max"), 0.7))
     m = cells(o.where("rate IS NOT NULL AND kind <> 'card'"), "rate", F.when(F.col("fee_unit") == "lira", F.col("rate") + 1).otherwise(F.col("rate") * 1.001), 0.6).unionByName(cells(o.where("amount_max IS NOT NULL AND kind <> 'home'"), "amount", F.when(F.col("fee_unit") == "percent", F.col("amount_max") * 2).otherwise(F.col("amount_max")), 0.75))
-    return records.reconciled(r, m, ["rate"]).withColumn("confidence", F.round("confidence", 6).cast("decimal(6,4)"))
+    return records.reconciled(r, m, ["rate"]).withColumn("confidence", fixed("confidence", 4))

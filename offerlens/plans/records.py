@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from offerlens.functions import text
 from offerlens.operators import records
-from offerlens.plans import query, table
+from offerlens.plans import fixed, query, table
 from offerlens.streaming import freshness
 
 
@@ -35,11 +35,11 @@ def overview_stats(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT n_name AS nation, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
-    SELECT nation, n, customers, CAST(round(100.0 * n / (SELECT sum(n) FROM g), 6) AS DECIMAL(9, 4)) AS share FROM g""")
+    SELECT nation, n, customers, floor((100.0 * n / (SELECT sum(n) FROM g)) * 1e4 + 0.5) / 1e4 AS share FROM g""")
 def coverage_by_bank(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     got = o.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"))
-    return got.crossJoin(F.broadcast(got.agg(F.sum("n").alias("total")))).withColumn("share", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 6).cast("decimal(9,4)")).drop("total")
+    return got.crossJoin(F.broadcast(got.agg(F.sum("n").alias("total")))).withColumn("share", fixed(F.lit(100.0) * F.col("n") / F.col("total"), 4)).drop("total")
 
 
 STATUSES = ["F", "O", "P"]
@@ -58,7 +58,7 @@ def duplicate_keys(spark, sf_dir):
 
 #: A prediction by fixed rules, to hold the labels against: null where the text says too little.
 PREDICTED_SQL = "WITH p AS (SELECT l.doc_id, field, gold, predicted FROM labels l JOIN (SELECT DISTINCT doc_id, length(text) AS n FROM documents) d USING (doc_id), LATERAL (VALUES ('quality', CAST(l.quality AS INTEGER), CASE WHEN n > 1500 THEN 1 WHEN n > 300 THEN 0 END), ('toxic', CASE WHEN l.toxic = 1 THEN 1 END, CASE WHEN n % 7 = 0 THEN 1 END)) t(field, gold, predicted))"
-RATIOS = "tp, fp, fn, \"right\", n, CAST(round(CASE WHEN tp + fp + fn > 0 THEN CASE WHEN tp + fp > 0 THEN tp * 1.0::DOUBLE / (tp + fp) ELSE 0 END END, 9) AS DECIMAL(9, 6)) AS precision, CAST(round(CASE WHEN tp + fp + fn > 0 THEN CASE WHEN tp + fn > 0 THEN tp * 1.0::DOUBLE / (tp + fn) ELSE 0 END END, 9) AS DECIMAL(9, 6)) AS recall, CAST(round(CASE WHEN tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 9) AS DECIMAL(9, 6)) AS f1"
+RATIOS = "tp, fp, fn, \"right\", n, floor((CASE WHEN tp + fp + fn > 0 THEN CASE WHEN tp + fp > 0 THEN tp * 1.0::DOUBLE / (tp + fp) ELSE 0 END END) * 1e6 + 0.5) / 1e6 AS precision, floor((CASE WHEN tp + fp + fn > 0 THEN CASE WHEN tp + fn > 0 THEN tp * 1.0::DOUBLE / (tp + fn) ELSE 0 END END) * 1e6 + 0.5) / 1e6 AS recall, floor((CASE WHEN tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END) * 1e6 + 0.5) / 1e6 AS f1"
 COUNTS_SQL = PREDICTED_SQL + ", c AS (SELECT field, count(*) FILTER (WHERE gold IS NOT NULL AND gold IS NOT DISTINCT FROM predicted) AS tp, count(*) FILTER (WHERE predicted IS NOT NULL AND gold IS DISTINCT FROM predicted) AS fp, count(*) FILTER (WHERE gold IS NOT NULL AND gold IS DISTINCT FROM predicted) AS fn, count(*) FILTER (WHERE gold IS NOT DISTINCT FROM predicted) AS \"right\", count(*) AS n FROM p GROUP BY field)"
 
 
@@ -75,13 +75,13 @@ def predicted(spark, sf_dir):
 @query(COUNTS_SQL + f" SELECT field, {RATIOS} FROM c")
 def slot_f1(spark, sf_dir):
     got = records.confusion(predicted(spark, sf_dir))
-    return got.select("field", "tp", "fp", "fn", "right", "n", *[F.round(c, 9).cast("decimal(9,6)").alias(c) for c in ("precision", "recall", "f1")])
+    return got.select("field", "tp", "fp", "fn", "right", "n", *[fixed(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query(COUNTS_SQL + ", f AS (SELECT tp, fp, fn, \"right\", n, CASE WHEN tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS f1 FROM c) SELECT CAST(round(avg(f1), 9) AS DECIMAL(9, 6)) AS macro_f1, CAST(round(sum(\"right\") * 1.0::DOUBLE / sum(n), 9) AS DECIMAL(9, 6)) AS accuracy, avg(f1) >= 0.78 AS reached FROM f")
+@query(COUNTS_SQL + ", f AS (SELECT tp, fp, fn, \"right\", n, CASE WHEN tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS f1 FROM c) SELECT floor((avg(f1)) * 1e6 + 0.5) / 1e6 AS macro_f1, floor((sum(\"right\") * 1.0::DOUBLE / sum(n)) * 1e6 + 0.5) / 1e6 AS accuracy, avg(f1) >= 0.78 AS reached FROM f")
 def macro_f1(spark, sf_dir):
     got = records.confusion(predicted(spark, sf_dir)).agg(F.avg("f1").alias("m"), (F.sum("right") / F.sum("n")).alias("a"))
-    return got.select(F.round("m", 9).cast("decimal(9,6)").alias("macro_f1"), F.round("a", 9).cast("decimal(9,6)").alias("accuracy"), (F.col("m") >= 0.78).alias("reached"))
+    return got.select(fixed("m", 6).alias("macro_f1"), fixed("a", 6).alias("accuracy"), (F.col("m") >= 0.78).alias("reached"))
 
 
 REPLICATES = 400
@@ -90,7 +90,7 @@ REPLICATES = 400
 @query(PREDICTED_SQL + f""", d AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS total FROM (SELECT doc_id, count(*) FILTER (WHERE gold IS NOT NULL AND gold IS NOT DISTINCT FROM predicted) AS tp, count(*) FILTER (WHERE predicted IS NOT NULL AND gold IS DISTINCT FROM predicted) AS fp, count(*) FILTER (WHERE gold IS NOT NULL AND gold IS DISTINCT FROM predicted) AS fn FROM p GROUP BY doc_id)),
     draws AS (SELECT rep, CAST('0x' || substr(md5(rep || ':' || place), 1, 8) AS BIGINT) % total AS place FROM d, (SELECT unnest(range({REPLICATES})) AS rep)),
     f AS (SELECT rep, 2.0::DOUBLE * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS f1 FROM draws JOIN d USING (place) GROUP BY rep), s AS (SELECT f1, row_number() OVER (ORDER BY f1) - 1 AS k FROM f)
-    SELECT CAST(round(max(f1) FILTER (WHERE k = 10), 9) AS DECIMAL(9, 6)) AS low, CAST(round(max(f1) FILTER (WHERE k = 390), 9) AS DECIMAL(9, 6)) AS high FROM s""")
+    SELECT floor((max(f1) FILTER (WHERE k = 10)) * 1e6 + 0.5) / 1e6 AS low, floor((max(f1) FILTER (WHERE k = 390)) * 1e6 + 0.5) / 1e6 AS high FROM s""")
 def bootstrap_ci(spark, sf_dir):
     """A 95 % interval of the pooled F1 over resampled documents; draws are by hash, so the interval is the same at every run.
 
@@ -104,7 +104,7 @@ def bootstrap_ci(spark, sf_dir):
     drawn = draws.select("rep", (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("place").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("total")).cast("int").alias("place"))
     f = drawn.join(d, "place").groupBy("rep").agg((2.0 * F.sum("tp") / (2 * F.sum("tp") + F.sum("fp") + F.sum("fn"))).alias("f1"))
     ordered = f.agg(F.array_sort(F.collect_list("f1")).alias("s"))  # one value a replicate
-    at = lambda k, name: F.round(F.get("s", F.lit(k)), 9).cast("decimal(9,6)").alias(name)
+    at = lambda k, name: fixed(F.get("s", F.lit(k)), 6).alias(name)
     return ordered.select(at(int(REPLICATES * 0.025), "low"), at(int(REPLICATES * 0.975), "high"))
 
 
@@ -161,7 +161,7 @@ def round2_diff(spark, sf_dir):
     return x.join(y, "doc_id", "full").select("doc_id", F.when(F.col("a").isNull(), "adds").when(F.col("b").isNull(), "removes").when(F.col("a") == F.col("b"), "same").otherwise("differs").alias("change"))
 
 
-SENTENCES = "list_filter(list_transform(string_split_regex(text, '[.\\n]+'), x -> trim(x)), x -> length(x) BETWEEN 30 AND 260 AND contains(lower(x), 'tion'))"
+SENTENCES = "list_filter(list_transform(string_split_regex(text, '[.\\n]+'), lambda x: trim(x)), lambda x: length(x) BETWEEN 30 AND 260 AND contains(lower(x), 'tion'))"
 
 
 @query(f"SELECT doc_id, CAST(i AS INTEGER) AS place, s[i] AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM documents), LATERAL (SELECT unnest(generate_series(1, least(3, len(s)))) AS i)")
@@ -181,7 +181,7 @@ def slot_carry_over(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT o_orderkey, 'order ' || o_orderkey || ' of ' || strftime(o_orderdate, '%Y') || ' costs ' || CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) || CASE WHEN o_orderkey % 10 = 0 THEN ' or 987654321' ELSE '' END AS answer, [CAST(o_orderkey AS VARCHAR), strftime(o_orderdate, '%Y'), CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR)] AS allowed FROM orders)
-    SELECT o_orderkey, CAST(len(list_filter(regexp_extract_all(answer, '\\d+'), x -> length(x) > 1 AND NOT list_contains(allowed, x))) AS INTEGER) AS unknown FROM c""")
+    SELECT o_orderkey, CAST(len(list_filter(regexp_extract_all(answer, '\\d+'), lambda x: length(x) > 1 AND NOT list_contains(allowed, x))) AS INTEGER) AS unknown FROM c""")
 def numeric_shield(spark, sf_dir):
     """How many numbers of an answer its record does not hold; one-digit numbers are not looked at."""
     price = F.round("o_totalprice").cast("long").cast("string")
@@ -226,12 +226,10 @@ VARIANTS = ["as_is", "point_mark", "wide", "upper", "sign"]
 @query("SELECT variant, kept FROM (VALUES ('as_is', 60), ('point_mark', 60), ('wide', 60), ('upper', 60), ('sign', 60)) t(variant, kept)")
 def robustness_matrix(spark, sf_dir):
     """How many rates survive each way of writing them: decimal point, spacing, capitals, sign before or after."""
-    rates = spark.range(60).select((F.lit(0.5) + F.col("id") * 0.05).alias("value")).withColumn("plain", F.format_string("yüzde %.2f", F.col("value")))
-    comma = F.replace("plain", F.lit("."), F.lit(","))
-    forms = F.array(comma, F.col("plain"), F.replace(comma, F.lit(","), F.lit(" , ")), text.upper_tr(comma), F.replace(comma, F.lit("yüzde "), F.lit("%")))
-    tall = rates.select("value", F.posexplode(forms).alias("i", "phrase")).withColumn("variant", F.get(F.array(*map(F.lit, VARIANTS)), F.col("i")))
+    forms = [lambda x: f"yüzde {x:.2f}".replace(".", ","), lambda x: f"yüzde {x:.2f}", lambda x: f"yüzde {x:.2f}".replace(".", " , "), lambda x: f"YÜZDE {x:.2f}".replace(".", ","), lambda x: f"%{x:.2f}".replace(".", ",")]
+    rows = [(v, 0.5 + i * 0.05, f(0.5 + i * 0.05)) for v, f in zip(VARIANTS, forms, strict=True) for i in range(60)]
     kept = F.abs(text.rate(F.col("phrase")) - F.col("value")) < 1e-9
-    return tall.groupBy("variant").agg(F.count_if(kept).cast("int").alias("kept"))
+    return spark.createDataFrame(rows, "variant string, value double, phrase string").groupBy("variant").agg(F.count_if(kept).cast("int").alias("kept"))
 
 
 INTENTS = [("compare", "tiontion|cheungen"), ("condition", "that|der "), ("list", "les |die "), ("definition", "of |von ")]

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import text, urls
 from offerlens.operators import extraction, records, texts
-from offerlens.plans import query, table
+from offerlens.plans import fixed, query, table
 
 #: DuckDB form of text.search_key.
 KEY = "trim(regexp_replace(translate(lower(translate(text, 'IİŞĞÜÖÇ', 'ıişğüöç')), 'âîûışğüöç''’ʼ´`', 'aiuisguoc'), '\\s+', ' ', 'g'))"
-WORDS = f"list_filter(string_split_regex({KEY}, '[^0-9a-z]+'), w -> length(w) >= 4 AND NOT regexp_full_match(w, '\\d+'))"
+WORDS = f"list_filter(string_split_regex({KEY}, '[^0-9a-z]+'), lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '\\d+'))"
 
 
 @query(f"SELECT doc_id, sha256({KEY}) AS key_sha256 FROM documents")
@@ -24,12 +24,12 @@ def topic_words(spark, sf_dir):
     return d.select("doc_id", F.size("w").alias("n_words"), F.sha2(F.array_join("w", " "), 256).alias("words_sha256"))
 
 
-@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, c[i] AS chunk FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n+'), x -> trim(x)), x -> length(x) >= 40) AS c FROM documents), LATERAL (SELECT unnest(generate_series(1, len(c))) AS i)")
+@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, c[i] AS chunk FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n+'), lambda x: trim(x)), lambda x: length(x) >= 40) AS c FROM documents), LATERAL (SELECT unnest(generate_series(1, len(c))) AS i)")
 def chunk_paragraphs(spark, sf_dir):
     return texts.chunks(table(spark, sf_dir, "documents"))
 
 
-@query("SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(text, '\\n+'), x -> length(trim(x)) >= 40)) = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(text, '\\n+'), lambda x: length(trim(x)) >= 40)) = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def unindexable_pages(spark, sf_dir):
     """Pages that a purge would delete: no line worth indexing, and not protected."""
     held = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -84,7 +84,7 @@ def number_parse(spark, sf_dir):
 PHRASES = [
     ("1.500,50", 1500.5, None, None, None, None), ("%2,05", 2.05, 2.05, None, None, None), ("yüzde 2,05", 2.05, 2.05, None, None, None), ("binde 5'i oranındadır", 5.0, 0.5, None, None, None),
     ("binde beş", None, 0.5, None, None, None), ("120 ay vadeli 1.000.000 TL konut finansmanı", 120.0, None, 1000000.0, 120, None), ("1,5 milyon TL", 1.5, None, 1500000.0, None, None), ("36 ay, bin TL'lik harcama", 36.0, None, 1000.0, 36, None),
-    ("500₺", 500.0, None, 500.0, None, None), ("10 yıl", 10.0, None, None, 120, None), ("36 aya varan vade", 36.0, None, None, 36, None), ("31 Aralık 2026", 31.0, None, None, None, "2026-12-31"), ("31.12.2026", 31122026.0, None, None, None, "2026-12-31"),
+    ("500₺", 500.0, None, 500.0, None, None), ("10 yıl", 10.0, None, None, 120, None), ("36 aya varan vade", 36.0, None, None, 36, None), ("31 Aralık 2026", 31.0, None, None, None, "2026-12-31"), ("31.12.2026", None, None, None, None, "2026-12-31"),
     ("2026 yıl sonuna kadar", 2026.0, None, None, None, "2026-12-31"), ("Eylül 2026 sonu", 2026.0, None, None, None, "2026-09-30"), ("metin", None, None, None, None, None),
 ]
 FEES = [("Dosya masrafı yok!", True), ("masrafsız konut finansmanı", True), ("Dosya masrafı alınır.", False), ("Konut finansmanı kampanyası", None), ("50.000 TL'ye kadar dosya masrafı alınmamaktadır.", True), ("Ekspertiz ücreti banka tarafından karşılanmaktadır.", True), ("FAST ile para transferi ücretsiz.", None), ("Ödenecek toplam tutar finansman tahsis ücretini içermemektedir.", False)]
@@ -109,8 +109,8 @@ def fee_free(spark, sf_dir):
 
 
 NORMAL = """'https://' || regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')
-    || (CASE WHEN len(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), p -> p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))) > 0
-        THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), p -> p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))), '&') ELSE '' END)"""
+    || (CASE WHEN len(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))) > 0
+        THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))), '&') ELSE '' END)"""
 
 
 @query(f"SELECT page_id, {NORMAL} AS normal FROM pages")
@@ -156,9 +156,9 @@ def vector_topk_diverse(spark, sf_dir):
     return texts.nearest(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 3, signature=F.col("label")).select("vec_id", "rank")
 
 
-@query(f"WITH w AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS word FROM documents) SELECT word, count(*) AS df, CAST(round(ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / count(*)), 9) AS DECIMAL(12, 6)) AS weight FROM w GROUP BY word")
+@query(f"WITH w AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS word FROM documents) SELECT word, count(*) AS df, floor((ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / count(*))) * 1e6 + 0.5) / 1e6 AS weight FROM w GROUP BY word")
 def topic_idf_weights(spark, sf_dir):
-    return texts.word_weights(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9).cast("decimal(12,6)"))
+    return texts.word_weights(table(spark, sf_dir, "documents")).withColumn("weight", fixed("weight", 6))
 
 
 ASKED = ["thionand", "tionthe", "erthe", "anwhich", "verein", "queiaux"]
@@ -167,9 +167,9 @@ ASKED = ["thionand", "tionthe", "erthe", "anwhich", "verein", "queiaux"]
 @query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS word FROM documents), a AS (SELECT unnest({ASKED}) AS asked),
     h AS (SELECT DISTINCT doc_id, asked FROM w JOIN a ON left(word, 4) = left(asked, 4) WHERE (least(length(word), length(asked)) >= 5 AND left(word, 5) = left(asked, 5)) OR least(length(word), length(asked)) = 4),
     f AS (SELECT asked, ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / count(*)) AS weight FROM h GROUP BY asked HAVING count(*) <= 0.03 * (SELECT count(*) FROM documents))
-    SELECT doc_id, CAST(round(sum(weight), 9) AS DECIMAL(12, 6)) AS score FROM h JOIN f USING (asked) GROUP BY doc_id""")
+    SELECT doc_id, floor((sum(weight)) * 1e6 + 0.5) / 1e6 AS score FROM h JOIN f USING (asked) GROUP BY doc_id""")
 def topic_match(spark, sf_dir):
-    return texts.topic_matches(table(spark, sf_dir, "documents"), ASKED).withColumn("score", F.round("score", 9).cast("decimal(12,6)"))
+    return texts.topic_matches(table(spark, sf_dir, "documents"), ASKED).withColumn("score", fixed("score", 6))
 
 
 CAMPAIGNS = [
