@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -34,6 +35,28 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(text.paragraphs(F.col(text_col), least)).alias("pos", "chunk"))
 
 
+def containments(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id): documents that hold an item's text word for word.
+
+    A held text brings its inner words along whole, so both sides are keyed by the first inner words of an item, up to
+    four, and only documents with the same words at some place are searched.  Items of fewer than three words have no
+    inner word and are not looked for, nor are null texts.
+    """
+    word = r"(?<!\S)(?=(\S+(?:\s+\S+){%d}))"
+    quotes = items.select("item_id", F.col("text").alias("quote"), F.size(F.regexp_extract_all(F.trim("text"), F.lit(r"(\S+)"), 1)).alias("words"))
+    quotes = quotes.where("words >= 3").withColumn("n", F.least(F.col("words") - 2, F.lit(4)))
+    inner = reduce(lambda out, n: F.when(F.col("n") == n, F.regexp_extract("quote", r"\S\s+(\S+(?:\s+\S+){%d})" % (n - 1), 1)).otherwise(out), range(1, 5), F.lit(None))
+    keyed = quotes.withColumn("h", F.xxhash64(inner, "n"))
+    used = [r["n"] for r in quotes.select("n").distinct().collect()]  # four at most
+    hashed = lambda n: lambda g: F.xxhash64(g, F.lit(n))
+    grams = [F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(word % (n - 1)), 1)), hashed(n)) for n in used]
+    if not grams:
+        return docs.join(items, F.lit(False)).select("item_id", "doc_id")
+    held = docs.select("doc_id", F.explode(F.concat(*grams)).alias("h"))
+    met = held.join(keyed.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+    return met.join(quotes.select("item_id", "quote"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
+
+
 def word_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, df, weight): document frequency and ln(N / df) of topic words, over all documents."""
     n = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -84,13 +107,13 @@ class _Body(HTMLParser):
         self.depth += tag in self.SKIP
         if tag in self.BREAK:
             self.out.append("\n")
+        elif tag in ("td", "th"):
+            self.out.append(" | ")
 
     def handle_endtag(self, tag):
         self.depth -= tag in self.SKIP and self.depth > 0
         if tag in self.BREAK:
             self.out.append("\n")
-        elif tag == "td":
-            self.out.append(" | ")
 
     def handle_data(self, data):
         if not self.depth:
@@ -102,7 +125,7 @@ def body_text(html: str | None) -> str:
     parser = _Body()
     parser.feed(html or "")
     parser.close()
-    return "\n".join(line for line in (" ".join(x.split()) for x in "".join(parser.out).split("\n")) if line)
+    return "\n".join(line for line in (" ".join(x.split()).removeprefix("| ") for x in "".join(parser.out).split("\n")) if line)
 
 
 def bodies(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

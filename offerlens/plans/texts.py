@@ -46,20 +46,7 @@ def content_dedupe_survivor(spark, sf_dir):
 
 @query("SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)")
 def evidence_containment(spark, sf_dir):
-    """Documents that hold a benchmark passage word for word.
-
-    A passage is looked for only where a document has its rarest-looking line start: both sides are keyed by every
-    40-character window start of the passage's first words, so only equal keys are compared.
-    """
-    first = lambda c: F.regexp_extract(c, r"^(\S+\s+\S+\s+\S+\s+\S+)", 1)
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), first(F.col("text")).alias("key"))
-    docs = table(spark, sf_dir, "documents")
-    words = F.split(F.col("text"), r"(?<=\s)(?=\S)")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.rtrim(F.array_join(F.slice(words, i, F.lit(4)), "")))
-    keyed = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("h"))
-    # benchmark items are a fixed set; the join is by hash either way, and Spark broadcasts them if they are small
-    ids = keyed.select("doc_id", "h").join(items.select("item_id", F.xxhash64("key").alias("h")), "h").select("doc_id", "item_id").distinct()
-    return ids.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
+    return texts.containments(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
 @query("""WITH hits AS (SELECT doc_id, kind, unnest(v) AS value FROM (

@@ -28,7 +28,7 @@ def write_pages(pages: DataFrame, path: str) -> None:
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
     """(stem, html) of the html files that lie beside snapshots."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
     return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.html$", 1).alias("stem"), F.col("value").alias("html"))
 
 
