@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
+#: Compression of texts, which travel once and are read several times; other values are mostly digests, where 1 does.
+TEXT_LEVEL = 5
+
+
+def squeeze(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value."""
     head = np.array([len(a.tobytes()) for a in arrays], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def spread(data: bytes, *kinds: type) -> list[np.ndarray]:
@@ -73,7 +77,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
         def block() -> pa.RecordBatch:
             order = sorted(range(len(ids)), key=ids.__getitem__)
             own = [texts[i] for i in order]
-            payload = squeeze(np.array([ids[i] for i in order], np.int64), np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8))
+            payload = squeeze(np.array([ids[i] for i in order], np.int64), np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8), level=TEXT_LEVEL)
             return pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([payload], pa.binary())], ["block", "payload"])
 
         for batch in batches:
