@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +36,17 @@ def tier(rows: DataFrame) -> DataFrame:
     """0: eligible with a cost, 1: eligible without one, 2: not eligible; and the key that orders within a tier."""
     t = F.when(F.col("eligible") & F.col("cost").isNotNull(), 0).when(F.col("eligible"), 1).otherwise(2)
     return rows.withColumns({"tier": t, "within": F.when(t == 0, F.col("cost")).when(t == 1, -F.col("fill")).otherwise(F.lit(0.0))})
+
+
+def foremost(rows: DataFrame, most: int) -> DataFrame:
+    """(profile_id, offer_id, tier, within): in each batch of rows, the first so many of each profile.
+
+    The best of all are among them, so a later ranking sorts and shuffles few rows, not all pairs.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.sort_values(["profile_id", "tier", "within", "offer_id"]).groupby("profile_id", sort=False).head(most)
+
+    own = rows.select("profile_id", "offer_id", "tier", "within")
+    return own.mapInPandas(run, own.schema)

@@ -11,6 +11,8 @@ from offerlens.plans import fixed, query, table
 TOP = 100
 GRID = [3, 6, 12, 18, 24, 36, 48]
 SCENARIO = ranking.Scenario(principal=50_000.0, months=24)
+#: Parts of each nation's offers when they meet its profiles.
+PARTS = 16
 
 OFFERS_SQL = """
     WITH offers AS (
@@ -157,12 +159,16 @@ def term_advice(spark, sf_dir):
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles and the offers of their own nation's banks that they are held against."""
-    o = offers(spark, sf_dir).where(F.substring_index("offer_id", "-", 1).cast("long") % 50 == 0)
+    """Every profile with every offer of its own nation's banks.
+
+    There are few nations, so each nation's offers are dealt into parts and its profiles go to all of them.
+    """
+    o = offers(spark, sf_dir)
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     profile = c.select(F.col("c_custkey").alias("profile_id"), F.col("n_name").alias("country"), F.col("c_mktsegment").alias("customer_type"), (F.col("c_acctbal") * 5).alias("amount"), (F.pmod("c_custkey", F.lit(48)) + 1).cast("int").alias("months"))
     o = o.select("offer_id", "country", "rate", "fill", F.when(F.col("fee_unit") == "lira", F.col("fee")).alias("fee_lira"), F.when(F.col("kind") == "card", "HOUSEHOLD").when(F.col("kind") == "vehicle", "AUTOMOBILE").alias("need_type"), F.when(F.col("kind") == "home", 10000.0).alias("amount_min"), "amount_max", F.lit(None).cast("int").alias("term_min"), F.col("term_months").alias("term_max"))
-    return profile.join(o, "country")
+    part = F.pmod(F.xxhash64("offer_id"), F.lit(PARTS)).cast("int")
+    return profile.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).join(o.withColumn("part", part), ["country", "part"]).drop("part")
 
 
 PAIRS_SQL = OFFERS_SQL + f""",
@@ -186,9 +192,9 @@ def eligibility_rank(spark, sf_dir):
     """The five best offers of each profile, as the answer shows them."""
     from pyspark.sql import Window as W
 
-    rows = eligibility.tier(eligibility.reasons(pairs(spark, sf_dir)))
     within = F.when(F.col("tier") == 0, F.round("within", 4)).otherwise(F.col("within"))
-    w = W.partitionBy("profile_id").orderBy("tier", within, "offer_id")
+    rows = eligibility.foremost(eligibility.tier(eligibility.reasons(pairs(spark, sf_dir))).withColumn("within", within), 5)
+    w = W.partitionBy("profile_id").orderBy("tier", "within", "offer_id")
     return rows.withColumn("place", F.row_number().over(w)).where("place <= 5").select("profile_id", "offer_id", "tier", "place")
 
 

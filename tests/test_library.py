@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlens.functions import text, urls
+from offerlens import plans
 from offerlens.operators import eligibility, extraction, finance, ranking, records, texts
+from offerlens.plans import offers as _  # noqa: F401  registers its queries
 from offerlens.sources import files
 from offerlens.streaming import freshness
 
@@ -77,6 +79,24 @@ def test_eligibility_reasons(spark):
     assert got[3].failed == ["customer_type"] and got[4].eligible and (got[5].cost, got[5].tier) == (None, 1) and got[6].failed == ["amount_max"]
 
 
+@pytest.mark.parametrize("name", ["eligibility_reasons", "eligibility_rank"])
+def test_every_profile_meets_every_offer_of_its_nation(spark, name):
+    """Against the query's SQL over all offers: the registered SQL itself keeps one order in fifty."""
+    import duckdb
+
+    sf, part = "/root/testdata/sf0.001", " WHERE CAST(split_part(offer_id, '-', 1) AS BIGINT) % 50 = 0"
+    c = duckdb.connect()
+    for t in ("lineitem", "part", "supplier", "nation", "customer"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    run = c.execute(plans.ORACLE[name].replace(part, ""))
+    names = [d[0] for d in run.description]
+    want = sorted(run.fetchall(), key=str)
+    assert sorted((tuple(r[n] for n in names) for r in plans.QUERIES[name](spark, sf).collect()), key=str) == want
+    if name == "eligibility_reasons":
+        pairs = "SELECT count(*) FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN lineitem ON l_suppkey = s_suppkey"
+        assert len(want) == c.execute(pairs).fetchone()[0]
+
+
 def test_values_in_text(spark):
     assert one(spark, "50.000", text.number) == (50000.0,) and one(spark, "2.05", text.number) == (2.05,) and one(spark, "1.2.3", text.number) == (None,)
     assert one(spark, None, text.number, text.rate, text.money, text.term_months, text.date, text.fee_free) == (None,) * 6
