@@ -1,8 +1,9 @@
-"""Near-duplicate documents by ProbMinHash over weighted word shingles, banding and verification (operator 3).
+"""Near-duplicate documents by ProbMinHash over word shingles, banding and verification (operator 3).
 
 Each shingle is a Poisson process whose rate is its weight; every arrival falls in a random register, and a register
 keeps the shingle that arrives first.  Two documents agree in a register with the probability Jaccard similarity of
-their weights.  A document is done as soon as no process can arrive before its latest register.
+their weights.  A document is done as soon as no process can arrive before its latest register.  Each distinct shingle
+weighs 1 however often it stands in the document, so that this similarity is the one that links are verified by.
 
 Documents of equal bands meet in buckets.  There each is compared with the bucket's first document only; most buckets
 are then one component.  In the others, documents outside the bucket's main component are compared with all of it:
@@ -87,9 +88,9 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunked(frames, "text", CHUNK):
             n = len(frame)
-            doc, h, times = shingles(frame["text"].tolist())
+            doc, h, _ = shingles(frame["text"].tolist())
             size = np.bincount(doc, minlength=n)
-            sig = signatures(n, doc, h, 1.0 + np.log2(times), BANDS * ROWS).reshape(n * BANDS, ROWS)
+            sig = signatures(n, doc, h, np.ones(len(h)), BANDS * ROWS).reshape(n * BANDS, ROWS)
             keys = mix(prefixed(sig) + np.tile(np.arange(BANDS, dtype=np.uint64), n)).view(np.int64).reshape(n, BANDS)
             one, two = (np.zeros(n, np.uint64) for _ in range(2))
             np.add.at(one, doc, mix(h))
