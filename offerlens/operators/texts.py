@@ -40,21 +40,24 @@ def containments(items: DataFrame, docs: DataFrame) -> DataFrame:
 
     A held text brings its inner words along whole, so both sides are keyed by the first inner words of an item, up to
     four, and only documents with the same words at some place are searched.  Items of fewer than three words have no
-    inner word and are not looked for, nor are null texts.
+    inner word; they are held against every document.  Null texts are not looked for.
     """
     word = r"(?<!\S)(?=(\S+(?:\s+\S+){%d}))"
     quotes = items.select("item_id", F.col("text").alias("quote"), F.size(F.regexp_extract_all(F.trim("text"), F.lit(r"(\S+)"), 1)).alias("words"))
-    quotes = quotes.where("words >= 3").withColumn("n", F.least(F.col("words") - 2, F.lit(4)))
+    quotes = quotes.where("quote IS NOT NULL").withColumn("n", F.greatest(F.lit(0), F.least(F.col("words") - 2, F.lit(4))))
+    used = {r["n"] for r in quotes.select("n").distinct().collect()}  # five at most
+    short = docs.join(quotes.where("n = 0"), F.contains(docs["text"], F.col("quote"))).select("item_id", "doc_id")
+    if used <= {0}:
+        return short
+    quotes = quotes.where("n > 0")
     inner = reduce(lambda out, n: F.when(F.col("n") == n, F.regexp_extract("quote", r"\S\s+(\S+(?:\s+\S+){%d})" % (n - 1), 1)).otherwise(out), range(1, 5), F.lit(None))
     keyed = quotes.withColumn("h", F.xxhash64(inner, "n"))
-    used = [r["n"] for r in quotes.select("n").distinct().collect()]  # four at most
     hashed = lambda n: lambda g: F.xxhash64(g, F.lit(n))
-    grams = [F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(word % (n - 1)), 1)), hashed(n)) for n in used]
-    if not grams:
-        return docs.join(items, F.lit(False)).select("item_id", "doc_id")
+    grams = [F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(word % (n - 1)), 1)), hashed(n)) for n in sorted(used - {0})]
     held = docs.select("doc_id", F.explode(F.concat(*grams)).alias("h"))
     met = held.join(keyed.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    return met.join(quotes.select("item_id", "quote"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
+    long = met.join(quotes.select("item_id", "quote"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
+    return long.unionByName(short) if 0 in used else long
 
 
 def word_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -153,6 +153,16 @@ def test_containments(spark):
     assert texts.containments(items.where("item_id > 2"), docs).count() == 0
 
 
+def test_containments_of_short_items(spark):
+    quotes = {1: "b c d", 2: "b c", 3: "c", 4: "", 5: None, 6: " ", 7: "zz"}
+    held = {1: "a b c d e", 2: "ab cd", 3: None, 4: "", 5: "x"}
+    want = sorted((i, d) for i, q in quotes.items() for d, t in held.items() if q is not None and t is not None and q in t)
+    items, docs = spark.createDataFrame(list(quotes.items()), "item_id long, text string"), spark.createDataFrame(list(held.items()), "doc_id long, text string")
+    assert sorted(map(tuple, texts.containments(items, docs).collect())) == want
+    assert sorted(map(tuple, texts.containments(items.where("item_id > 1"), docs).collect())) == [r for r in want if r[0] > 1]
+    assert texts.containments(items.where("item_id = 5"), docs).count() == 0
+
+
 def test_retrieval(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 1.0], 2), (4, [0.0, 1.0], 2)], "vec_id long, embedding array<float>, label int")
     assert [r.vec_id for r in texts.nearest(v, [1.0, 0.0], 3).orderBy("rank").collect()] == [1, 2, 3]
