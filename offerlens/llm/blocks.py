@@ -48,10 +48,10 @@ NO_ID = -(2**63)
 
 
 class Block:
-    """Some documents in ascending order of id: ids, where each starts and ends in the bytes, and the bytes (UTF-8)."""
+    """Some documents in ascending order of id: ids, row keys, where each starts and ends in the bytes, and the bytes (UTF-8)."""
 
     def __init__(self, payload: bytes):
-        self.ids, sizes, self.bytes = spread(payload, np.int64, np.int64, np.uint8)
+        self.ids, self.keys, sizes, self.bytes = spread(payload, np.int64, np.int64, np.int64, np.uint8)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
 
@@ -68,31 +68,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
-    """(block, payload): documents in blocks, dealt out by block.  A null text counts as empty."""
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_BYTES, key_col: str | None = None) -> DataFrame:
+    """(block, payload): documents in blocks, dealt out by block.  A null text counts as empty.
+
+    key_col: a long that tells rows apart where ids repeat or are null; it travels beside the id.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        task, seq, ids, keys, texts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            order = sorted(range(len(ids)), key=ids.__getitem__)
+            order = sorted(range(len(ids)), key=lambda i: (ids[i], keys[i] if keys else 0))
             own = [texts[i] for i in order]
-            payload = squeeze(np.array([ids[i] for i in order], np.int64), np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8), level=TEXT_LEVEL)
+            long = lambda values: np.array(values, np.int64)
+            payload = squeeze(long([ids[i] for i in order]), long([keys[i] for i in order] if keys else []), long([len(t) for t in own]), np.frombuffer(b"".join(own), np.uint8), level=TEXT_LEVEL)
             return pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq], pa.int64()), pa.array([payload], pa.binary())], ["block", "payload"])
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            ks = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            for i, t, k in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), ks, strict=True):
                 t = t or b""
                 if ids and size + len(t) > limit:
                     yield block()
-                    seq, ids, texts, size = seq + 1, [], [], 0
+                    seq, ids, keys, texts, size = seq + 1, [], [], [], 0
                 ids.append(NO_ID if i is None else i)
+                if k is not None:
+                    keys.append(k)
                 texts.append(t)
                 size += len(t)
         if ids:
             yield block()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(key_col).cast("long").alias("key")] if key_col else []))
     return rows.mapInArrow(pack, "block long, payload binary").repartition(partitions(docs.sparkSession), "block")
 
 
@@ -107,11 +114,11 @@ def each(blocks: DataFrame, f, schema: str) -> DataFrame:
     return blocks.mapInPandas(run, schema)
 
 
-def answered(blocks: DataFrame, answers: DataFrame, f, schema: str) -> DataFrame:
-    """f(block id, Block, its answers) -> DataFrame, for each block, with or without answers."""
+def answered(blocks: DataFrame, answers: DataFrame, f, schema: str, all_blocks: bool = True) -> DataFrame:
+    """f(block id, Block, its answers) -> DataFrame, for each block, or for each that has answers."""
 
     def run(key, left, right):
-        if not len(left):
+        if not len(left) or not (all_blocks or len(right)):
             return pd.DataFrame(columns=names)
         return f(int(key[0]), Block(left["payload"].iloc[0]), right)
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-TOP = np.uint64(2**64 - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -54,23 +53,33 @@ def sliding(f, x: np.ndarray, width: int) -> np.ndarray:
     return f(out[:n], out[width - have : width - have + n]) if have < width else out[:n]
 
 
-def anchors(symbols: np.ndarray, ends: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and gram hashes of the minimisers of all windows, and the prefix hashes.
+#: Symbols whose windows are given owners together: a place takes POSITION_BITS bits.
+POSITION_BITS = 20
+PLACE = np.uint64(2**POSITION_BITS - 1)
 
-    ends: where each document ends in the concatenated symbols.  Every window of `window` symbols inside one document
-    holds the whole gram of at least one anchor, chosen by the window's content alone: equal windows have equal
-    anchors at equal places.  Grams that cross documents are never anchors.
+
+def owners(symbols: np.ndarray, ends: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(at, first, last, hash) of the grams that own windows, and the prefix hashes.
+
+    ends: where documents end in the symbols.  A window of `window` symbols inside one document is owned by the gram in
+    it whose hash is least, the leftmost of equal ones: its content alone decides, so equal windows have equal owners
+    at equal places, and each window has one.  first and last are the starts of the first and last window that a gram
+    owns; those between are its own too.
     """
     pre = prefix(symbols)
     n, width = len(symbols) - gram + 1, window - gram + 1
     if n < width:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), pre
+        none = np.empty(0, np.int64)
+        return none, none, none, np.empty(0, np.uint64), pre
+    assert n <= int(PLACE) + 1
     h = mix((pre[gram:] - pre[:-gram]) * powers(BASE_A, len(pre))[1][:n])
-    h[h == TOP] = 0
-    for j in range(1, gram):  # grams that start j symbols before an end
-        at = ends - j
-        h[at[(at >= 0) & (at < n)]] = TOP
-    low = np.zeros(n + width - 1, dtype=np.uint64)
-    low[width - 1 : n] = sliding(np.minimum, h, width)
-    chosen = np.flatnonzero((sliding(np.maximum, low, width) == h) & (h != TOP))
-    return chosen, h[chosen], pre
+    least = sliding(np.minimum, (h & ~PLACE) | np.arange(n, dtype=np.uint64), width)
+    crossing = np.zeros(len(least) + 1, np.int32)
+    inner = ends[(ends > 0) & (ends < len(symbols))]
+    np.add.at(crossing, np.clip(inner - window + 1, 0, len(least)), 1)
+    np.add.at(crossing, np.minimum(inner, len(least)), -1)
+    start = np.flatnonzero(np.cumsum(crossing[:-1]) == 0)
+    owner = (least[start] & PLACE).astype(np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+    at = owner[edge]
+    return at, start[edge], start[np.append(edge[1:], len(owner)) - 1] if len(edge) else edge, h[at], pre

@@ -1,17 +1,19 @@
 """Removal of passages that occur more than once, over the whole corpus (operators 1 and 6).
 
-A passage is a window of so many symbols (bytes or words) of one document.  Equal windows hold the same minimiser gram
-at the same place, so only anchors, one in some dozens of symbols, are compared across documents:
-
-1. each block sends its distinct anchor hashes; those seen once are done with;
-2. for the others it sends its distinct snippets, anchor and all that a window holding it can cover, to the partition
-   of the anchor's hash, where a bounded group is searched: a suffix sort finds the windows with an earlier occurrence
-   (bytes), or a suffix automaton those with any other (words).  Where all snippets of an anchor have one digest (128
-   bits with the anchor's), the text need not be sent: it is the same everywhere;
+A passage is a window of so many symbols (bytes or words) of one document.  One gram of each window owns it, chosen by
+the window's content alone, so equal windows are owned by equal grams at equal places, and only texts around equal
+grams are compared across documents:
+
+1. each block sends its distinct grams that own windows; those that stand once in the corpus are done with;
+2. for the others it sends its distinct snippets, the text of all windows that a gram owns, to the partition of the
+   gram's hash.  There a suffix sort finds the windows with an earlier occurrence (bytes), or the suffix automaton of a
+   gram's snippets those with any other (words);
 3. the spans found go back to the blocks, which take them out of the text.
 
-An anchor with more snippets than the group limit (a line that very many texts share, each going on differently) is not
-searched as a group.  Its windows are compared one by one through their digests instead, each at most once a block.
+Hashes only propose: the suffix sort is verified by the bytes, automata compare words, and snippets of one block count
+as equal only if their symbols are.  A gram with more snippets than the group limit (a line that very many texts share,
+each going on differently) is not searched in one task: its windows are grouped by their own text instead, with
+partial aggregation before the shuffle.  Of the rows keyed by a gram, one is sent for each block of 2 MB that has it.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Window as W
 
 from offerlens.llm import blocks, suffixes
 from offerlens.llm.automaton import Automaton
-from offerlens.llm.digest import BASE_A, BASE_B, anchors, mix, prefix, span
+from offerlens.llm.digest import BASE_A, BASE_B, mix, owners, prefix, span
 
 #: Rows of a partition that are searched together, besides the last group's.
 SEARCH_ROWS = 20_000
@@ -45,42 +47,78 @@ class Passages:
     words: bool
     first_stays: bool
     group_limit: int = 2000
-    block_bytes: int = 1 << 20  # the hash arrays take some hundred times as much
+    block_bytes: int = 2 << 20
+    #: Window starts of a block that are hashed together: the hash arrays take some dozens of bytes for each, so a long
+    #: document goes through in overlapping segments.
+    segment: int = 1 << 19
 
 
 BYTES = Passages(window=100, gram=32, words=False, first_stays=True)
 WORDS = Passages(window=35, gram=12, words=True, first_stays=False)
 
 
-class Symbols:
-    """The symbols of a block, its anchors and their classes of equal snippets."""
+class Layout:
+    """Where the symbols of a block and of its documents stand."""
 
     def __init__(self, b: blocks.Block, kind: Passages):
         self.block, self.kind = b, kind
         if kind.words:
             self.word_at, self.word_end = word_spans(b)
-            pre = prefix(b.bytes.astype(np.uint64) + np.uint64(1))
-            size = (self.word_end - self.word_at).astype(np.uint64)
-            self.symbols = mix(span(pre, self.word_at, self.word_end) + size * np.uint64(BASE_B))
-            self.ends = np.searchsorted(self.word_at, b.ends)
+            self.n, self.ends = len(self.word_at), np.searchsorted(self.word_at, b.ends)
         else:
-            self.symbols, self.ends = b.bytes.astype(np.uint64) + np.uint64(1), b.ends
+            self.n, self.ends = len(b.bytes), b.ends
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        self.at, self.hash, self.pre = anchors(self.symbols, self.ends, kind.gram, kind.window)
-        self.pre_b = prefix(self.symbols, BASE_B)
-        doc = np.searchsorted(self.ends, self.at, side="right")
-        self.doc, reach = doc, kind.window - kind.gram
-        self.lo, self.hi = np.maximum(self.at - reach, self.starts[doc]), np.minimum(self.at + kind.window, self.ends[doc])
-        self.snippet = self.digest(self.lo, self.hi) + mix((self.at - self.lo).astype(np.uint64))
-        _, first, self.own_class, self.times = np.unique(mix(self.hash + self.snippet * np.uint64(BASE_B)), return_index=True, return_inverse=True, return_counts=True)
-        self.first = first  # of each class the anchor of least id and position, as documents are in order
+
+    def symbols(self, a: int, b: int) -> np.ndarray:
+        if not self.kind.words or a >= b:
+            return self.block.bytes[a:b].astype(np.uint64) + np.uint64(1)
+        start, end = self.word_at[a:b] - self.word_at[a], self.word_end[a:b] - self.word_at[a]
+        pre = prefix(self.block.bytes[self.word_at[a] : self.word_end[b - 1]].astype(np.uint64) + np.uint64(1))
+        return mix(span(pre, start, end) + (end - start).astype(np.uint64) * np.uint64(BASE_B))
+
+    def raw(self, a: int, b: int) -> bytes:
+        """The bytes of symbols a to b; words are joined by one space."""
+        if not self.kind.words:
+            return self.block.bytes[a:b].tobytes()
+        return b" ".join(BLANK.split(self.block.bytes[self.word_at[a] : self.word_end[b - 1]].tobytes()))
+
+    def segments(self) -> Iterator[Symbols]:
+        """Parts of the symbols such that each window starts in one of them."""
+        for a in range(0, max(self.n, 1), self.kind.segment):
+            yield Symbols(self, a, min(self.n, a + self.kind.segment + self.kind.window - 1))
+
+
+class Symbols:
+    """The grams of a segment that own windows, and their classes of equal snippets.  Places count from the block's start."""
+
+    def __init__(self, at: Layout, low: int, high: int):
+        self.layout = at
+        symbols = at.symbols(low, high)
+        gram_at, first, last, self.hash, self.pre = owners(symbols, at.ends - low, at.kind.gram, at.kind.window)
+        self.pre_b = prefix(symbols, BASE_B)
+        snippet = self.digest(first, last + at.kind.window)
+        self.at, self.lo, self.hi = gram_at + low, first + low, last + at.kind.window + low
+        self.doc = np.searchsorted(at.ends, self.lo, side="right")
+        self.classes(mix(self.hash + mix(snippet + (self.at - self.lo).astype(np.uint64)) * np.uint64(BASE_B)))
 
     def digest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(span(self.pre, a, b) + np.uint64(BASE_A) * mix(span(self.pre_b, a, b, BASE_B) + (b - a).astype(np.uint64)))
 
-    def raw(self, a: int, b: int) -> bytes:
-        """The bytes of symbols a to b."""
-        return self.block.bytes[self.word_at[a] : self.word_end[b - 1]].tobytes() if self.kind.words else self.block.bytes[a:b].tobytes()
+    def content(self, i: int) -> tuple[int, bytes]:
+        return int(self.at[i] - self.lo[i]), self.layout.raw(int(self.lo[i]), int(self.hi[i]))
+
+    def classes(self, digests: np.ndarray) -> None:
+        """first: of each class the gram of least id and place, as documents are in order; times: its size; own_class: each gram's."""
+        _, self.first, self.own_class, self.times = np.unique(digests, return_index=True, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(self.first[self.own_class] != np.arange(len(digests))) if len(digests) else digests
+        if any(self.content(i) != self.content(j) for i, j in zip(again.tolist(), self.first[self.own_class[again]].tolist(), strict=True)):  # digests collided
+            number: dict = {}
+            self.own_class = np.array([number.setdefault(self.content(i), len(number)) for i in range(len(digests))])
+            _, self.first, self.times = np.unique(self.own_class, return_index=True, return_counts=True)
+
+    def places(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document id and place in it."""
+        return self.layout.block.ids[doc], at - self.layout.starts[doc]
 
 
 def word_spans(b: blocks.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -94,69 +132,78 @@ def word_spans(b: blocks.Block) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def spans(docs: DataFrame, kind: Passages, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+FOUND = "block long, at long, before int, after int"
+
+
+def spans(docs: DataFrame, kind: Passages, id_col: str, text_col: str, key_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The blocks, and (block, at, before, after): symbols at-before to at+after of the block are to go."""
-    held = blocks.packed(docs, id_col, text_col, kind.block_bytes)
-    seen = blocks.each(held, lambda block, b: ask(block, Symbols(b, kind)), "h long, block long, n long, c long, low long, high long")
-    w = W.partitionBy("h")  # a row for each block that has the anchor, at most
-    live = seen.select("h", "block", F.sum("n").over(w).alias("n"), F.sum("c").over(w).alias("c"), (F.min("low").over(w) == F.max("high").over(w)).alias("same"))
-    live = live.where("n > 1").select("block", "h", "c", "same")
-    told = blocks.answered(held, live, lambda block, b, own: tell(block, Symbols(b, kind), own), TOLD)
+    held = blocks.packed(docs, id_col, text_col, kind.block_bytes, key_col)
+    seen = blocks.each(held, lambda block, b: ask(block, Layout(b, kind)), "h long, block long, n int, c int")
+    w = W.partitionBy("h")
+    live = seen.select("h", "block", F.sum("n").over(w).alias("n"), (F.sum("c").over(w) > kind.group_limit).alias("crowded")).where("n > 1").select("block", "h", "crowded")
+    told = blocks.answered(held, live, lambda block, b, own: tell(block, Layout(b, kind), own), TOLD)
     dealt = told.repartition(blocks.partitions(docs.sparkSession), "h").sortWithinPartitions("h")
-    return held, dealt.mapInPandas(lambda frames: search(frames, kind), "block long, at long, before int, after int")
+    found = dealt.mapInPandas(lambda frames: search(frames, kind), FOUND)
+    crowded = blocks.answered(held, live.where("crowded"), lambda block, b, own: windows(block, Layout(b, kind), own), WINDOWS, all_blocks=False)
+    return held, found.unionByName(repeated_windows(crowded, kind))
+
 
+def ask(block: int, at: Layout) -> Iterator[pd.DataFrame]:
+    """Each gram of the block once: how often it owns windows there, and how many snippets it has."""
+    got = [(s.hash, s.hash[s.first]) for s in at.segments()]
+    h, n = np.unique(np.concatenate([x for x, _ in got]), return_counts=True)
+    _, c = np.unique(np.concatenate([x for _, x in got]), return_counts=True)
+    yield pd.DataFrame({"h": h.view(np.int64), "block": block, "n": n.astype(np.int32), "c": c.astype(np.int32)})
 
-def ask(block: int, s: Symbols) -> Iterator[pd.DataFrame]:
-    h, n = np.unique(s.hash, return_counts=True)
-    own = s.hash[s.first]
-    order = np.lexsort((s.snippet[s.first].view(np.int64), own))
-    _, at, c = np.unique(own[order], return_index=True, return_counts=True)
-    digests = s.snippet[s.first][order].view(np.int64)
-    yield pd.DataFrame({"h": h.view(np.int64), "block": block, "n": n, "c": c, "low": digests[at], "high": digests[at + c - 1]})
 
+TOLD = "h long, block long, at long, doc long, pos long, n int, before int, snippet binary"
+WINDOWS = "block long, at long, doc long, pos long, n int, snippet binary"
 
-TOLD = "h long, kind int, block long, at long, doc long, pos long, n long, before int, other long, snippet binary"
 
+def among(hashes: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    asked = np.sort(asked.astype(np.int64).view(np.uint64))
+    place = np.minimum(np.searchsorted(asked, hashes), max(0, len(asked) - 1))
+    return asked[place] == hashes if len(asked) else np.zeros(len(hashes), bool)
 
-def tell(block: int, s: Symbols, live: pd.DataFrame) -> pd.DataFrame:
-    """Rows of kind 0: the snippet of a class; 1: the digest of a window of a hot anchor; 2: a span found in the block itself; 3: a class of an anchor that has no other, with the symbols after the anchor's start."""
-    hashes = live["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, crowd, same = hashes[order], live["c"].to_numpy(np.int64)[order], live["same"].to_numpy(bool)[order]
-    place = np.searchsorted(hashes, s.hash)
-    held = np.zeros(len(s.hash), bool)
-    inner = place < len(hashes)
-    held[inner] = hashes[place[inner]] == s.hash[inner]
-    hot = held.copy()
-    alone = held.copy()
-    alone[held] = same[place[held]]
-    hot[held] = (crowd[place[held]] > s.kind.group_limit) & ~alone[held]
 
-    def rows(kind: int, keep: np.ndarray) -> pd.DataFrame:
+def tell(block: int, at: Layout, live: pd.DataFrame) -> pd.DataFrame:
+    """The snippets of the grams asked for, one of each class, but for crowded grams."""
+    asked, out = live["h"].to_numpy()[~live["crowded"].to_numpy(bool)], []
+    for s in at.segments():
+        keep = among(s.hash[s.first], asked)
         rep = s.first[keep]
-        text = [s.raw(a, b) for a, b in zip(s.lo[rep].tolist(), s.hi[rep].tolist(), strict=True)] if kind == 0 else None
-        return pd.DataFrame({
-            "h": s.hash[rep].view(np.int64), "kind": kind, "block": block, "at": s.at[rep], "doc": s.block.ids[s.doc[rep]], "pos": s.at[rep] - s.starts[s.doc[rep]], "n": s.times[keep],
-            "before": s.at[rep] - s.lo[rep], "other": s.hi[rep] - s.at[rep] if kind else 0, "snippet": text,
-        })
-
-    out = [rows(0, held[s.first] & ~hot[s.first] & ~alone[s.first]), rows(3, alone[s.first])]
-    if hot.any():
-        out += windows(block, s, np.flatnonzero(hot))
-    return pd.concat(out)[[c.split(" ")[0] for c in TOLD.split(", ")]]
-
-
-def windows(block: int, s: Symbols, hot: np.ndarray) -> list[pd.DataFrame]:
-    size, reach = s.kind.window, s.kind.window - s.kind.gram
-    at = (s.at[hot][:, None] - np.arange(reach + 1)).ravel()
-    doc = np.repeat(s.doc[hot], reach + 1)
-    at = np.unique(at[(at >= s.starts[doc]) & (at + size <= s.ends[doc])])
-    doc = np.searchsorted(s.ends, at, side="right")
-    one, two = mix(span(s.pre, at, at + size)), mix(span(s.pre_b, at, at + size, BASE_B))
-    _, first, own, times = np.unique(one + np.uint64(BASE_A) * two, return_index=True, return_inverse=True, return_counts=True)
-    asked = pd.DataFrame({"h": one[first].view(np.int64), "kind": 1, "block": block, "at": at[first], "doc": s.block.ids[doc[first]], "pos": at[first] - s.starts[doc[first]], "n": times, "before": 0, "other": two[first].view(np.int64), "snippet": None})
-    known = at[np.setdiff1d(np.arange(len(at)), first)] if s.kind.first_stays else at[times[own] > 1]
-    return [asked, pd.DataFrame({"h": mix(known.astype(np.uint64)).view(np.int64), "kind": 2, "block": block, "at": known, "doc": 0, "pos": 0, "n": 0, "before": 0, "other": 0, "snippet": None})]
+        doc, pos = s.places(s.at[rep], s.doc[rep])
+        text = [at.raw(a, b) for a, b in zip(s.lo[rep].tolist(), s.hi[rep].tolist(), strict=True)]
+        out.append(pd.DataFrame({"h": s.hash[rep].view(np.int64), "block": block, "at": s.at[rep], "doc": doc, "pos": pos, "n": s.times[keep].astype(np.int32), "before": (s.at[rep] - s.lo[rep]).astype(np.int32), "snippet": text}))
+    return pd.concat(out)
+
+
+def windows(block: int, at: Layout, live: pd.DataFrame) -> pd.DataFrame:
+    """The windows of crowded grams, each text once with the place of the first; further places have no text and are known to go."""
+    size, out, texts = at.kind.window, [], {}
+    for s in at.segments():
+        for i in np.flatnonzero(among(s.hash[s.first], live["h"].to_numpy())).tolist():
+            rep = s.first[i]
+            for a in range(int(s.lo[rep]), int(s.hi[rep]) - size + 1):
+                texts.setdefault(at.raw(a, a + size), []).append((a, int(s.doc[rep]), int(s.times[i])))
+    for text, places in texts.items():
+        places.sort()
+        a, d, _ = places[0]
+        n = sum(p[2] for p in places)
+        out.append((block, a, int(at.block.ids[d]), a - int(at.starts[d]), n, text))
+        out += [(block, a, 0, 0, 0, None) for a, _, _ in places[1:]]
+    return pd.DataFrame(out, columns=[c.split(" ")[0] for c in WINDOWS.split(", ")])
+
+
+def repeated_windows(rows: DataFrame, kind: Passages) -> DataFrame:
+    """Spans of windows with an earlier occurrence, or with any other, grouped by their text."""
+    place = F.struct("doc", "pos", "block", "at")
+    texts = rows.where("snippet IS NOT NULL")
+    total = texts.groupBy("snippet").agg(F.min(place).alias("first"), F.sum("n").alias("total")).where("total > 1")
+    again = texts.join(total, "snippet")
+    again = again.where(place != F.col("first")) if kind.first_stays else again
+    gone = again.select("block", "at").unionByName(rows.where("snippet IS NULL").select("block", "at"))
+    return gone.select("block", "at", F.lit(0).alias("before"), F.lit(kind.window).alias("after"))
 
 
 def whole_groups(frames: Iterator[pd.DataFrame], key: str, least: int) -> Iterator[pd.DataFrame]:
@@ -180,30 +227,9 @@ def whole_groups(frames: Iterator[pd.DataFrame], key: str, least: int) -> Iterat
 
 
 def search(frames: Iterator[pd.DataFrame], kind: Passages) -> Iterator[pd.DataFrame]:
-    """Spans that are to go, from the rows of a partition in order of h, some SEARCH_ROWS at a time."""
-    names = ["block", "at", "before", "after"]
+    """Spans that are to go, from the rows of a partition in order of h, some SEARCH_ROWS at a time; groups keep to the group limit."""
     for rows in whole_groups(frames, "h", SEARCH_ROWS):
-        known = rows[rows["kind"] == 2]
-        if len(known):
-            yield known.assign(before=0, after=kind.window)[names]
-        asked = rows[rows["kind"] == 1]
-        if len(asked):
-            if kind.first_stays:
-                asked = asked.sort_values(["doc", "pos"])
-                found = asked[asked.duplicated(["h", "other"])]
-            else:
-                found = asked[asked.groupby(["h", "other"], sort=False)["n"].transform("sum") > 1]
-            if len(found):
-                yield found.assign(before=0, after=kind.window)[names]
-        alone = rows[(rows["kind"] == 3) & (rows["before"] + rows["other"] >= kind.window)]
-        if kind.first_stays:
-            alone = alone.sort_values(["h", "doc", "pos"])
-            alone = alone[alone.duplicated("h")]
-        if len(alone):
-            yield alone.assign(after=alone["other"])[names]
-        snippets = rows[rows["kind"] == 0].sort_values(["h", "doc", "pos"], ignore_index=True)
-        if len(snippets):
-            yield (earlier if kind.first_stays else anywhere)(snippets, kind)
+        yield (earlier if kind.first_stays else anywhere)(rows.sort_values(["h", "doc", "pos", "block", "at"], ignore_index=True), kind)
 
 
 def earlier(rows: pd.DataFrame, kind: Passages) -> pd.DataFrame:
@@ -245,8 +271,8 @@ def earlier(rows: pd.DataFrame, kind: Passages) -> pd.DataFrame:
 def anywhere(rows: pd.DataFrame, kind: Passages) -> pd.DataFrame:
     """Spans of snippets that occur at least twice, by the suffix automaton of each group.
 
-    Each snippet has a mark where its anchor starts, so that two snippets cut from one place, around two anchors of
-    equal grams, do not count as two occurrences of what they share.
+    Each snippet has a mark where its gram starts: what occurs twice holds the gram at the same place, and all windows
+    of a snippet hold it.
     """
     out: list[tuple[int, int, int, int]] = []
     for _, g in rows.groupby("h", sort=False):
@@ -283,42 +309,43 @@ def merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def covered(s: Symbols, found: pd.DataFrame) -> np.ndarray:
-    """Which symbols of the block go: the spans that came back, and the snippets that the block has more than once."""
-    delta = np.zeros(len(s.symbols) + 1, np.int64)
-    at = found["at"].to_numpy(np.int64)
-    np.add.at(delta, at - found["before"].to_numpy(np.int64), 1)
-    np.add.at(delta, at + found["after"].to_numpy(np.int64), -1)
-    again = s.times[s.own_class] > 1 if len(s.at) else np.zeros(0, bool)
-    if s.kind.first_stays:
-        again[s.first] = False
-    again &= s.hi - s.lo >= s.kind.window
-    np.add.at(delta, s.lo[again], 1)
-    np.add.at(delta, s.hi[again], -1)
+def covered(at: Layout, found: pd.DataFrame) -> np.ndarray:
+    """Which symbols of the block go: the spans that came back, and the snippets that a segment has more than once."""
+    delta = np.zeros(at.n + 1, np.int64)
+    place = found["at"].to_numpy(np.int64)
+    np.add.at(delta, place - found["before"].to_numpy(np.int64), 1)
+    np.add.at(delta, place + found["after"].to_numpy(np.int64), -1)
+    for s in at.segments():
+        again = s.times[s.own_class] > 1 if len(s.at) else np.zeros(0, bool)
+        if at.kind.first_stays:
+            again[s.first] = False
+        np.add.at(delta, s.lo[again], 1)
+        np.add.at(delta, s.hi[again], -1)
     return np.cumsum(delta[:-1]) > 0
 
 
-def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, kind: Passages = BYTES) -> DataFrame:
+def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, kind: Passages = BYTES, key_col: str | None = None) -> DataFrame:
     """Documents without the bytes of any 100-byte string that also starts earlier.
 
-    Earlier is a smaller doc_id, or the same document and an earlier start; of rows with the same id the first read
-    counts as earlier.  Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (lowercase hex)
-    and, if asked for, kept: the remaining bytes as text, parts of cut characters left out.  Null and empty texts
-    have 0 bytes.  An empty table gives an empty result; other columns are not read.
+    Earlier is a smaller doc_id, or the same document and an earlier start; of rows with the same id the one of smaller
+    key, or first read without a key_col, counts as earlier.  Returns doc_id, n_bytes, n_removed, n_spans (maximal
+    removed runs), kept_sha256 (lowercase hex) and, if asked for, kept: the remaining bytes as text, parts of cut
+    characters left out; with a key_col also row_key.  Null and empty texts have 0 bytes.  A text longer than a block is
+    a block of its own and is hashed in segments.  An empty table gives an empty result; other columns are not read.
     """
 
     def cut(block: int, b: blocks.Block, found: pd.DataFrame) -> pd.DataFrame:
-        s = Symbols(b, kind)
-        gone, rows = covered(s, found), []
-        for doc, x, y in zip(b.doc_ids(), b.starts.tolist(), b.ends.tolist(), strict=True):
+        at = Layout(b, kind)
+        gone, rows = covered(at, found), []
+        for i, (doc, x, y) in enumerate(zip(b.doc_ids(), b.starts.tolist(), b.ends.tolist(), strict=True)):
             own = gone[x:y]
             kept = b.bytes[x:y][~own].tobytes()
             n_spans = int(own[:1].sum()) + int((own[1:] & ~own[:-1]).sum())
-            rows.append((doc, y - x, int(own.sum()), n_spans, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "ignore"),) if with_text else ()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
+            rows.append((doc, y - x, int(own.sum()), n_spans, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "ignore"),) if with_text else ()) + ((int(b.keys[i]),) if key_col else ()))
+        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text + ["row_key"] * bool(key_col))
 
-    held, found = spans(docs, kind, id_col, text_col)
-    return blocks.answered(held, found, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    held, found = spans(docs, kind, id_col, text_col, key_col)
+    return blocks.answered(held, found, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + ", row_key long" * bool(key_col))
 
 
 def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, kind: Passages = WORDS) -> DataFrame:
@@ -326,15 +353,16 @@ def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Words are runs of other characters than blanks and ASCII controls 9 to 13, unchanged.  Returns doc_id, n_words,
     n_removed, kept_sha256 (of the kept words joined by one space) and, if asked for, kept (those words).  All copies
-    go, the first too.  Null and empty texts have no words.  An empty table gives an empty result; repeated rows are
-    copies of each other; other columns are not read.
+    go, the first too.  Null and empty texts have no words.  A text longer than a block is a block of its own and is
+    hashed in segments.  An empty table gives an empty result; repeated rows are copies of each other; other columns
+    are not read.
     """
 
     def cut(block: int, b: blocks.Block, found: pd.DataFrame) -> pd.DataFrame:
-        s = Symbols(b, kind)
-        gone, rows, raw = covered(s, found), [], b.bytes.tobytes()
-        starts, ends = s.word_at.tolist(), s.word_end.tolist()
-        for doc, x, y in zip(b.doc_ids(), s.starts.tolist(), s.ends.tolist(), strict=True):
+        at = Layout(b, kind)
+        gone, rows, raw = covered(at, found), [], b.bytes.tobytes()
+        starts, ends = at.word_at.tolist(), at.word_end.tolist()
+        for doc, x, y in zip(b.doc_ids(), at.starts.tolist(), at.ends.tolist(), strict=True):
             kept = b" ".join([raw[starts[i] : ends[i]] for i in (np.flatnonzero(~gone[x:y]) + x).tolist()])
             rows.append((doc, y - x, int(gone[x:y].sum()), hashlib.sha256(kept).hexdigest()) + ((kept.decode(),) if with_text else ()))
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)

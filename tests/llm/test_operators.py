@@ -76,11 +76,42 @@ def test_repeats_of_a_crowded_anchor(spark):
     rows = [(i, f"{words(rng, 30, 400)} {line} {words(rng, 30, 400)}" if i % 3 else line + words(rng, 9)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for make, kind, want in ((repeats.without_repeated_bytes, repeats.BYTES, brute.repeated_bytes(rows)), (repeats.without_repeated_words, repeats.WORDS, brute.repeated_words(rows))):
-        for limit in (2000, 3):
-            got = {r.doc_id: tuple(r)[1 : 1 + len(want[0])] for r in make(df, kind=replace(kind, group_limit=limit, block_bytes=4000)).collect()}
+        for limit, segment in ((2000, 1 << 19), (3, 1 << 19), (2000, 700), (3, 150)):
+            got = {r.doc_id: tuple(r)[1 : 1 + len(want[0])] for r in make(df, kind=replace(kind, group_limit=limit, block_bytes=4000, segment=segment)).collect()}
             assert got == want
 
 
+def test_each_window_has_one_owner_and_equal_windows_have_equal_ones():
+    from offerlens.llm import digest
+
+    rng = np.random.default_rng(11)
+    for alphabet in (1, 2, 40):
+        symbols = rng.integers(1, alphabet + 1, 900).astype(np.uint64)
+        symbols[500:700] = symbols[100:300]
+        ends = np.array([0, 40, 340, 340, 900])
+        at, first, last, _, _ = digest.owners(symbols, ends, 6, 20)
+        owner = {w: int(a) - w for a, x, y in zip(at, first, last) for w in range(x, y + 1)}
+        inside = [w for w in range(881) if not any(w < e < w + 20 for e in ends)]
+        assert sorted(owner) == inside and sum(last - first + 1) == len(inside)
+        by_text: dict = {}
+        for w in inside:
+            by_text.setdefault(symbols[w : w + 20].tobytes(), set()).add(owner[w])
+        assert all(len(places) == 1 and 0 <= min(places) <= 14 for places in by_text.values())
+
+
+def test_equal_snippets_are_told_by_their_symbols_when_digests_collide(spark, monkeypatch):
+    from offerlens.llm import blocks
+
+    monkeypatch.setattr(repeats.Symbols, "digest", lambda self, a, b: np.zeros(len(a), np.uint64))
+    text = "".join(random.Random(3).choices("abcd", k=400))
+    raw = (text[:150] + text[:150] + text[150:]).encode()
+    b = blocks.Block(blocks.squeeze(np.array([1]), np.zeros(0, np.int64), np.array([len(raw)]), np.frombuffer(raw, np.uint8)))
+    s = next(repeats.Layout(b, repeats.BYTES).segments())
+    for i in range(len(s.at)):
+        assert s.content(i) == s.content(int(s.first[s.own_class[i]]))
+    assert len(s.first) == len({(int(s.hash[i]), s.content(i)) for i in range(len(s.at))})
+
+
 def test_repeated_words(docs, pairs, none):
     want = brute.repeated_words(pairs)
     got = {r.doc_id: tuple(r)[1:4] for r in repeats.without_repeated_words(docs).collect()}
