@@ -1,16 +1,19 @@
 """BPE encoding and decoding through a table of distinct words (operator 4).
 
 Words, as the byte-level pre-tokenizer splits them, repeat; a text's ids are its words' ids in order.  So each block of
-documents sends its distinct words to the partition of the word's hash; there each distinct word is encoded once, by
-the vocabulary's own merges, and its ids are joined to the pieces they stand for.  Both go back to the blocks that
-asked and are put together by position.  The word table is never broadcast: invented words grow with the corpus.
+documents gives a row for each of its distinct words; the rows are partitioned and sorted by word, which makes them the
+distinct-word table.  Each task reads its part as a stream: a word's rows are neighbours, so it is encoded once, by the
+vocabulary's own merges, and its ids are joined to the table of pieces they stand for.  Both go back to the blocks that
+asked, a row for each word, and are put together by position.  No task holds more than a batch of rows or one block;
+the word table is never broadcast, as invented words grow with the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
-from zlib import crc32
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,6 +22,9 @@ from pyspark.sql import DataFrame
 
 from offerlens.llm import blocks
 
+#: Bytes of text in a block: the larger, the fewer rows of words.
+BLOCK_BYTES = 32 << 20
+
 # The published split pattern of the byte-level vocabulary.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -41,11 +47,21 @@ def load(path: str):
 
 
 @lru_cache(2)
-def piece_table(path: str) -> dict[int, bytes]:
-    """id -> the bytes of its piece."""
+def piece_table(path: str) -> pd.DataFrame:
+    """(id, piece): the bytes that each id of the vocabulary stands for."""
     tokenizer = load(path)
     alphabet, special = byte_alphabet(), {a.content for a in tokenizer.get_added_tokens_decoder().values()}
-    return {i: piece.encode() if piece in special else bytes(alphabet[c] for c in piece) for piece, i in tokenizer.get_vocab().items()}
+    rows = [(i, piece.encode() if piece in special else bytes(alphabet[c] for c in piece)) for piece, i in tokenizer.get_vocab().items()]
+    return pd.DataFrame(rows, columns=["id", "piece"])
+
+
+def encoded_words(words: list[str], path: str) -> tuple[list[list[int]], list[bytes]]:
+    """The ids of each word, and what they decode to through a join with the pieces."""
+    ids = [e.ids for e in load(path).encode_batch(words, add_special_tokens=False)]
+    flat = pd.DataFrame({"id": np.fromiter(chain.from_iterable(ids), np.int64)})
+    pieces = flat.merge(piece_table(path), on="id", how="left")["piece"].tolist()
+    ends = np.cumsum([len(x) for x in ids]).tolist()
+    return ids, [b"".join(pieces[e - len(x) : e]) for x, e in zip(ids, ends, strict=True)]
 
 
 def splitter(tokenizer):
@@ -77,61 +93,50 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     empty text.  Repeated rows each get a row; an empty table gives an empty result; other columns of docs are not read.
     path must be readable on every executor; it is a file of the environment, like the library itself.
     """
-    n = blocks.partitions(docs.sparkSession)
-    held = blocks.packed(docs, id_col, text_col)
+    held = blocks.packed(docs, id_col, text_col, BLOCK_BYTES)
 
     def ask(block: int, b: blocks.Block):
-        split, buckets = splitter(load(path)), [[] for _ in range(n)]
-        seen: set[str] = set()
-        for text in b.texts():
-            seen.update(split(text))
-        for w in sorted(seen):
-            buckets[crc32(w.encode()) % n].append(w)
-        rows = [(block, k, *listed(words)) for k, words in enumerate(buckets) if words]
-        yield pd.DataFrame(rows, columns=["block", "bucket", "words"])
-
-    def listed(words: list[str]) -> tuple[bytes]:
-        raw = [w.encode() for w in words]
-        return (blocks.squeeze(np.array([len(r) for r in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8)),)
-
-    def answer(key, asked):
-        lists = []
-        for data in asked["words"]:
-            sizes, raw = blocks.spread(data, np.uint32, np.uint8)
-            raw, ends = raw.tobytes(), np.cumsum(sizes)
-            lists.append([raw[e - s : e].decode() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)])
-        distinct = sorted(set().union(*lists))
-        encoded = load(path).encode_batch(distinct, add_special_tokens=False)
-        ids = {w: e.ids for w, e in zip(distinct, encoded, strict=True)}
-        out = []
-        for block, words in zip(asked["block"], lists, strict=True):
-            own = [ids[w] for w in words]
-            raw = [w.encode() for w in words]
-            out.append((block, blocks.squeeze(np.array([len(r) for r in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in own], np.uint32), np.array([i for x in own for i in x], np.uint32))))
-        return pd.DataFrame(out, columns=["block", "ids"])
+        words = list(numbered(b)[0])
+        yield pd.DataFrame({"word": pd.Series(words, dtype=object), "block": block, "at": np.arange(len(words), dtype=np.int32)})
+
+    def numbered(b: blocks.Block) -> tuple[dict[str, int], list[np.ndarray]]:
+        """The block's distinct words in order of first sight, and each text as their numbers."""
+        split, seen = splitter(load(path)), {}
+        return seen, [np.array([seen.setdefault(w, len(seen)) for w in split(text)], np.int32) for text in b.texts()]
+
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, ids, decoded = None, b"", None
+        for frame in frames:
+            words = frame["word"].tolist()
+            new = [i for i in range(len(words)) if words[i] != (words[i - 1] if i else last)]
+            run = np.cumsum(np.bincount(new, minlength=len(words))) if words else np.empty(0, np.int64)
+            distinct = [words[i] for i in new]
+            got, raw = encoded_words(distinct, path)
+            # as most words decode to themselves, only others are sent
+            ids_of = [ids, *(np.array(x, np.uint32).tobytes() for x in got)]
+            decoded_of = [decoded, *(None if r == w.encode() else r for w, r in zip(distinct, raw, strict=True))]
+            yield pd.DataFrame({"block": frame["block"], "at": frame["at"], "ids": [ids_of[i] for i in run], "decoded": [decoded_of[i] for i in run]})
+            if words:
+                last, ids, decoded = words[-1], ids_of[-1], decoded_of[-1]
 
     def join(block: int, b: blocks.Block, answers: pd.DataFrame) -> pd.DataFrame:
-        tokenizer = load(path)
-        split, piece = splitter(tokenizer), piece_table(path)
-        text_of: dict[str, str] = {}
-        bytes_of: dict[str, bytes] = {}
-        for data in answers["ids"]:
-            sizes, raw, counts, ids = blocks.spread(data, np.uint32, np.uint8, np.uint32, np.uint32)
-            raw, ids, at, k = raw.tobytes(), ids.tolist(), 0, 0
-            for s, c in zip(sizes.tolist(), counts.tolist(), strict=True):
-                w, own = raw[at : at + s].decode(), ids[k : k + c]
-                text_of[w] = ",".join(map(str, own))
-                bytes_of[w] = b"".join([piece[i] for i in own])
-                at, k = at + s, k + c
+        seen, texts = numbered(b)
+        own = list(seen)
+        text_of, bytes_of = [""] * len(own), [w.encode() for w in own]
+        for at, ids, decoded in zip(answers["at"], answers["ids"], answers["decoded"], strict=True):
+            text_of[at] = ",".join(map(str, np.frombuffer(ids, np.uint32).tolist()))
+            if decoded is not None:
+                bytes_of[at] = decoded
         rows = []
-        for doc, text in zip(b.doc_ids(), b.texts(), strict=True):
-            words = split(text)
-            ids = ",".join([text_of[w] for w in words])
-            decoded = b"".join([bytes_of[w] for w in words]).decode("utf-8", "replace").encode()
+        for doc, numbers in zip(b.doc_ids(), texts, strict=True):
+            words = numbers.tolist()
+            ids = ",".join([text_of[i] for i in words])
+            decoded = b"".join([bytes_of[i] for i in words]).decode("utf-8", "replace").encode()
             rows.append((doc, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()) + (([int(i) for i in ids.split(",")] if ids else [], decoded.decode()) if with_ids else ()))
         return pd.DataFrame(rows, columns=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
-    asked = blocks.each(held, ask, "block long, bucket int, words binary")
-    answers = asked.groupBy("bucket").applyInPandas(answer, "block long, ids binary")
+    asked = blocks.each(held, ask, "word string, block long, at int")
+    table = asked.repartition(blocks.partitions(docs.sparkSession), "word").sortWithinPartitions("word")
+    answers = table.mapInPandas(answer, "block long, at int, ids binary, decoded binary")
     return blocks.answered(held, answers, join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)

@@ -34,11 +34,15 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def create(self) -> None:
+        """Make the table, empty, unless it is there."""
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
+
     def append(self, digests: DataFrame) -> None:
         """Add the digests that are new; digests has digest and the long row_id.  Of equal ones the largest id counts."""
+        self.create()
         new = digests.groupBy("digest").agg(F.max("row_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if self.exists():
-            new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         new.repartition(self.buckets, "digest").write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
     def drop(self) -> None:

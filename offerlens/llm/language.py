@@ -8,7 +8,6 @@ rejected if even that is farther than nearly all labelled texts of that language
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Hashed n-gram dimensions; n-grams of 1 to 3 characters.
 DIMS = 1 << 14
@@ -75,16 +75,17 @@ def clustered(x: np.ndarray, k: int = CENTROIDS, rounds: int = 12) -> np.ndarray
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
-    """A model from at most fit_rows rows of each language, those of smallest text hash; rows without label or letter are left out."""
+    """A model from at most fit_rows distinct texts of each language, those of smallest hash; rows without label or letter are left out.
+
+    Copies of a text count once, so a language whose rows repeat few texts is learned from all of those.
+    """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).withColumn("h", F.xxhash64("text"))
-    langs = [(r[0], r[1]) for r in rows.groupBy("lang").count().collect()]
-    parts = []
-    for lang, n in langs:  # a cut by hash first, so that no task sorts a whole language
-        part = rows.where((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 20)) < int(min(1.0, 2 * fit_rows / n) * (1 << 20))))
-        parts.append(part.orderBy("h").limit(fit_rows))
-    got = reduce(DataFrame.unionAll, parts).select("text", "lang").collect() if parts else []
-    return Model([r[0] for r in got], [r[1] for r in got])
+    # each task keeps its fit_rows least hashes of a language before the shuffle
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    least = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= fit_rows).select("lang", "h")
+    got = rows.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
+    return Model([r["text"] for r in got], [r["lang"] for r in got])
 
 
 def has_letter(text: Column) -> Column:

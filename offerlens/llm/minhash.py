@@ -111,7 +111,7 @@ def prefixed(rows: np.ndarray) -> np.ndarray:
 def chunked(frames: Iterator[pd.DataFrame], text: str, limit: int) -> Iterator[pd.DataFrame]:
     """The rows of frames, in frames of about limit characters at most."""
     for frame in frames:
-        part = frame[text].str.len().fillna(0).cumsum() // limit
+        part = np.cumsum([len(t or "") for t in frame[text]]) // limit
         for _, own in frame.groupby(part, sort=False):
             yield own.reset_index(drop=True)
 
@@ -148,42 +148,50 @@ def verified(pairs: DataFrame, held: DataFrame, similar: float) -> DataFrame:
 def crossed(left: DataFrame, held: DataFrame, similar: float, most: int) -> DataFrame:
     """(a, b): links across components in crowded buckets, as a forest for each part.
 
-    left has key, doc, root, main and size.  A bucket is dealt into parts by hash; each task takes one pair of parts,
-    so a bucket of any size is compared whole and no task holds more than about twice `most` documents.
+    left has key, doc, root, main, size and outsiders.  A bucket is dealt into parts of about `most` documents and its
+    outsiders, those not of the main component, into chunks of as many; each task holds one chunk against one part.  So
+    a bucket of any size is compared whole, insiders are not copied where there is one chunk of outsiders, and no task
+    holds more than about twice `most` documents.
     """
 
     def run(key, frame):
-        frame = frame.drop_duplicates("doc").reset_index(drop=True)
         sets_ = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
         size = np.array([len(x) for x in sets_])
         _, ids = np.unique(np.concatenate(sets_), return_inverse=True)
         starts = np.cumsum(size) - size
-        root, part, up = frame["root"].to_numpy().copy(), frame["part"].to_numpy(), np.arange(len(frame))
-        seen, out = np.zeros(int(ids.max()) + 1, bool), []
+        doc, root, asks = frame["doc"].to_numpy(), frame["root"].to_numpy(), frame["asks"].to_numpy(bool)
+        held = np.flatnonzero(~asks)
+        if not len(held):
+            return pd.DataFrame([], columns=["a", "b"])
+        inner = np.concatenate([ids[starts[j] : starts[j] + size[j]] for j in held])
+        edges = np.cumsum(size[held]) - size[held]
+        seen, up, out = np.zeros(int(ids.max()) + 1, bool), {}, []
 
         def top(i):
-            while up[i] != i:
+            while up.get(i, i) != i:
                 i = up[i]
             return i
 
-        for i in np.flatnonzero(frame["root"].to_numpy() != frame["main"].to_numpy()):
-            other = np.flatnonzero((root != root[i]) & (np.minimum(size, size[i]) >= similar * np.maximum(size, size[i]) - 1e-9) & ((part != part[i]) | (key[1] == key[2])))
-            if not len(other):
+        for i in np.flatnonzero(asks):
+            fits = (root[held] != root[i]) & (np.minimum(size[held], size[i]) >= similar * np.maximum(size[held], size[i]) - 1e-9)
+            if not fits.any():
                 continue
             own = ids[starts[i] : starts[i] + size[i]]
             seen[own] = True
-            both = np.add.reduceat(seen[ids], starts)[other]
+            both = np.add.reduceat(seen[inner].astype(np.int64), edges)
             seen[own] = False
-            for j in other[both / (size[i] + size[other] - both) >= similar]:
-                if (x := top(i)) != (y := top(j)):
+            for j in held[fits & (both / (size[i] + size[held] - both) >= similar)]:
+                if (x := top(doc[i])) != (y := top(doc[j])):
                     up[x] = y
-                    out.append((frame["doc"][i], frame["doc"][j]))
+                    out.append((doc[i], doc[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    parts = F.ceil(F.col("size") / most).cast("int")
-    own = left.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc", "key"), F.col("parts")).cast("int"))
-    dealt = own.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "mate"), "j": F.greatest("part", "mate")})
-    return dealt.join(held.withColumnRenamed("doc_id", "doc"), "doc").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    dealt = left.withColumns({"parts": F.ceil(F.col("size") / most).cast("int"), "chunks": F.ceil(F.col("outsiders") / most).cast("int")})
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    insiders = dealt.select("key", "doc", "root", share("parts", "doc", "key").alias("part"), number("chunks").alias("chunk"), F.lit(False).alias("asks"))
+    outside = dealt.where("root <> main").select("key", "doc", "root", number("parts").alias("part"), share("chunks", "key", "doc").alias("chunk"), F.lit(True).alias("asks"))
+    return insiders.unionByName(outside).join(held.withColumnRenamed("doc_id", "doc"), "doc").groupBy("key", "part", "chunk").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, part: int = PART) -> DataFrame:
@@ -201,16 +209,16 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     heads = rows.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = cut(rows.join(heads, "key"))
     fits = lambda n, m: (F.least(n, m) >= F.greatest(n, m) * similar - 1e-9)  # noqa: E731  else the sets can't be similar enough
-    met = rows.select(F.col("doc").alias("node")).distinct()
-    asked = docs.join(met, F.col(id_col).cast("long") == F.col("node"), "left_semi")
-    shingle_sets = cut(sets(asked, id_col, text_col).dropDuplicates(["doc_id"]))
+    met = rows.select(F.col("doc").alias("doc_id")).distinct()
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(met, "doc_id", "left_semi")
+    shingle_sets = cut(sets(asked, "doc_id", "text").dropDuplicates(["doc_id"]))
     star = rows.where((F.col("doc") != F.col("head.doc")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.doc").alias("a"), F.col("doc").alias("b")).distinct()
     links = cut(verified(star, shingle_sets, similar))
     root = components(links)
     # buckets that are not one component yet
     named = rows.select("key", "doc", "n", "size").join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    main = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times")).groupBy("key").agg(F.max_by("root", F.struct("times", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    left = cut(named.join(main.where("roots > 1").select("key", "main"), "key"))
+    main = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times")).groupBy("key").agg(F.max_by("root", F.struct("times", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), (F.sum("times") - F.max("times")).alias("outsiders"))
+    left = cut(named.join(main.where("roots > 1").select("key", "main", "outsiders"), "key"))
     x = left.where((F.col("root") != F.col("main")) & (F.col("size") <= small)).select("key", F.col("doc").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
     y = left.where(F.col("size") <= small).select("key", F.col("doc").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"))
     across = x.join(y, "key").where((F.col("root_x") != F.col("root_y")) & fits(F.col("n_x"), F.col("n_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

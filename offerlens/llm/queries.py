@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.llm import bpe, exact, fingerprints, language, minhash, packing, repeats, scoring, urls
@@ -16,9 +18,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeated_bytes(documents(spark, sf_dir))
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is not to be learned from: crc32 of its id as text leaves 2, or it has no id."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2)
-    model = language.fit(docs.where(~F.coalesce("held_out", F.lit(False))).select("text", "lang"))
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out(F.col("doc_id")))
+    model = language.fit(docs.where(~F.col("held_out")).select("text", "lang"))
     return language.identify(docs, model, carry=["held_out"]).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
@@ -49,7 +56,10 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.dedup(documents(spark, sf_dir))
+    """The index is a table of the session's catalog, one for each application; a run begins with an empty one."""
+    index = exact.DigestIndex(spark, "op9_digest_index_" + re.sub(r"\W", "_", spark.sparkContext.applicationId))
+    index.drop()
+    return exact.dedup(documents(spark, sf_dir), index)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Stupid-backoff language-model scores from count tables partitioned by hash (operator 8).
 
-Each block of documents sends its distinct n-grams with their counts to the partitions of their hashes.  A partition
-adds up the counts of all blocks, its part of the count table, and gives each block those it asked for.  There they
-are joined to the exploded n-grams and summed per document.
+Each block of documents is exploded into a row for each distinct n-gram it has, with its count there.  Partitioned by
+the n-gram's hash, their sums over all blocks are the count table, joined to the same rows: each block gets the counts
+of its own n-grams back, looks them up for every word, and sums the scores per document.  All of it is rows of fixed
+size that Spark partitions, sorts and spills; no task holds more than one block.
 """
 
 from __future__ import annotations
@@ -10,107 +11,92 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from offerlens.llm import blocks
-from offerlens.llm.digest import BASE_A, BASE_B, mix, prefix, span
-from offerlens.llm.repeats import word_spans
+from offerlens.llm.digest import BASE_A, BASE_B, mix
+from offerlens.llm.repeats import WORDS, Layout
 
 #: Words an n-gram, the factor of each step back, and the least count with which an n-gram of several words is used.
 ORDER, BACKOFF, LEAST = 2, 0.4, 2
 START = np.uint64(0x5D588B656C078965)
+#: Stands for all words where n-grams stand.
+ALL = np.uint64(0x2545F4914F6CDD1D)
+#: Bytes of text in a block: the larger, the fewer rows of n-grams.  Words hashed together.
+BLOCK_BYTES, PIECE = 32 << 20, 1 << 18
 
 
 class Grams:
     """The n-grams of a block's documents, each document led by order - 1 start marks."""
 
     def __init__(self, b: blocks.Block, order: int):
-        at, end = word_spans(b)
-        pre = prefix(b.bytes.astype(np.uint64) + np.uint64(1))
-        words = mix(span(pre, at, end) + (end - at).astype(np.uint64) * np.uint64(BASE_B))
-        stop = np.searchsorted(at, b.ends)
-        self.sizes = np.diff(np.concatenate([[0], stop]))
+        layout = Layout(b, WORDS)
+        self.sizes = np.diff(np.concatenate([[0], layout.ends]))
+        words = np.concatenate([layout.symbols(a, min(a + PIECE, layout.n)) for a in range(0, max(layout.n, 1), PIECE)])
         lead = order - 1
-        doc = np.repeat(np.arange(len(stop)), self.sizes)
-        self.at = np.arange(len(words)) + (doc + 1) * lead  # of each word among words and marks
-        self.doc = doc
-        stream = np.empty(len(words) + lead * len(stop), np.uint64)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.at = np.arange(len(words)) + (self.doc + 1) * lead  # of each word among words and marks
+        stream = np.empty(len(words) + lead * len(self.sizes), np.uint64)
         stream[self.at] = words
         first = np.cumsum(self.sizes + lead) - (self.sizes + lead)
         for k in range(lead):  # the k-th mark is a symbol of its own, so no n-gram across documents looks like one inside
             stream[first + k] = START + np.uint64(k)
-        #: Digests of the n-grams that end at each place, for n from 1 to order; at the marks of a document some reach
-        #: into the one before; nothing asks for those.
-        self.by_n = [stream]
+        #: Digests of the n-grams that end at each place, for n from 1 to order, and from which place of a document on
+        #: they are its own.
+        self.by_n, self.place = [stream], np.arange(len(stream)) - np.repeat(first, self.sizes + lead)
         for n in range(2, order + 1):
             before = np.concatenate([np.zeros(1, np.uint64), self.by_n[-1][:-1]])[: len(stream)]
             self.by_n.append(mix(before * np.uint64(BASE_A) + stream * np.uint64(BASE_B) + np.uint64(n)))
 
-    def distinct(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Digests by part and value, their counts, the parts' edges, and for each n the place of each digest."""
-        every = np.concatenate(self.by_n)
-        h, own, times = np.unique(every, return_inverse=True, return_counts=True)
-        part = (mix(h) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        return h[order], times[order], edges, np.split(place[own], len(self.by_n))
-
-
-def planes(h: np.ndarray) -> np.ndarray:
-    """Ascending digests as differences, byte by byte, which compresses."""
-    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).ravel()
-
-
-def unplaned(raw: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    def counted(self):
+        """(digests, counts) of the distinct n-grams, for each n."""
+        for n, digests in enumerate(self.by_n):
+            yield np.unique(digests[self.place >= n], return_counts=True)
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs over all words), n_backoff (words scored without context).
 
     A word after its context scores count(context, word) / count(context) if the n-gram occurs `least` times or more,
-    else `backoff` times its score after the shorter context, at last its share of all words.  Counts are over all
-    documents.  Words are runs without blanks and ASCII controls 9 to 13, unchanged; start marks lead a document.
-    Null, empty and wordless texts have n_words 0 and log_score 0.  Repeated rows count as often as they stand there.
-    An empty table gives an empty result; other columns are not read.
+    at least twice: one that occurs once is known from this very text alone.  Else it scores `backoff` times its score
+    after the shorter context, at last its share of all words.  Counts are over all documents.  Words are runs without
+    blanks and ASCII controls 9 to 13, unchanged; start marks lead a document.  Null, empty and wordless texts have
+    n_words 0 and log_score 0.  Repeated rows count as often as they stand there.  An empty table gives an empty
+    result; other columns are not read.  A text longer than a block is a block of its own.
     """
-    parts = blocks.partitions(docs.sparkSession)
-    held = blocks.packed(docs, id_col, text_col)
+    if least < 2:
+        raise ValueError("least must be 2 or more: every n-gram of a text occurs once")
+    held = blocks.packed(docs, id_col, text_col, BLOCK_BYTES)
 
-    def ask(block: int, b: blocks.Block):
+    def explode(block: int, b: blocks.Block):
         g = Grams(b, order)
-        h, times, edges, _ = g.distinct(parts)
-        rows = []
-        for k in range(parts):  # every part learns how many words each block has
-            own = slice(edges[k], edges[k + 1])
-            rows.append((block, k, len(g.at), blocks.squeeze(planes(h[own]), times[own].astype(np.uint32))))
-        yield pd.DataFrame(rows, columns=["block", "part", "words", "grams"])
-
-    def answer(key, asked):
-        got = [blocks.spread(x, np.uint8, np.uint32) for x in asked["grams"]]
-        lists, times = [unplaned(x[0]) for x in got], [x[1] for x in got]
-        _, own = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(own, weights=np.concatenate(times)).astype(np.int64)[own] if len(own) else own
-        edges = np.cumsum([len(x) for x in lists])[:-1]
-        return pd.DataFrame({"block": asked["block"], "part": key[0], "words": int(asked["words"].sum()), "counts": [blocks.squeeze(x) for x in np.split(total.astype(np.uint32), edges)]})
-
-    def join(block: int, b: blocks.Block, answers):
+        yield pd.DataFrame({"gram": [ALL.astype(np.int64)], "block": block, "n": len(g.at)})
+        for h, n in g.counted():
+            yield pd.DataFrame({"gram": h.view(np.int64), "block": block, "n": n})
+
+    def join(block: int, b: blocks.Block, counts: pd.DataFrame) -> pd.DataFrame:
         g = Grams(b, order)
-        _, _, _, places = g.distinct(parts)
-        answers = answers.sort_values("part")
-        counts = np.concatenate([blocks.spread(x, np.uint32)[0] for x in answers["counts"]]).astype(np.float64)
-        words = max(1, int(answers["words"].iloc[0]))
-        value = np.log(counts[places[0][g.at]] / words) + (order - 1) * np.log(backoff)
+        grams, total = counts["gram"].to_numpy(np.int64).view(np.uint64), counts["total"].to_numpy(np.int64)
+        by = np.argsort(grams)
+        grams, total = grams[by], total[by]
+
+        def count(h: np.ndarray) -> np.ndarray:  # n-grams without an answer occur once
+            if not len(grams):
+                return np.ones(len(h))
+            place = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
+            return np.where(grams[place] == h, total[place], 1).astype(np.float64)
+
+        value = np.log(count(g.by_n[0][g.at]) / count(np.array([ALL]))[0]) + (order - 1) * np.log(backoff)
         back = np.ones(len(g.at), bool)
         for n in range(2, order + 1):
-            c = counts[places[n - 1][g.at]]
+            c = count(g.by_n[n - 1][g.at])
             hit = c >= least
-            value[hit] = np.log(c[hit] / counts[places[n - 2][g.at - 1]][hit]) + (order - n) * np.log(backoff)
+            value[hit] = np.log(c[hit] / count(g.by_n[n - 2][g.at[hit] - 1])) + (order - n) * np.log(backoff)
             back &= ~hit
         n_docs = len(b.ids)
         return pd.DataFrame({"doc_id": pd.array(b.doc_ids(), "Int64"), "n_words": g.sizes, "log_score": np.bincount(g.doc, weights=value, minlength=n_docs), "n_backoff": np.bincount(g.doc, weights=back, minlength=n_docs).astype(np.int64)})
 
-    asked = blocks.each(held, ask, "block long, part int, words long, grams binary")
-    answers = asked.groupBy("part").applyInPandas(answer, "block long, part int, words long, counts binary")
-    return blocks.answered(held, answers, join, "doc_id long, n_words long, log_score double, n_backoff long")
+    exploded = blocks.each(held, explode, "gram long, block long, n long")
+    counted = exploded.withColumn("total", F.sum("n").over(W.partitionBy("gram"))).where("total > 1").select("block", "gram", "total")
+    return blocks.answered(held, counted, join, "doc_id long, n_words long, log_score double, n_backoff long")

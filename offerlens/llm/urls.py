@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 # Host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Labelled urls that the trees learn from: those of smallest hash, at most about so many.
+#: Labelled urls that the trees learn from: distinct ones of smallest hash, at most about half as many of each verdict.
 TRAIN_ROWS = 20_000
 FEATURES = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "dot_count", "hyphen_count", "param_count", "entropy", "has_fragment", "has_extension", "labels", "first_label_length", "suffix_share", "log_suffix_count"]
 
@@ -37,7 +37,7 @@ def after_scheme(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES) -> Column:
     """The longest fitting rule as a struct of rule and verdict, or null.  Of equally long ones the first counts."""
     out = F.lit(None)
-    for h, p, verdict in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    for h, p, verdict in sorted(reversed(rules), key=lambda r: len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
@@ -78,14 +78,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     named = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(rows))
     labelled = named.where(F.col("hit").isNotNull()).withColumn("label", (F.col("hit.verdict") == "block").cast("double"))
-    kinds = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    kinds = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect()}
     base = ["page_id", "host", "path", F.col("hit.rule").alias("rule")]
     if len(kinds) < 2:
         return rows.select(*base, F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
-    # a bounded sample by hash of the url: the same urls at every run
-    part = min(1.0, train_rows / sum(kinds.values()))
-    sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(part * 1_000_000)).select("features", "label")
-    sample = labelled.select("features", "label") if part == 1.0 or sample.groupBy("label").count().count() < 2 else sample
+    # a bounded sample of each verdict by hash of the url: the same urls at every run, copies once
+    most = {k: min(2**63 - 1, -(2**63) + int(min(1.0, train_rows / 2 / n) * 2**64)) for k, n in kinds.items()}
+    sample = labelled.where(F.xxhash64("url") <= F.when(F.col("label") == 1.0, most[1.0]).otherwise(most[0.0])).dropDuplicates(["url"]).select("features", "label")
     model = GBTClassifier(maxIter=10, maxDepth=4, seed=7, cacheNodeIds=False).fit(sample.repartition(8))
     p = vector_to_array("probability")[1]
     judged = model.transform(named)

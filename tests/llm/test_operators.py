@@ -253,6 +253,12 @@ def test_fingerprints(docs, pairs, none):
         like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
         assert abs(r.near_edited - like(p[0], p[1])) < 1e-12 and abs(r.near_next - like(p[0], p[2])) < 1e-12
         assert (r.fingerprint == r.edited_fingerprint) == (t == e)
+        near, lost, gained = fingerprints.likeness(r.fingerprint, r.edited_fingerprint)
+        assert near == r.near_edited and (lost, gained) == (sorted(r.lost), sorted(r.gained))
+        digests = lambda a: sorted(np.array([h for _, h in a], np.uint64).view(np.int64).tolist())
+        assert lost == digests(p[0] - p[1]) and gained == digests(p[1] - p[0])
+        follower = rows[order[(k + 1) % len(order)][0]]
+        assert fingerprints.likeness(r.fingerprint, follower.fingerprint)[0] == r.near_next
     assert fingerprints.fingerprints(none).count() == 0
 
 
@@ -268,18 +274,68 @@ def test_language(spark, none):
     kinds = {"aa": VOCABULARY[:100], "bb": VOCABULARY[200:300]}
     rows = [(i, " ".join(rng.choice(v) for _ in range(60)), lang) for lang, v in kinds.items() for i in range(60)]
     df = spark.createDataFrame([*rows, (900, "12 34", "aa"), (901, None, "bb"), (902, "kein Label", None)], "doc_id long, text string, lang string")
+    rows_text = {(lang, i): t for i, t, lang in rows}
     model = language.fit(df)
     got = language.identify(df, model, carry=["lang"]).collect()
     assert all(r.lang_pred == r.lang and not r.rejected for r in got if r.doc_id < 900)
     odd = {r.doc_id: r for r in got if r.doc_id >= 900}
     assert (odd[900].lang_pred, odd[900].score, odd[900].rejected) == ("und", 0.0, True) and odd[901].lang_pred == "und" and odd[902].lang_pred in kinds
     assert all(0 <= r.score <= 1 for r in got)
+    for r in got:  # the nearest centroid by plain cosine over all of them
+        if r.doc_id < 900:
+            v = np.log1p(language.counts(rows_text[r.lang, r.doc_id])) * model.idf
+            cosines = model.centroids.astype(float) @ v / np.linalg.norm(v)
+            assert r.lang_pred == model.langs[int(cosines.argmax())] and abs(r.score - cosines.max()) < 1e-4
     assert language.identify(none, model).count() == 0
     nothing = language.fit(none)
     assert {r.lang_pred for r in language.identify(df, nothing).collect()} == {"und"}
     assert language.accepted(df, model).columns == df.columns and language.accepted(df, model).where("doc_id in (900, 901)").count() == 0
 
 
+def test_language_learns_from_copies_of_one_text(spark):
+    """Thousands of copies of one text are one text to learn from, not none and not all."""
+    rng = random.Random(13)
+    rows = [(" ".join(rng.choice(VOCABULARY[:100]) for _ in range(40)), "aa") for _ in range(300)] + [(" ".join(VOCABULARY[200:260]), "bb")] * 5000
+    for seed in range(3):
+        rows[-1] = (" ".join(VOCABULARY[200 + seed : 250 + seed]), "bb")
+        model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+        assert set(model.langs) == {"aa", "bb"}
+
+
+def test_held_out_documents_are_not_learned_from(spark, tmp_path):
+    from zlib import crc32
+
+    from offerlens.llm import queries
+
+    rng = random.Random(17)
+    kinds = {"aa": VOCABULARY[:100], "bb": VOCABULARY[200:300]}
+    rows = [(i, " ".join(rng.choice(kinds[lang]) for _ in range(40)), lang, "s", 0) for i, lang in enumerate(["aa", "bb"] * 150)]
+    rows = [(i, t, "secret" if crc32(str(i).encode()) % 4 == 2 else lang, s, n) for i, t, lang, s, n in rows] + [(None, "x y z", "none", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_language(spark, str(tmp_path)).collect()
+    assert len(got) == 301 and {r.lang_pred for r in got} == {"aa", "bb"}
+    assert all(r.held_out == (r.doc_id is None or crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    right = [r.lang_pred == ("aa" if r.doc_id % 2 == 0 else "bb") for r in got if r.held_out and r.doc_id is not None]
+    assert len(right) > 50 and all(right)
+
+
+def test_trees_judge_held_out_urls(spark):
+    """Urls like those that rules block or allow, which no rule decides, are judged alike nine times in ten."""
+    rng = random.Random(19)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    bad = lambda host: f"http://{word(4)}{rng.randrange(10**6)}.{host}/{rng.randrange(10**9)}?a={rng.randrange(99)}&b=1&c=2"
+    good = lambda host, path: f"http://{host}/{path}/{word(6)}/{word(8)}.html"
+    rows = [(i, bad("net")) for i in range(200)] + [(200 + i, good("w.org", "fr")) for i in range(200)]
+    rows += [(1000 + i, bad("xyz")) for i in range(60)] + [(2000 + i, good("w.org", "en")) for i in range(60)] + [(3000, None), (3001, "")]
+    df = spark.createDataFrame([(i, u, "h", "v") for i, u in rows], "page_id long, url string, host string, verdict string")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert len(got) == len(rows) and all(got[i].rule for i in range(400)) and all(got[i].rule is None for i in got if i >= 1000)
+    right = sum(got[1000 + i].verdict == "block" for i in range(60)) + sum(got[2000 + i].verdict == "allow" for i in range(60))
+    assert right >= 108
+    few = urls.judge(df, train_rows=40).where("page_id < 400").collect()
+    assert all(r.verdict == got[r.page_id].verdict for r in few)
+
+
 def test_urls(spark):
     rows = [
         (1, "http://a.example.net/en/x"), (2, "https://EXAMPLE.com/de/"), (3, "http://x.org/fr/1?q"), (4, "http://x.org/en/"), (5, None), (6, "no scheme"), (7, "http://"), (8, "ftp://net"), (9, "http://net/"), (10, "http://b.net#f"),
@@ -337,6 +393,7 @@ def test_exact_index_over_batches(spark):
     assert first == {1: False, 2: True, 3: True, None: True}
     second = {(r.doc_id, r.keep_id): r.kept for r in exact.dedup(batch((9, "a"), (10, "d"), (10, "d")), index).collect()}
     assert second == {(9, 2): False, (10, 10): True} and index.read().count() == 4
+    assert index.read().groupBy("digest").count().where("count > 1").count() == 0
     index.drop()
 
 
@@ -362,8 +419,19 @@ def test_boundaries_are_the_best():
         tops = sorted(rng.sample(range(1, 60), 8))
         counts = [rng.randint(1, 9) for _ in tops]
         pad = lambda chosen: sum(n * (min(c for c in chosen if c >= t) - t) for t, n in zip(tops, counts))
-        best = min(pad([*c, tops[-1]]) for k in range(3) for c in combinations(tops[:-1], k))
-        assert pad(packing.boundaries(tops, counts, 3)) == best
+        for most in (1, 2, 3, 5, 9):
+            best = min(pad([*c, tops[-1]]) for k in range(min(most, 8)) for c in combinations(tops[:-1], k))
+            assert pad(packing.boundaries(tops, counts, most)) == best
+
+
+def test_buckets_are_padded_to_their_longest_member(spark):
+    rows = [(i, n) for i, n in enumerate([5001, 5003, 3001, 7, 0, 70_001, 70_003, None])]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long").withColumn("text", F.lit("clash")).withColumn("cell", F.lit(1)).withColumn("bucket", F.lit("x"))
+    got = {r.doc_id: r for r in packing.pack(df, budget=100_000, buckets=16, length_col="tokens").collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {i: n or 0 for i, n in rows}
+    assert all(r.padded_to == r.n_tokens for i, r in got.items() if r.n_tokens < 70_000)
+    two = {r.doc_id: r.padded_to for r in packing.pack(df, buckets=2, length_col="tokens").collect()}
+    assert set(two.values()) == {5003, 70_003}
 
 
 def test_near_copies_whose_repeated_lines_differ_in_number(spark):
