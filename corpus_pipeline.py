@@ -2,47 +2,76 @@
 
 Language identification drops the documents it rejects, exact dedup and near-dedup keep one document of each group,
 suffix-array dedup takes repeated passages out of the texts, and packing deals the documents into batches.  Null texts
-have no language and are dropped by the first stage, as are texts without a letter.  Rows are matched by doc_id, which
-the table holds once; rows that repeat one keep or lose their place together.  Extra columns are carried along.
+have no language and are dropped by the first stage, as are texts without a letter.  Dedup decides by doc_id, which the
+table holds once; rows that repeat one keep or lose their place together.  Extra columns, of any names, are carried
+along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.llm import exact, language, minhash, packing, repeats
+from offerlens.llm.shared import shared_folder
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def kept_only(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is kept."""
-    ids = decided.where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_kept_id"]), "left_semi")
+    own = free(docs, "kept_id")
+    ids = decided.where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids[own]), "left_semi")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language is one of those learned from the labelled ones.
+
+    Null texts, texts without a letter and texts unlike any language go; without labelled documents all go.  Repeated
+    rows are judged alike, very long texts whole.
+    """
     return language.accepted(docs, language.fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_only(docs, exact.dedup(docs))
+    """Of documents of equal text, the one of largest doc_id.  Null texts count as empty; a null id stays only if no other has its text."""
+    index = exact.DigestIndex(spark, "pipeline_digest_index_" + re.sub(r"\W", "_", spark.sparkContext.applicationId))
+    index.drop()
+    return kept_only(docs, exact.dedup(docs, index))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the document of least doc_id.  Texts without words and null ids stay."""
     return kept_only(docs, minhash.near_duplicates(docs))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = repeats.without_repeated_bytes(docs, with_text=True).select(F.col("doc_id").alias("_cut_id"), F.col("kept").alias("_cut_text"))
-    rest = docs.drop("text").withColumn("_cut_id", F.col("doc_id").cast("long"))
-    joined = rest.join(cut, rest["_cut_id"].eqNullSafe(cut["_cut_id"])).withColumn("text", F.col("_cut_text"))
-    return joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, without the bytes of any 100-byte string that starts earlier; n_chars, if there, follows the text.
+
+    Null texts become empty.  Rows are told apart by a number that each evaluation of docs gives anew, so docs must be
+    a read of files or another plan that deals its rows alike each time; repeated and null ids are no matter.
+    """
+    key, cut_key, cut_text = free(docs, "row_key"), free(docs, "cut_key"), free(docs, "cut_text")
+    rows = docs.withColumn(key, F.monotonically_increasing_id())
+    cut = repeats.without_repeated_bytes(rows, with_text=True, key_col=key).select(F.col("row_key").alias(cut_key), F.col("kept").alias(cut_text))
+    joined = rows.drop("text").join(cut, F.col(key) == F.col(cut_key)).withColumnRenamed(cut_text, "text")
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per document with its length in words, bucket, batch and slot.  Null and empty texts have length 0."""
     return packing.pack(docs)
 
 
@@ -53,11 +82,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written as Parquet in the shared checkpoint folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
+    """The last stage's rows; each stage's result is written as Parquet in the shared checkpoint folder and read again.
+
+    A stage's folder is removed once the next one is written; the last stays, as the result reads from it.
+    """
+    at, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{at}/{name}"
     return docs
