@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from offerlens.llm import blocks
 
 #: Bytes of text in a block: the larger, the fewer rows of words.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 # The published split pattern of the byte-level vocabulary.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -23,8 +23,8 @@ ORDER, BACKOFF, LEAST = 2, 0.4, 2
 START = np.uint64(0x5D588B656C078965)
 #: Stands for all words where n-grams stand.
 ALL = np.uint64(0x2545F4914F6CDD1D)
-#: Bytes of text in a block: the larger, the fewer rows of n-grams.  Words hashed together.
-BLOCK_BYTES, PIECE = 32 << 20, 1 << 18
+#: Bytes of text in a block: the larger, the fewer rows of n-grams.  Words hashed together, and rows sent together.
+BLOCK_BYTES, PIECE = 14 << 20, 1 << 18
 
 
 class Grams:
@@ -35,8 +35,9 @@ class Grams:
         self.sizes = np.diff(np.concatenate([[0], layout.ends]))
         words = np.concatenate([layout.symbols(a, min(a + PIECE, layout.n)) for a in range(0, max(layout.n, 1), PIECE)])
         lead = order - 1
+        del layout
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        self.at = np.arange(len(words)) + (self.doc + 1) * lead  # of each word among words and marks
+        self.at = np.arange(len(words), dtype=np.int32) + (self.doc + 1) * np.int32(lead)  # of each word among words and marks
         stream = np.empty(len(words) + lead * len(self.sizes), np.uint64)
         stream[self.at] = words
         first = np.cumsum(self.sizes + lead) - (self.sizes + lead)
@@ -44,15 +45,19 @@ class Grams:
             stream[first + k] = START + np.uint64(k)
         #: Digests of the n-grams that end at each place, for n from 1 to order, and from which place of a document on
         #: they are its own.
-        self.by_n, self.place = [stream], np.arange(len(stream)) - np.repeat(first, self.sizes + lead)
+        self.by_n, self.place = [stream], np.arange(len(stream), dtype=np.int32) - np.repeat(first.astype(np.int32), self.sizes + lead)
         for n in range(2, order + 1):
             before = np.concatenate([np.zeros(1, np.uint64), self.by_n[-1][:-1]])[: len(stream)]
             self.by_n.append(mix(before * np.uint64(BASE_A) + stream * np.uint64(BASE_B) + np.uint64(n)))
 
     def counted(self):
-        """(digests, counts) of the distinct n-grams, for each n."""
+        """(digests, counts) of the distinct n-grams, for each n, some at a time."""
         for n, digests in enumerate(self.by_n):
-            yield np.unique(digests[self.place >= n], return_counts=True)
+            own = np.sort(digests[self.place >= n])
+            edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+            times = np.diff(np.append(edge, len(own)))
+            for a in range(0, len(edge), PIECE):
+                yield own[edge[a : a + PIECE]], times[a : a + PIECE]
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
