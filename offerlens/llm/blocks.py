@@ -68,6 +68,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text for each part of a table of words or n-grams.
+PART_BYTES = 2 << 20
+
+
+def parts_of(docs: DataFrame, text_col: str = "text") -> int:
+    """Into how many parts by hash to deal the words or n-grams of all texts, so that no part's share grows with the input.
+
+    Where texts are few, a block has many values of a part, which travel as one compressed row; where they are very
+    many it has one or none.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(1, -(-int(size) // PART_BYTES))
+
+
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_BYTES, key_col: str | None = None) -> DataFrame:
     """(block, payload): documents in blocks, dealt out by block.  A null text counts as empty.
 

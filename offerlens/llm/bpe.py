@@ -1,19 +1,20 @@
 """BPE encoding and decoding through a table of distinct words (operator 4).
 
 Words, as the byte-level pre-tokenizer splits them, repeat; a text's ids are its words' ids in order.  So each block of
-documents gives a row for each of its distinct words; the rows are partitioned and sorted by word, which makes them the
-distinct-word table.  Each task reads its part as a stream: a word's rows are neighbours, so it is encoded once, by the
-vocabulary's own merges, and its ids are joined to the table of pieces they stand for.  Both go back to the blocks that
-asked, a row for each word, and are put together by position.  No task holds more than a batch of rows or one block;
-the word table is never broadcast, as invented words grow with the corpus.
+documents deals its distinct words into parts by hash; a part of all blocks' words is a part of the distinct-word table.
+There each distinct word is encoded once, by the vocabulary's own merges, and its ids are joined to the table of pieces
+they stand for.  Both go back to the blocks that asked and are put together by position.  There are as many parts as
+the size of all texts asks for, so a part is bounded whatever the input; what a block has of a part travels as one
+compressed row, as a row for each word takes twice the space.  The word table is never broadcast: invented words grow
+with the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,6 @@ from pyspark.sql import DataFrame
 
 from offerlens.llm import blocks
 
-#: Bytes of text in a block: the larger, the fewer rows of words.
-BLOCK_BYTES = 16 << 20
-
 # The published split pattern of the byte-level vocabulary.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -93,40 +91,52 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     empty text.  Repeated rows each get a row; an empty table gives an empty result; other columns of docs are not read.
     path must be readable on every executor; it is a file of the environment, like the library itself.
     """
-    held = blocks.packed(docs, id_col, text_col, BLOCK_BYTES)
+    parts = blocks.parts_of(docs, text_col)
+    held = blocks.packed(docs, id_col, text_col)
+
+    def numbered(b: blocks.Block) -> tuple[dict[str, int], list[np.ndarray], dict[int, list[str]]]:
+        """The block's distinct words, each text as their numbers, and the words by part, in the same order at each call."""
+        split, seen, dealt = splitter(load(path)), {}, {}
+        texts = [np.array([seen.setdefault(w, len(seen)) for w in split(text)], np.int32) for text in b.texts()]
+        for w in sorted(seen):
+            dealt.setdefault(crc32(w.encode()) % parts, []).append(w)
+        return seen, texts, dealt
 
     def ask(block: int, b: blocks.Block):
-        words = list(numbered(b)[0])
-        yield pd.DataFrame({"word": pd.Series(words, dtype=object), "block": block, "at": np.arange(len(words), dtype=np.int32)})
-
-    def numbered(b: blocks.Block) -> tuple[dict[str, int], list[np.ndarray]]:
-        """The block's distinct words in order of first sight, and each text as their numbers."""
-        split, seen = splitter(load(path)), {}
-        return seen, [np.array([seen.setdefault(w, len(seen)) for w in split(text)], np.int32) for text in b.texts()]
-
-    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, ids, decoded = None, b"", None
-        for frame in frames:
-            words = frame["word"].tolist()
-            new = [i for i in range(len(words)) if words[i] != (words[i - 1] if i else last)]
-            run = np.cumsum(np.bincount(new, minlength=len(words))) if words else np.empty(0, np.int64)
-            distinct = [words[i] for i in new]
-            got, raw = encoded_words(distinct, path)
+        rows = []
+        for part, words in numbered(b)[2].items():
+            raw = [w.encode() for w in words]
+            rows.append((block, part, blocks.squeeze(np.array([len(r) for r in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8))))
+        yield pd.DataFrame(rows, columns=["block", "part", "words"])
+
+    def answer(key, asked):
+        lists = []
+        for data in asked["words"]:
+            sizes, raw = blocks.spread(data, np.uint32, np.uint8)
+            raw, ends = raw.tobytes(), np.cumsum(sizes.astype(np.int64))
+            lists.append([raw[e - s : e].decode() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)])
+        distinct = sorted(set().union(*lists))
+        table = dict(zip(distinct, zip(*encoded_words(distinct, path), strict=True), strict=True))
+        out = []
+        for block, words in zip(asked["block"], lists, strict=True):
+            own = [table[w] for w in words]
             # as most words decode to themselves, only others are sent
-            ids_of = [ids, *(np.array(x, np.uint32).tobytes() for x in got)]
-            decoded_of = [decoded, *(None if r == w.encode() else r for w, r in zip(distinct, raw, strict=True))]
-            yield pd.DataFrame({"block": frame["block"], "at": frame["at"], "ids": [ids_of[i] for i in run], "decoded": [decoded_of[i] for i in run]})
-            if words:
-                last, ids, decoded = words[-1], ids_of[-1], decoded_of[-1]
+            other = [i for i, w in enumerate(words) if own[i][1] != w.encode()]
+            raw = [own[i][1] for i in other]
+            out.append((block, key[0], blocks.squeeze(np.array([len(ids) for ids, _ in own], np.uint32), np.array([i for ids, _ in own for i in ids], np.uint32), np.array(other, np.uint32), np.array([len(r) for r in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8))))
+        return pd.DataFrame(out, columns=["block", "part", "ids"])
 
     def join(block: int, b: blocks.Block, answers: pd.DataFrame) -> pd.DataFrame:
-        seen, texts = numbered(b)
-        own = list(seen)
-        text_of, bytes_of = [""] * len(own), [w.encode() for w in own]
-        for at, ids, decoded in zip(answers["at"], answers["ids"], answers["decoded"], strict=True):
-            text_of[at] = ",".join(map(str, np.frombuffer(ids, np.uint32).tolist()))
-            if decoded is not None:
-                bytes_of[at] = decoded
+        seen, texts, dealt = numbered(b)
+        text_of, bytes_of = [""] * len(seen), [w.encode() for w in seen]
+        for part, data in zip(answers["part"], answers["ids"], strict=True):
+            counts, ids, other, sizes, raw = blocks.spread(data, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8)
+            words, ids, raw, at = dealt[part], ids.tolist(), raw.tobytes(), 0
+            for w, c in zip(words, counts.tolist(), strict=True):
+                text_of[seen[w]] = ",".join(map(str, ids[at : at + c]))
+                at += c
+            for i, e, n in zip(other.tolist(), np.cumsum(sizes.astype(np.int64)).tolist(), sizes.tolist(), strict=True):
+                bytes_of[seen[words[i]]] = raw[e - n : e]
         rows = []
         for doc, numbers in zip(b.doc_ids(), texts, strict=True):
             words = numbers.tolist()
@@ -136,7 +146,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return pd.DataFrame(rows, columns=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
-    asked = blocks.each(held, ask, "word string, block long, at int")
-    table = asked.repartition(blocks.partitions(docs.sparkSession), "word").sortWithinPartitions("word")
-    answers = table.mapInPandas(answer, "block long, at int, ids binary, decoded binary")
+    asked = blocks.each(held, ask, "block long, part long, words binary")
+    answers = asked.groupBy("part").applyInPandas(answer, "block long, part long, ids binary")
     return blocks.answered(held, answers, join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)

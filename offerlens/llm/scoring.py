@@ -1,9 +1,10 @@
 """Stupid-backoff language-model scores from count tables partitioned by hash (operator 8).
 
-Each block of documents is exploded into a row for each distinct n-gram it has, with its count there.  Partitioned by
-the n-gram's hash, their sums over all blocks are the count table, joined to the same rows: each block gets the counts
-of its own n-grams back, looks them up for every word, and sums the scores per document.  All of it is rows of fixed
-size that Spark partitions, sorts and spills; no task holds more than one block.
+Each block of documents is exploded into its distinct n-grams with their counts there.  Dealt into parts by the
+n-gram's hash, their sums over all blocks are the count table, joined to what was asked: each block gets the counts of
+its own n-grams back, looks them up for every word, and sums the scores per document.  There are as many parts as the
+size of all texts asks for, so a part's share of the table is bounded whatever the input; what a block has of a part
+travels as one compressed row, as a row for each n-gram takes several times the space.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from offerlens.llm import blocks
 from offerlens.llm.digest import BASE_A, BASE_B, mix
@@ -21,10 +20,8 @@ from offerlens.llm.repeats import WORDS, Layout
 #: Words an n-gram, the factor of each step back, and the least count with which an n-gram of several words is used.
 ORDER, BACKOFF, LEAST = 2, 0.4, 2
 START = np.uint64(0x5D588B656C078965)
-#: Stands for all words where n-grams stand.
-ALL = np.uint64(0x2545F4914F6CDD1D)
-#: Bytes of text in a block: the larger, the fewer rows of n-grams.  Words hashed together, and rows sent together.
-BLOCK_BYTES, PIECE = 14 << 20, 1 << 18
+#: Words hashed together.
+PIECE = 1 << 18
 
 
 class Grams:
@@ -51,13 +48,28 @@ class Grams:
             self.by_n.append(mix(before * np.uint64(BASE_A) + stream * np.uint64(BASE_B) + np.uint64(n)))
 
     def counted(self):
-        """(digests, counts) of the distinct n-grams, for each n, some at a time."""
-        for n, digests in enumerate(self.by_n):
-            own = np.sort(digests[self.place >= n])
-            edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
-            times = np.diff(np.append(edge, len(own)))
-            for a in range(0, len(edge), PIECE):
-                yield own[edge[a : a + PIECE]], times[a : a + PIECE]
+        """Digests of the distinct n-grams, their counts, and which n less one each has."""
+        got = [np.unique(digests[self.place >= n], return_counts=True) for n, digests in enumerate(self.by_n)]
+        return np.concatenate([h for h, _ in got]), np.concatenate([c for _, c in got]), np.repeat(np.arange(len(got), dtype=np.int8), [len(h) for h, _ in got])
+
+    def dealt(self, parts: int):
+        """(part, ascending digests, counts, n less one) of the parts by hash that have any."""
+        h, c, n = self.counted()
+        part = (mix(h) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((h, part))
+        h, c, n, part = h[order], c[order], n[order], part[order]
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+        for a, z in zip(edge.tolist(), np.append(edge[1:], len(part)).tolist(), strict=True):
+            yield int(part[a]), h[a:z], c[a:z], n[a:z]
+
+
+def planes(h: np.ndarray) -> np.ndarray:
+    """Ascending digests as differences, byte by byte, which compresses."""
+    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def unplaned(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,36 +84,48 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
     """
     if least < 2:
         raise ValueError("least must be 2 or more: every n-gram of a text occurs once")
-    held = blocks.packed(docs, id_col, text_col, BLOCK_BYTES)
+    parts = blocks.parts_of(docs, text_col)
+    held = blocks.packed(docs, id_col, text_col)
 
     def explode(block: int, b: blocks.Block):
         g = Grams(b, order)
-        yield pd.DataFrame({"gram": [ALL.astype(np.int64)], "block": block, "n": len(g.at)})
-        for h, n in g.counted():
-            yield pd.DataFrame({"gram": h.view(np.int64), "block": block, "n": n})
-
-    def join(block: int, b: blocks.Block, counts: pd.DataFrame) -> pd.DataFrame:
+        rows = [(block, -1, len(g.at), b"")]  # how many words the block has
+        for part, h, n, _ in g.dealt(parts):
+            rows.append((block, part, 0, blocks.squeeze(planes(h), n.astype(np.uint32))))
+        yield pd.DataFrame(rows, columns=["block", "part", "words", "grams"])
+
+    def count(key, rows):
+        if key[0] < 0:
+            return pd.DataFrame({"block": rows["block"], "part": key[0], "words": int(rows["words"].sum()), "counts": b""})
+        got = [blocks.spread(x, np.uint8, np.uint32) for x in rows["grams"]]
+        lists, times = [unplaned(x[0]) for x in got], [x[1] for x in got]
+        _, own = np.unique(np.concatenate(lists), return_inverse=True)
+        total = np.bincount(own, weights=np.concatenate(times)).astype(np.uint32)[own]
+        edges = np.cumsum([len(x) for x in lists])[:-1]
+        return pd.DataFrame({"block": rows["block"], "part": key[0], "words": 0, "counts": [blocks.squeeze(x) for x in np.split(total, edges)]})
+
+    def join(block: int, b: blocks.Block, answers: pd.DataFrame) -> pd.DataFrame:
         g = Grams(b, order)
-        grams, total = counts["gram"].to_numpy(np.int64).view(np.uint64), counts["total"].to_numpy(np.int64)
-        by = np.argsort(grams)
-        grams, total = grams[by], total[by]
-
-        def count(h: np.ndarray) -> np.ndarray:  # n-grams without an answer occur once
-            if not len(grams):
-                return np.ones(len(h))
-            place = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
-            return np.where(grams[place] == h, total[place], 1).astype(np.float64)
-
-        value = np.log(count(g.by_n[0][g.at]) / count(np.array([ALL]))[0]) + (order - 1) * np.log(backoff)
+        of = dict(zip(answers["part"], answers["counts"], strict=True))
+        table = [(h, blocks.spread(of[part], np.uint32)[0], n) for part, h, _, n in g.dealt(parts)]
+        levels = []
+        for n in range(order):
+            h = np.concatenate([x[0][x[2] == n] for x in table]) if table else np.empty(0, np.uint64)
+            c = np.concatenate([x[1][x[2] == n] for x in table]) if table else np.empty(0, np.uint32)
+            by = np.argsort(h)
+            levels.append((h[by], c[by].astype(np.float64)))
+        counts = lambda n, h: levels[n - 1][1][np.searchsorted(levels[n - 1][0], h)]
+        words = max(1, int(answers["words"].max()))
+        value = np.log(counts(1, g.by_n[0][g.at]) / words) + (order - 1) * np.log(backoff)
         back = np.ones(len(g.at), bool)
         for n in range(2, order + 1):
-            c = count(g.by_n[n - 1][g.at])
+            c = counts(n, g.by_n[n - 1][g.at])
             hit = c >= least
-            value[hit] = np.log(c[hit] / count(g.by_n[n - 2][g.at[hit] - 1])) + (order - n) * np.log(backoff)
+            value[hit] = np.log(c[hit] / counts(n - 1, g.by_n[n - 2][g.at[hit] - 1])) + (order - n) * np.log(backoff)
             back &= ~hit
         n_docs = len(b.ids)
         return pd.DataFrame({"doc_id": pd.array(b.doc_ids(), "Int64"), "n_words": g.sizes, "log_score": np.bincount(g.doc, weights=value, minlength=n_docs), "n_backoff": np.bincount(g.doc, weights=back, minlength=n_docs).astype(np.int64)})
 
-    exploded = blocks.each(held, explode, "gram long, block long, n long")
-    counted = exploded.withColumn("total", F.sum("n").over(W.partitionBy("gram"))).where("total > 1").select("block", "gram", "total")
+    exploded = blocks.each(held, explode, "block long, part long, words long, grams binary")
+    counted = exploded.groupBy("part").applyInPandas(count, "block long, part long, words long, counts binary")
     return blocks.answered(held, counted, join, "doc_id long, n_words long, log_score double, n_backoff long")
