@@ -36,6 +36,7 @@ from offerlens.llm.digest import BASE_A, BASE_B, mix, owners, prefix, span
 #: Rows of a partition that are searched together, besides the last group's.
 SEARCH_ROWS = 20_000
 BLANK = re.compile(rb"[\x20\x09-\x0D]+")
+UNEVEN = re.compile(rb"[\x09-\x0D]|  ").search
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,8 @@ class Layout:
         """The bytes of symbols a to b; words are joined by one space."""
         if not self.kind.words:
             return self.block.bytes[a:b].tobytes()
-        return b" ".join(BLANK.split(self.block.bytes[self.word_at[a] : self.word_end[b - 1]].tobytes()))
+        raw = self.block.bytes[self.word_at[a] : self.word_end[b - 1]].tobytes()
+        return b" ".join(BLANK.split(raw)) if UNEVEN(raw) else raw
 
     def segments(self) -> Iterator[Symbols]:
         """Parts of the symbols such that each window starts in one of them."""
