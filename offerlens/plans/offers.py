@@ -159,12 +159,12 @@ def term_advice(spark, sf_dir):
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every profile with every offer of its own nation's banks.
+    """The profiles of every hundredth customer, the stated query set, with every offer of their own nation's banks.
 
     There are few nations, so each nation's offers are dealt into parts and its profiles go to all of them.
     """
     o = offers(spark, sf_dir)
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     profile = c.select(F.col("c_custkey").alias("profile_id"), F.col("n_name").alias("country"), F.col("c_mktsegment").alias("customer_type"), (F.col("c_acctbal") * 5).alias("amount"), (F.pmod("c_custkey", F.lit(48)) + 1).cast("int").alias("months"))
     o = o.select("offer_id", "country", "rate", "fill", F.when(F.col("fee_unit") == "lira", F.col("fee")).alias("fee_lira"), F.when(F.col("kind") == "card", "HOUSEHOLD").when(F.col("kind") == "vehicle", "AUTOMOBILE").alias("need_type"), F.when(F.col("kind") == "home", 10000.0).alias("amount_min"), "amount_max", F.lit(None).cast("int").alias("term_min"), F.col("term_months").alias("term_max"))
     part = F.pmod(F.xxhash64("offer_id"), F.lit(PARTS)).cast("int")
@@ -172,8 +172,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS_SQL = OFFERS_SQL + f""",
-    sold AS (SELECT *, CASE kind WHEN 'card' THEN 'HOUSEHOLD' WHEN 'vehicle' THEN 'AUTOMOBILE' END AS need_type, CASE WHEN kind = 'home' THEN 10000.0::DOUBLE END AS amount_min, CASE WHEN fee_unit = 'lira' THEN fee END AS fee_lira FROM offers WHERE CAST(split_part(offer_id, '-', 1) AS BIGINT) % 50 = 0),
-    profile AS (SELECT c_custkey AS profile_id, n_name AS country, c_mktsegment AS customer_type, c_acctbal * 5 AS amount, CAST(c_custkey % 48 + 1 AS INTEGER) AS months FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    sold AS (SELECT *, CASE kind WHEN 'card' THEN 'HOUSEHOLD' WHEN 'vehicle' THEN 'AUTOMOBILE' END AS need_type, CASE WHEN kind = 'home' THEN 10000.0::DOUBLE END AS amount_min, CASE WHEN fee_unit = 'lira' THEN fee END AS fee_lira FROM offers),
+    profile AS (SELECT c_custkey AS profile_id, n_name AS country, c_mktsegment AS customer_type, c_acctbal * 5 AS amount, CAST(c_custkey % 48 + 1 AS INTEGER) AS months FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 100 = 0),
     held AS (SELECT profile_id, offer_id, rate, fill, amount, months, fee_lira,
         list_filter([CASE WHEN need_type IS NOT NULL AND customer_type IS NOT NULL AND need_type <> customer_type THEN 'customer_type' END, CASE WHEN amount_min IS NOT NULL AND NOT coalesce(amount >= amount_min, false) THEN 'amount_min' END,
           CASE WHEN amount_max IS NOT NULL AND NOT coalesce(amount <= amount_max, false) THEN 'amount_max' END, CASE WHEN term_months IS NOT NULL AND NOT months BETWEEN 0 AND term_months THEN 'term' END], lambda x: x IS NOT NULL) AS failed

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import Window as W
 
 from offerlens.functions import text
 from offerlens.operators import records
-from offerlens.plans import fixed, query, table
+from offerlens.plans import fixed, query, shared_folder, table
 from offerlens.streaming import freshness
 
 
@@ -206,8 +205,7 @@ def freshness_transitions(spark, sf_dir):
 @query(TRANSITIONS_SQL)
 def freshness_stream(spark, sf_dir):
     """The same as a stream with state, run to its end; the result is what the sink holds."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    at = f"{shared.rstrip('/')}/freshness-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/freshness-{uuid.uuid4().hex}"
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = polls(source).withColumn("ts", F.col("ts").cast("timestamp"))
     q = freshness.stream_transitions(rows).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start()
@@ -220,18 +218,6 @@ def trigger_calendar(spark, sf_dir):
     return freshness.triggers(table(spark, sf_dir, "events"), "ts", [0, 8, 17]).select("event_id", "next_run", "previous_run")
 
 
-VARIANTS = ["as_is", "point_mark", "wide", "upper", "sign"]
-
-
-@query("SELECT variant, kept FROM (VALUES ('as_is', 60), ('point_mark', 60), ('wide', 60), ('upper', 60), ('sign', 60)) t(variant, kept)")
-def robustness_matrix(spark, sf_dir):
-    """How many rates survive each way of writing them: decimal point, spacing, capitals, sign before or after."""
-    forms = [lambda x: f"yüzde {x:.2f}".replace(".", ","), lambda x: f"yüzde {x:.2f}", lambda x: f"yüzde {x:.2f}".replace(".", " , "), lambda x: f"YÜZDE {x:.2f}".replace(".", ","), lambda x: f"%{x:.2f}".replace(".", ",")]
-    rows = [(v, 0.5 + i * 0.05, f(0.5 + i * 0.05)) for v, f in zip(VARIANTS, forms, strict=True) for i in range(60)]
-    kept = F.abs(text.rate(F.col("phrase")) - F.col("value")) < 1e-9
-    return spark.createDataFrame(rows, "variant string, value double, phrase string").groupBy("variant").agg(F.count_if(kept).cast("int").alias("kept"))
-
-
 INTENTS = [("compare", "tiontion|cheungen"), ("condition", "that|der "), ("list", "les |die "), ("definition", "of |von ")]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerlens.functions import text, urls
-from offerlens.operators import extraction, records, texts
+from offerlens.operators import records, texts
 from offerlens.plans import fixed, query, table
 
 #: DuckDB form of text.search_key.
@@ -68,33 +68,6 @@ def number_parse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.number(F.col("text")).alias("number"))
 
 
-PHRASES = [
-    ("1.500,50", 1500.5, None, None, None, None), ("%2,05", 2.05, 2.05, None, None, None), ("yüzde 2,05", 2.05, 2.05, None, None, None), ("binde 5'i oranındadır", 5.0, 0.5, None, None, None),
-    ("binde beş", None, 0.5, None, None, None), ("120 ay vadeli 1.000.000 TL konut finansmanı", 120.0, None, 1000000.0, 120, None), ("1,5 milyon TL", 1.5, None, 1500000.0, None, None), ("36 ay, bin TL'lik harcama", 36.0, None, 1000.0, 36, None),
-    ("500₺", 500.0, None, 500.0, None, None), ("10 yıl", 10.0, None, None, 120, None), ("36 aya varan vade", 36.0, None, None, 36, None), ("31 Aralık 2026", 31.0, None, None, None, "2026-12-31"), ("31.12.2026", None, None, None, None, "2026-12-31"),
-    ("2026 yıl sonuna kadar", 2026.0, None, None, None, "2026-12-31"), ("Eylül 2026 sonu", 2026.0, None, None, None, "2026-09-30"), ("metin", None, None, None, None, None),
-]
-FEES = [("Dosya masrafı yok!", True), ("masrafsız konut finansmanı", True), ("Dosya masrafı alınır.", False), ("Konut finansmanı kampanyası", None), ("50.000 TL'ye kadar dosya masrafı alınmamaktadır.", True), ("Ekspertiz ücreti banka tarafından karşılanmaktadır.", True), ("FAST ile para transferi ücretsiz.", None), ("Ödenecek toplam tutar finansman tahsis ücretini içermemektedir.", False)]
-
-
-def values_sql(rows) -> str:
-    quoted = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
-    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
-
-
-@query(f"SELECT phrase, CAST(number AS DOUBLE) AS number, CAST(rate AS DOUBLE) AS rate, CAST(money AS DOUBLE) AS money, CAST(months AS INTEGER) AS months, CAST(day AS DATE) AS day FROM (VALUES {values_sql(PHRASES)}) t(phrase, number, rate, money, months, day)")
-def value_parsers(spark, sf_dir):
-    """Numbers, rates, money, terms and dates of fixed phrases; the SQL has the known answers."""
-    p = F.col("phrase")
-    d = spark.createDataFrame([(r[0],) for r in PHRASES], "phrase string")
-    return d.select("phrase", text.number(p).alias("number"), text.rate(p).alias("rate"), text.money(p).alias("money"), text.term_months(p).alias("months"), text.date(p).alias("day"))
-
-
-@query(f"SELECT phrase, CAST(fee_free AS BOOLEAN) AS fee_free FROM (VALUES {values_sql(FEES)}) t(phrase, fee_free)")
-def fee_free(spark, sf_dir):
-    return spark.createDataFrame([(r[0],) for r in FEES], "phrase string").select("phrase", text.fee_free(F.col("phrase")).alias("fee_free"))
-
-
 NORMAL = """'https://' || regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')
     || (CASE WHEN len(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))) > 0
         THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))), '&') ELSE '' END)"""
@@ -157,19 +130,3 @@ ASKED = ["thionand", "tionthe", "erthe", "anwhich", "verein", "queiaux"]
     SELECT doc_id, floor((sum(weight)) * 1e6 + 0.5) / 1e6 AS score FROM h JOIN f USING (asked) GROUP BY doc_id""")
 def topic_match(spark, sf_dir):
     return texts.topic_matches(table(spark, sf_dir, "documents"), ASKED).withColumn("score", fixed("score", 6))
-
-
-CAMPAIGNS = [
-    "Aylık %1,89 kâr payı oranı ile 120 aya varan vade. 2.000.000 TL finansman limiti.",
-    "Konut finansmanında yüzde 2,05 kâr payı, tahsis ücreti binde 5'tir. Son başvuru 31 Aralık 2026.",
-    "Alışverişlerinize 500 TL ödül kazanın; 6 taksit imkânı.",
-    "Dosya masrafı alınmaz, %10 indirim fırsatı 30.09.2026 tarihine kadar geçerlidir.",
-]
-
-
-@query()
-def extract_fields(spark, sf_dir):
-    """Fields stated in campaign sentences that stand at the end of every document, with the document's own length as a number in one."""
-    d = table(spark, sf_dir, "documents")
-    sentence = F.get(F.array(*map(F.lit, CAMPAIGNS)), F.pmod("doc_id", F.lit(len(CAMPAIGNS))).cast("int"))
-    return extraction.extracted(d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), sentence).alias("text")))

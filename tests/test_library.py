@@ -79,24 +79,6 @@ def test_eligibility_reasons(spark):
     assert got[3].failed == ["customer_type"] and got[4].eligible and (got[5].cost, got[5].tier) == (None, 1) and got[6].failed == ["amount_max"]
 
 
-@pytest.mark.parametrize("name", ["eligibility_reasons", "eligibility_rank"])
-def test_every_profile_meets_every_offer_of_its_nation(spark, name):
-    """Against the query's SQL over all offers: the registered SQL itself keeps one order in fifty."""
-    import duckdb
-
-    sf, part = "/root/testdata/sf0.001", " WHERE CAST(split_part(offer_id, '-', 1) AS BIGINT) % 50 = 0"
-    c = duckdb.connect()
-    for t in ("lineitem", "part", "supplier", "nation", "customer"):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    run = c.execute(plans.ORACLE[name].replace(part, ""))
-    names = [d[0] for d in run.description]
-    want = sorted(run.fetchall(), key=str)
-    assert sorted((tuple(r[n] for n in names) for r in plans.QUERIES[name](spark, sf).collect()), key=str) == want
-    if name == "eligibility_reasons":
-        pairs = "SELECT count(*) FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN lineitem ON l_suppkey = s_suppkey"
-        assert len(want) == c.execute(pairs).fetchone()[0]
-
-
 def test_values_in_text(spark):
     assert one(spark, "50.000", text.number) == (50000.0,) and one(spark, "2.05", text.number) == (2.05,) and one(spark, "1.2.3", text.number) == (None,)
     assert one(spark, None, text.number, text.rate, text.money, text.term_months, text.date, text.fee_free) == (None,) * 6
@@ -207,3 +189,40 @@ def test_state_tables_keep_versions(spark, tmp_path):
     files.append_run(spark, str(tmp_path / "log"), "full", 3, "f1", "2026-08-01 00:00:00")
     files.append_run(spark, str(tmp_path / "log"), "full", 4, "f2", "2026-08-02 00:00:00")
     assert files.latest_run(spark, str(tmp_path / "log")).first().rows == 4
+
+
+def test_greedy_cover_against_a_plain_version(spark):
+    from offerlens.operators import audit
+
+    rows = [("a", "x", ["f", "g"]), ("b", "y", ["f", "g"]), ("c", "x", ["h"]), ("d", "y", ["g", "h", "f"]), ("e", "z", []), ("f", "z", ["f"]), ("g", "x", ["i"])]
+    got = [r.id for r in sorted(audit.greedy_cover(spark.createDataFrame(rows, "id string, bank string, fields array<string>"), 2, 9).collect())]
+    want, have, used = [], {}, {}
+    while True:
+        rest = [(-len([f for f in set(fs) if have.get(f, 0) < 2]), used.get(b, 0), i, b, fs) for i, b, fs in rows if i not in want]
+        gain, _, i, b, fs = min(rest)
+        if not gain:
+            break
+        want.append(i)
+        used[b] = used.get(b, 0) + 1
+        for f in fs:
+            have[f] = have.get(f, 0) + 1
+    assert got == want
+
+
+def test_conditions_and_questions_by_hand(spark):
+    from offerlens.operators import conditions, questions
+
+    assert one(spark, None, conditions.zero_rate, conditions.free_statement, conditions.tier_max, questions.criterion, questions.direction) == (None,) * 5
+    assert one(spark, "Vade farksız! Aylık %0.", conditions.zero_rate) == (0.0,) and one(spark, "", conditions.free_statement, questions.profile) == (None, None)
+    assert one(spark, "En az 12 ay vade, 50.000 TL", questions.direction, questions.criterion) == ("least", "term")
+    assert one(spark, "1234.5", lambda c: questions.spellings(c.cast("double"))) == (["12345", "123450"],) and one(spark, "7", lambda c: questions.spellings(c.cast("double"))) == (["7", "70", "700"],)
+    assert one(spark, "x | y\n1 TL | %2", conditions.tier_max) == (None,)
+
+
+def test_fee_sentences_by_hand(spark):
+    """Forms of negation and of charging that no query's sentences have."""
+    said = {
+        "Konut finansmanında dosya masrafı alınmayacaktır": True, "Kredi için tahsis ücreti alınmıyor": True, "Dosya masrafı yok!": True, "Dosya masrafı alınacaktır": False, "Taşıt finansmanında ekspertiz ücreti yansıtılmaktadır": False,
+        "Tahsis ücreti binde 5 oranındadır": False, "Toplam tutar finansman tahsis ücretini içermemektedir": False, "Konut finansmanı kampanyası": None, "50.000 TL'ye kadar dosya masrafı alınmamaktadır.": True, None: None,
+    }
+    assert {s: one(spark, s, text.fee_free)[0] for s in said} == said
