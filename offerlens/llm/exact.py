@@ -41,8 +41,10 @@ class DigestIndex:
     def append(self, digests: DataFrame) -> None:
         """Add the digests that are new; digests has digest and the long row_id.  Of equal ones the largest id counts."""
         self.create()
-        new = digests.groupBy("digest").agg(F.max("row_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        # the join is on an aggregate, or it would be pushed below the aggregation, to all rows of a hot group in one task
+        new = digests.groupBy("digest").agg(F.max("row_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max("digest").alias("own"))
+        known = self.read().select(F.col("digest").alias("known")).hint("merge")
+        new = new.join(known, F.col("own") == F.col("known"), "left_anti").drop("own")
         new.repartition(self.buckets, "digest").write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
     def drop(self) -> None:

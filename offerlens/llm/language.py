@@ -22,6 +22,8 @@ DIMS = 1 << 14
 #: Labelled rows a language that the centroids are fitted on.  The driver holds a vector of DIMS floats for each.
 FIT_ROWS = 250
 CENTROIDS = 3
+#: First bits of a text's hash by which texts are counted to find the least ones.
+RANGE_BITS = 10
 #: A text is rejected below this quantile of its language's labelled cosines, less a margin: texts unlike any language.
 REJECT_QUANTILE, REJECT_MARGIN = 0.001, 0.8
 
@@ -81,9 +83,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).withColumn("h", F.xxhash64("text"))
-    # each task keeps its fit_rows least hashes of a language before the shuffle
+    # hashes are counted by their first bits; only those up to the range that holds the last one wanted are put in order
+    hashes = rows.select("lang", "h").distinct().withColumn("range", F.shiftright("h", 64 - RANGE_BITS))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy("range"))
+    ranges = hashes.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", upto - F.col("n")).where(F.col("before") < fit_rows)
+    last = ranges.groupBy("lang").agg(F.max("range").alias("last"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    least = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= fit_rows).select("lang", "h")
+    least = hashes.join(F.broadcast(last), "lang").where(F.col("range") <= F.col("last")).withColumn("place", place).where(F.col("place") <= fit_rows).select("lang", "h")
     got = rows.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
     return Model([r["text"] for r in got], [r["lang"] for r in got])
 
