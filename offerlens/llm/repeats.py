@@ -12,8 +12,8 @@ grams are compared across documents:
 
 Hashes only propose: the suffix sort is verified by the bytes, automata compare words, and snippets of one block count
 as equal only if their symbols are.  A gram with more snippets than the group limit (a line that very many texts share,
-each going on differently) is not searched in one task: its windows are grouped by their own text instead, with
-partial aggregation before the shuffle.  Of the rows keyed by a gram, one is sent for each block of 2 MB that has it.
+each going on differently) is not searched in one task: its windows are grouped by their own text instead.  Of the rows
+keyed by a gram or a window's text, one is sent for each block of 2 MB that has it, whatever the number of documents.
 """
 
 from __future__ import annotations
@@ -198,14 +198,13 @@ def windows(block: int, at: Layout, live: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeated_windows(rows: DataFrame, kind: Passages) -> DataFrame:
-    """Spans of windows with an earlier occurrence, or with any other, grouped by their text."""
+    """Spans of windows with an earlier occurrence, or with any other, grouped by their text; a text has one row a block."""
     place = F.struct("doc", "pos", "block", "at")
-    texts = rows.where("snippet IS NOT NULL")
-    total = texts.groupBy("snippet").agg(F.min(place).alias("first"), F.sum("n").alias("total")).where("total > 1")
-    again = texts.join(total, "snippet")
-    again = again.where(place != F.col("first")) if kind.first_stays else again
-    gone = again.select("block", "at").unionByName(rows.where("snippet IS NULL").select("block", "at"))
-    return gone.select("block", "at", F.lit(0).alias("before"), F.lit(kind.window).alias("after"))
+    # rows without a text go in any case: each is a group of its own, in the same pass
+    w = W.partitionBy(F.coalesce("snippet", F.encode(F.concat_ws("-", "block", "at"), "UTF-8")))
+    seen = rows.withColumns({"place": place, "first": F.min(place).over(w), "total": F.sum("n").over(w)})
+    again = (F.col("total") > 1) & (F.col("place") != F.col("first")) if kind.first_stays else F.col("total") > 1
+    return seen.where(F.col("snippet").isNull() | again).select("block", "at", F.lit(0).alias("before"), F.lit(kind.window).alias("after"))
 
 
 def whole_groups(frames: Iterator[pd.DataFrame], key: str, least: int) -> Iterator[pd.DataFrame]:
