@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
@@ -98,15 +99,24 @@ def nearest(vectors: DataFrame, query: list[float], k: int, signature: Column |
     return scored.orderBy(*order).limit(k).select("vec_id", "score", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)).alias("rank"))
 
 
+#: What the class or id of a layer over the page says that asks for consent to cookies.
+LAYER = re.compile("cookie|consent|gdpr", re.I).search
+
+
 class _Body(HTMLParser):
+    EMPTY = {"br", "img", "input", "hr", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
     SKIP, BREAK = {"script", "style", "nav", "header", "footer", "noscript", "form", "title"}, {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "table", "section", "article"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.depth = 0
+        self.depth, self.layer, self.layers = 0, "", 0
 
     def handle_starttag(self, tag, attrs):
+        if self.layers:
+            self.layers += tag == self.layer
+        elif tag not in self.EMPTY and any(k in ("class", "id") and LAYER(v or "") for k, v in attrs):
+            self.layer, self.layers = tag, 1
         self.depth += tag in self.SKIP
         if tag in self.BREAK:
             self.out.append("\n")
@@ -114,17 +124,18 @@ class _Body(HTMLParser):
             self.out.append(" | ")
 
     def handle_endtag(self, tag):
+        self.layers -= self.layers > 0 and tag == self.layer
         self.depth -= tag in self.SKIP and self.depth > 0
         if tag in self.BREAK:
             self.out.append("\n")
 
     def handle_data(self, data):
-        if not self.depth:
+        if not self.depth and not self.layers:
             self.out.append(data)
 
 
 def body_text(html: str | None) -> str:
-    """The readable text of a page: scripts, styles and navigation left out, blocks on lines of their own."""
+    """The readable text of a page: scripts, styles, navigation and cookie layers left out, blocks on lines of their own."""
     parser = _Body()
     parser.feed(html or "")
     parser.close()
