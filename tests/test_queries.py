@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 from offerlens import plans
-from offerlens.plans import audits, composed, matching, offers, questions, records, texts  # noqa: F401
+from offerlens.plans import audits, composed, matching, offers, questions, records, tables, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = [p.stem for p in sorted(Path(SF).glob("*.parquet"))]
