@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import bpe, exact, fingerprints, language, minhash, packing, repeats, scoring, urls
+from offerlens.llm import bpe, exact, fingerprints, interactions, language, minhash, packing, repeats, scoring, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +66,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_minhash, op4_bpe, op5_fingerprints, op6_substring_dedup, op7_url_filter, op8_lm_scores, op9_exact_dedup, op10_packing)}
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, counted for each source, order and step."""
+    return interactions.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_minhash, op4_bpe, op5_fingerprints, op6_substring_dedup, op7_url_filter, op8_lm_scores, op9_exact_dedup, op10_packing, op13_filter_interactions)}
 
 ORACLE = {
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op13_filter_interactions": """
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS x,
+                     coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d LEFT JOIN l USING (doc_id)),
+        m AS (SELECT part, CASE WHEN a THEN 1 ELSE 0 END + CASE WHEN b THEN 2 ELSE 0 END + CASE WHEN c THEN 4 ELSE 0 END + CASE WHEN x THEN 8 ELSE 0 END + CASE WHEN e THEN 16 ELSE 0 END AS fails,
+                     count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+        v AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(c, bit)),
+        o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS way FROM v a, v b, v c, v d, v e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+        s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, way[k] AS bit, coalesce(list_sum(way[1:k - 1]), 0)::BIGINT AS earlier FROM o, range(1, 6) AS r(k)),
+        r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN fails & (earlier + bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails & earlier = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN fails & earlier > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN fails & earlier = 0 AND fails & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails & earlier = 0 AND fails & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM m, s GROUP BY ALL)
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+               sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r""",
 }
