@@ -26,7 +26,7 @@ from offerlens.llm.shared import cut
 #: Documents with a term for it to be kept; probabilities are parts of SCALE; terms reported of each source.
 LEAST_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
 #: Bytes of text that are counted together, and documents at most; bytes of all text for each chunk of the vocabulary.
-COUNT_BYTES, COUNT_DOCS, CHUNK_BYTES = 16 << 20, 1 << 18, 4 << 20
+COUNT_BYTES, COUNT_DOCS, CHUNK_BYTES = 8 << 20, 1 << 18, 4 << 20
 #: Sources a block and chunks a slab.
 BLOCK, SLAB = 16, 16
 #: Counted (term, source) pairs that a chunk's merge gathers before it adds them up.

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import bpe, divergence, exact, fingerprints, interactions, language, minhash, packing, repeats, scoring, urls
+from offerlens.llm import blocklabels, bpe, divergence, exact, fingerprints, interactions, language, minhash, packing, repeats, scoring, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +71,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return blocklabels.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters over all documents, counted for each source, order and step."""
     return interactions.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_minhash, op4_bpe, op5_fingerprints, op6_substring_dedup, op7_url_filter, op8_lm_scores, op9_exact_dedup, op10_packing, op11_source_divergence, op13_filter_interactions)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_minhash, op4_bpe, op5_fingerprints, op6_substring_dedup, op7_url_filter, op8_lm_scores, op9_exact_dedup, op10_packing, op11_source_divergence, op12_main_text, op13_filter_interactions)}
 
 ORACLE = {
     "op9_exact_dedup": """
