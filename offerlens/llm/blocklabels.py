@@ -322,7 +322,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     An empty table gives an empty result; extra columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    sample = rows.where(F.octet_length("html").between(1, TRAIN_BYTES)).select(F.xxhash64("html").alias("h"), "html").orderBy("h", "html").limit(train_pages).collect()
+    fit = rows.where(F.octet_length("html").between(1, TRAIN_BYTES)).select(F.xxhash64("html").alias("h"), "html")
+    least = [r["h"] for r in fit.select("h").distinct().orderBy("h").limit(train_pages).collect()]  # copies count once; tasks send hashes only
+    sample = fit.where(F.col("h").isin(least)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
     held = rows.sparkSession.sparkContext.broadcast(train([r["html"] for r in sample]))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
