@@ -75,27 +75,62 @@ def listed(candidates: DataFrame, cap: int = 5) -> DataFrame:
     return candidates.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
 
 
-def spellings(value: Column) -> Column:
-    """How a number may be written: its digits, with points for thousands, and with a decimal comma, as digit strings."""
-    cents = F.round(value * 100).cast("long")
-    whole, part = F.floor(cents / 100).cast("long"), F.pmod(cents, F.lit(100))
-    two = F.concat(whole.cast("string"), F.lpad(part.cast("string"), 2, "0"))
-    one = F.concat(whole.cast("string"), F.floor(part / 10).cast("string"))
-    return F.array_distinct(F.array_compact(F.array(F.when(part == 0, whole.cast("string")), F.when(F.pmod(part, F.lit(10)) == 0, one), two)))
+def written_numbers(c: Column) -> Column:
+    """The numbers of a text as they are written, marks kept; those of one character are left out."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(r"(\d[\d.,]*)"), 1), lambda x: F.regexp_replace(x, r"[.,]+$", ""))
+    return F.array_distinct(F.filter(found, lambda x: F.length(x) > 1))
+
+
+def read_number(token: Column) -> Column:
+    """A written number's value: points group thousands where a comma follows or all later groups have three digits, else a lone point is decimal.
+
+    0.625 is a fraction, 1.250 is not; 1.2.3 and 1,2,3 are no numbers.
+    """
+    grouped = token.rlike(r"^[1-9]\d{0,2}(?:\.\d{3})+(?:,\d+)?$")
+    plain = F.when(grouped, F.replace(token, F.lit("."), F.lit(""))).when(F.contains(token, F.lit(",")) & F.contains(token, F.lit(".")), None).otherwise(token)
+    return F.replace(plain, F.lit(","), F.lit(".")).try_cast("double")
+
+
+def licensed(token: Column, values: Column) -> Column:
+    """Whether a written number is one of the values, exactly or rounded to the two or more decimals that it is written with."""
+
+    def same(number: Column) -> Column:
+        decimals = F.length(F.regexp_extract(token, r"[.,](\d+)$", 1))
+        return F.exists(values, lambda v: (F.abs(v - number) < 1e-9) | ((decimals >= 2) & (decimals <= 3) & (F.abs(v - number) <= 0.5000001 / F.pow(F.lit(10.0), decimals))))
+
+    return text.bound_to(read_number(token), lambda n: F.when(n.isNull(), False).otherwise(F.coalesce(same(n), F.lit(False))))
+
+
+def day_spellings(days: Column) -> Column:
+    """How a day may be written: whole with points, and its year, month and day."""
+    return F.flatten(F.transform(days, lambda d: F.array(F.date_format(d, "dd.MM.yyyy"), F.date_format(d, "yyyy"), F.date_format(d, "M"), F.date_format(d, "d"))))
 
 
 def shielded(parts: DataFrame) -> DataFrame:
-    """Answer parts (part_id, origin, content, source, allowed) with what in them is not backed.
+    """Answer parts with what in them is not backed, by where each comes from.
+
+    parts has origin, content, quote, source, allowed and computed (arrays of double) and days (array of date); null
+    arrays are empty.  Numbers are compared by value, with their marks: 1.5 licenses "1,5" and "1,50", not "15".
 
-    structural: every number must be a spelling of an allowed value; quote: the content must stand in the source;
-    system and plain parts carry no number at all.  unbacked lists the numbers; blocked says whether the part is held back.
+    structural: every number must be an allowed value or a spelling of a day.  quote: the quote must stand in the source
+    word for word, and every number of the content in the quote or among the allowed.  system: every number must be one
+    of the computed values, from which it can be made again.  plain: no number at all.  Any other origin is not checked,
+    and counted as such.  unbacked lists the numbers, quoted says whether the quote holds (null for other origins), and
+    blocked whether the part is held back.  Single digits are not looked at.
     """
-    numbers = text.numbers_in(F.col("content"))
-    allowed = F.flatten(F.transform(F.coalesce("allowed", F.array().cast("array<double>")), spellings))
-    quoted = F.coalesce(F.contains("source", "content"), F.lit(False))
-    unbacked = F.when(F.col("origin") == "structural", F.array_except(numbers, allowed)).when(F.col("origin") == "quote", F.when(quoted, F.array().cast("array<string>")).otherwise(numbers)).otherwise(numbers)
-    rows = parts.withColumn("unbacked", unbacked)
-    return rows.withColumn("blocked", (F.size("unbacked") > 0) | ((F.col("origin") == "quote") & ~quoted))
+    none = F.array().cast("array<double>")
+    origin, numbers = F.col("origin"), written_numbers(F.coalesce("content", F.lit("")))
+    days = day_spellings(F.coalesce("days", F.array().cast("array<date>")))
+    left = lambda values, spelled: F.filter("numbers", lambda t: ~licensed(t, values) & ~F.array_contains(spelled, t))
+    rows = parts.withColumn("numbers", numbers).withColumn("quoted", F.when(origin == "quote", F.coalesce(F.contains("source", F.trim("quote")), F.lit(False))))
+    own = F.filter(left(F.coalesce("allowed", none), days), lambda t: ~F.array_contains(written_numbers(F.coalesce("quote", F.lit(""))), t))
+    unbacked = (
+        F.when(origin == "structural", left(F.coalesce("allowed", none), days)).when(origin == "quote", own).when(origin == "system", left(F.coalesce("computed", none), F.array().cast("array<string>")))
+        .when(origin == "plain", F.col("numbers")).otherwise(F.array().cast("array<string>"))
+    )
+    rows = rows.withColumn("unbacked", unbacked).drop("numbers")
+    checked = origin.isin("structural", "quote", "system", "plain")
+    return rows.withColumn("blocked", (F.size("unbacked") > 0) | ~F.coalesce("quoted", F.lit(True))).withColumn("checked", F.coalesce(checked, F.lit(False)))
 
 
 def profile(question: Column) -> Column:

@@ -13,9 +13,11 @@ ORACLE: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame under its own name, with its SQL."""
+    """Register a function (spark, sf_dir) -> DataFrame under its own name, with its SQL; a name that is taken raises."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = sql

@@ -83,13 +83,28 @@ def listing_order(spark, sf_dir):
     return questions.listed(candidates(spark, sf_dir)).select("question_id", "offer_id", "place")
 
 
-@query(LINES_SQL + "SELECT id, n IN (2, 4, 5) AS blocked, CASE WHEN n IN (2, 4, 5) THEN 1 ELSE 0 END AS unbacked FROM lines")
-def numeric_shield(spark, sf_dir):
-    """Answer parts of every origin with an amount: which are held back, and how many numbers nothing backs."""
-    amount = F.concat(F.lit("Tutar "), F.translate(F.format_number("price", 2), ",.", ".,"), F.lit(" TL"))
-    n = F.col("n")
+# price is whole cents; d 0 to 10; single digits are not looked at
+SHIELD_SQL = LINES_SQL + """SELECT id, CASE n WHEN 1 THEN false WHEN 2 THEN d > 0 WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN true WHEN 6 THEN false ELSE true END AS blocked,
+    CAST(CASE WHEN n = 2 AND d > 0 THEN 1 WHEN n = 5 THEN 1 WHEN n = 7 THEN 1 ELSE 0 END AS INTEGER) AS unbacked, true AS checked FROM lines"""
+
+
+@query(SHIELD_SQL)
+def answer_shield(spark, sf_dir):
+    """Answer parts of every origin, made from every line: which are held back, and how many numbers nothing backs.
+
+    Line 2 writes a rate such as 1,5 without its mark; line 4 quotes what the source does not say; line 5 adds a number
+    to its quote; line 6 shows a score of three decimals and a sum of thousands; line 7 is plain but has a number.
+    """
+    amount = F.translate(F.format_number("price", 2), ",.", ".,")
+    d, day = F.col("d"), F.date_format("day", "dd.MM.yyyy")
+    fits = F.concat(F.lit("Kampanyada "), amount, F.lit(" TL verilir."))
+    content = by_line({
+        1: F.concat(F.lit("Tutar "), amount, F.lit(" TL, son gün "), day, F.lit(".")), 2: F.concat(F.lit("Oran %"), d * 10 + 5), 3: F.concat(F.lit("Sayfada: "), fits), 4: F.concat(F.lit("Sayfada: "), fits),
+        5: F.concat(F.lit("Sayfada: "), fits, F.lit(" Ayrıca "), F.col("q") + 1_000_000, F.lit(" puan.")), 6: F.concat(F.lit("Skor 0,"), F.lpad((d * 10).cast("string"), 3, "0"), F.lit(", toplam "), lira(F.col("p") + 1000), F.lit(" TL")),
+    }, F.concat(F.lit("Yaklaşık "), lira(F.col("p") + 1000), F.lit(" TL")))
     parts = lines(spark, sf_dir).select(
-        "id", F.when(n <= 2, "structural").when(n <= 4, "quote").when(n <= 6, "plain").otherwise("system").alias("origin"), by_line({6: "Bilgi bulunamadı", 7: "Karşılaştırma"}, amount).alias("content"),
-        F.when(n == 3, F.concat(F.lit("Kampanyada "), amount, F.lit(" verilir."))).when(n == 4, "Kampanyada tutar verilmez.").alias("source"), F.when(n == 1, F.array("price")).when(n == 2, F.array(F.col("price") + 1)).alias("allowed"), "n",
+        "id", "n", by_line({1: "structural", 2: "structural", 3: "quote", 4: "quote", 5: "quote", 6: "system"}, "plain").alias("origin"), content.alias("content"), F.when(F.col("n").between(3, 5), fits).alias("quote"),
+        F.when(F.col("n").isin(3, 5), F.concat(F.lit("Duyuru. "), fits, F.lit(" Son."))).when(F.col("n") == 4, "Kampanyada tutar verilmez.").alias("source"),
+        F.when(F.col("n") == 1, F.array("price")).when(F.col("n") == 2, F.array((d * 10 + 5) / 10)).alias("allowed"), F.when(F.col("n") == 6, F.array(d / 100, (F.col("p") + 1000).cast("double"))).alias("computed"), F.when(F.col("n") == 1, F.array("day")).alias("days"),
     )
-    return questions.shielded(parts).select("id", "blocked", F.size("unbacked").alias("unbacked"))
+    return questions.shielded(parts).select("id", "blocked", F.size("unbacked").alias("unbacked"), "checked")

@@ -181,7 +181,7 @@ def slot_carry_over(spark, sf_dir):
 
 @query("""WITH c AS (SELECT o_orderkey, 'order ' || o_orderkey || ' of ' || strftime(o_orderdate, '%Y') || ' costs ' || CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) || CASE WHEN o_orderkey % 10 = 0 THEN ' or 987654321' ELSE '' END AS answer, [CAST(o_orderkey AS VARCHAR), strftime(o_orderdate, '%Y'), CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR)] AS allowed FROM orders)
     SELECT o_orderkey, CAST(len(list_filter(regexp_extract_all(answer, '\\d+'), lambda x: length(x) > 1 AND NOT list_contains(allowed, x))) AS INTEGER) AS unknown FROM c""")
-def numeric_shield(spark, sf_dir):
+def unknown_numbers(spark, sf_dir):
     """How many numbers of an answer its record does not hold; one-digit numbers are not looked at."""
     price = F.round("o_totalprice").cast("long").cast("string")
     allowed = F.array(F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy"), price)
