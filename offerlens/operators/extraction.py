@@ -59,66 +59,100 @@ RULES = (
     Rule("ends_on", DAY, "date", ("son", "bitis", "gecerli", "kadar", "kampanya suresi", "son basvuru", "kampanya donemi", "donem"), ("resmi gazete", "tarihinden once", "sonrasinda"), ("tarihinden once",), "nearest", 0.90),
 )
 #: What a line that can hold a value has: a digit or a number word.
-TELLING = re.compile(r"\d|\bbin|\bmily").search
+TELLING = re.compile(r"\d|bin|mily").search
+#: What a line must have for a pattern to be looked for in it.
+LIRA, PERCENT_MARKS = ("tl", "₺", "try", "lira"), ("%", "yuzde", "binde")
+NEEDS = {PERCENT: PERCENT_MARKS, MONEY: LIRA, rf"(?:{MONEY})|(?:{PERCENT})": LIRA + PERCENT_MARKS, TERM: ("ay", "taksit", "yil", "sene"), text.counted("taksit"): ("taksit",)}
+VALUED = re.compile(r"\d|\b(?:bin|milyon|milyar|binde)\b").search
+DENIED = re.compile(text.DENIES).search
 compiled = lru_cache(64)(re.compile)
-KEY = str.maketrans("IİŞĞÜÖÇışğüöçâîûÂÎÛ", "iisguocisguocaiuaiu")
+#: Letters by their ASCII ones; those that lower() would make two of come first.
+BEFORE, AFTER = (("İ", "i"), ("I", "i")), tuple(zip("ışğüöçâîû", "isguocaiu", strict=True))
 
 
 def position_key(s: str) -> str:
     """Lower case and ASCII letters, of the same length as the text."""
-    s = s.translate(KEY)
+    for c, x in BEFORE:
+        s = s.replace(c, x)
     low = s.lower()
-    return low if len(low) == len(s) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in s))
+    if len(low) != len(s):
+        low = "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in s))
+    for c, x in AFTER:
+        low = low.replace(c, x)
+    return low
 
 
-def distance(key: str, words: tuple[str, ...], start: int, end: int, window: int) -> int | None:
-    """Characters between a span and the nearest of the words inside the window, or None."""
-    best, part, shift = None, key[max(0, start - window) : end + window], max(0, start - window)
+def places_of(key: str, words: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Where a word of the key begins with one of these."""
+    out = []
     for w in words:
-        for m in compiled(rf"\b{re.escape(w)}").finditer(part) if w in part else ():
-            a = shift + m.start()
-            d = 0 if a < end and a + len(w) > start else min(abs(start - a - len(w)), abs(a - end))
+        at = key.find(w)
+        while at >= 0:
+            if not at or not (key[at - 1].isalnum() or key[at - 1] == "_"):
+                out.append((at, at + len(w)))
+            at = key.find(w, at + 1)
+    return out
+
+
+def distance(places: list[tuple[int, int]], start: int, end: int, window: int) -> int | None:
+    """Characters between a span and the nearest of the places inside the window, or None."""
+    best = None
+    for a, b in places:
+        if a >= start - window and b <= end + window:
+            d = 0 if a < end and b > start else min(abs(start - b), abs(a - end))
             best = d if best is None else min(best, d)
     return best
 
 
+def sentence_at(key: str, start: int, length: int) -> str:
+    """The sentence in which a span of so many characters starts."""
+    first = max(key.rfind(c, 0, start) for c in (". ", "\n", "! ")) + 1
+    return re.split(r"[.!](?:\s|$)", key[first : first + 800 + length].split("\n")[0][: 400 + length].lstrip(" ."))[0]
+
+
 def spans_of(document: str, rules: tuple[Rule, ...] = RULES) -> Iterator[tuple]:
-    """(rule number, start, end, distance, confidence) of the candidates of a text."""
+    """(rule number, start, end, distance, confidence) of the candidates of a text; rules of one pattern share its matches."""
     key = position_key(document)
-    lines, at = [], 0
+    lines: list[tuple[int, str]] = []
+    at = 0
     for line in key.split("\n"):
         if TELLING(line):
-            lines.append((at, at + len(line)))
+            lines.append((at, line))
         at += len(line) + 1
-    if not lines:
-        return
-    for i, r in enumerate(rules):
-        for m in (m for x, y in lines for m in compiled(r.pattern).finditer(key, x, y)):
-            a, b = m.span()
-            if not any(c.isdigit() for c in m.group()) and not re.search(r"\b(?:bin|milyon|milyar|binde)\b", m.group()):
-                continue
-            d = distance(key, r.keywords, a, b, r.window)
+    matches: dict[str, list[tuple[int, int]]] = {}
+    for i, r in enumerate(rules if lines else ()):
+        near = places_of(key, r.keywords)
+        if not near:
+            continue
+        if r.pattern not in matches:
+            needs, find = NEEDS.get(r.pattern, ("",)), compiled(r.pattern).finditer
+            matches[r.pattern] = [(x + m.start(), x + m.end()) for x, line in lines if any(w in line for w in needs) for m in find(line) if VALUED(m.group())]
+        if not matches[r.pattern]:
+            continue
+        others = places_of(key, r.unless_nearer)
+        for a, b in matches[r.pattern]:
+            d = distance(near, a, b, r.window)
             if d is None:
                 continue
-            other = distance(key, r.unless_nearer, a, b, r.window)
-            near_by = key[max(0, a - r.window) : b + r.window]
-            cuts = [key.rfind(c, 0, a) for c in (". ", "\n", "! ")]
-            sentence = key[max(cuts) + 1 :].split("\n")[0]
-            sentence = re.split(r"[.!](?:\s|$)", sentence[: 400 + len(m.group())].lstrip(" ."))[0]
-            if (other is not None and other < d) or any(v in near_by for v in r.vetoes) or (r.not_if_denied and re.search(text.DENIES, sentence)):
+            other = distance(others, a, b, r.window)
+            if (other is not None and other < d) or any(v in key[max(0, a - r.window) : b + r.window] for v in r.vetoes) or (r.not_if_denied and DENIED(sentence_at(key, a, b - a))):
                 continue
             yield i, a, b, d, r.confidence * (0.80 + 0.20 * (1 - d / (2 * r.window)))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, field, start, end, raw, distance, rule, confidence, mode, value, unit): plausible candidates of each field."""
+    """(doc, field, start, end, raw, distance, rule, confidence, mode, value, unit): plausible candidates of each field.
+
+    Texts without a digit or a number word do not reach Python.  Documents are searched where they lie: deal a table of
+    few large files out first.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = [(d, rules[i].field, a, b, t[a:b], n, i, c, rules[i].mode, rules[i].kind) for d, t in zip(f["doc"], f["text"], strict=True) if t for i, a, b, n, c in spans_of(t, rules)]
             yield pd.DataFrame(out, columns=["doc", "field", "start", "end", "raw", "distance", "rule", "confidence", "mode", "kind"])
 
-    rows = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(r"\d|(?iu)b[iİı]n|m[iİı]ly"))
     found = rows.mapInPandas(run, "doc string, field string, start int, end int, raw string, distance int, rule int, confidence double, mode string, kind string")
     raw, kind = F.col("raw"), F.col("kind")
     value = F.when(kind == "rate", text.rate(raw)).when(kind == "money", text.money(raw)).when(kind == "term", text.term_months(raw).cast("double")).when(kind == "fee", F.coalesce(text.money(raw), text.rate(raw))).when(kind == "date", F.unix_date(text.date(raw)).cast("double"))
@@ -144,11 +178,11 @@ def extracted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "d
 
     A span belongs to the field of the nearest keyword; rules that share spans neither take nor lose any.
     """
-    found = candidates(docs, rules, id_col, text_col)
     shared = [r.field for r in rules if r.shares_spans]
-    own = records.owners(found.where(~F.col("field").isin(shared)))
-    free = found.where(F.col("field").isin(shared))
-    return records.chosen(own.unionByName(free)).select("doc", "field", "value", "unit", "raw", "start", "end", "confidence")
+    # dealt by document once: both the owners of spans and the choice of each field are decided inside one
+    found = candidates(docs, rules, id_col, text_col).repartition("doc")
+    own = records.owners(found, apart=F.when(F.col("field").isin(shared), F.col("field")))
+    return records.chosen(own).select("doc", "field", "value", "unit", "raw", "start", "end", "confidence")
 
 
 def audited(cells: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,9 +26,13 @@ def survivors(rows: DataFrame, signature: str, order: list[Column]) -> DataFrame
     return rows.join(first, signature)
 
 
-def owners(candidates: DataFrame) -> DataFrame:
-    """Of the fields that claim one span, the nearest owns it, then the first rule.  Columns doc, start, end, field, distance, rule."""
-    w = W.partitionBy("doc", "start", "end").orderBy("distance", "rule")
+def owners(candidates: DataFrame, apart: Column | None = None) -> DataFrame:
+    """Of the fields that claim one span, the nearest owns it, then the first rule.  Columns doc, start, end, field, distance, rule.
+
+    apart: a value for the rows that compete among themselves only, null for the others.
+    """
+    keys = ["doc", "start", "end"] + ([] if apart is None else [apart])
+    w = W.partitionBy(*keys).orderBy("distance", "rule")
     return candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -71,35 +71,58 @@ def fee_free(spark, sf_dir):
     return lines(spark, sf_dir).select("id", text.fee_free(said).alias("fee_free"), text.denied(said).alias("denied"))
 
 
-@query(LINES_SQL + """, found AS (SELECT concat_ws('-', id, q, p, d, t) AS id, unnest(['rate', 'term_months', 'amount_max', 'ends_on']) AS field, unnest([(d * 100 + t)::DOUBLE / 100, q::DOUBLE, p::DOUBLE, date_diff('day', DATE '1970-01-01', day)::DOUBLE]) AS value FROM lines)
-    SELECT id AS doc, field, value, CASE field WHEN 'rate' THEN 'percent' WHEN 'term_months' THEN 'month' WHEN 'amount_max' THEN 'lira' ELSE 'day' END AS unit
-    FROM found WHERE CASE field WHEN 'rate' THEN value = 0 OR (value > 0.10 AND value < 15) WHEN 'amount_max' THEN value > 5000 ELSE true END""")
+# a passage longer than a rule's window, without a keyword
+APART = "\n" + "Bu sayfa bilgilendirme içindir, banka dilediği an koşulları yeniden belirleyebilir. " * 2 + "\n"
+
+
+@query(LINES_SQL + """, found AS (SELECT concat_ws('-', id, q, p, d, t) AS id, unnest(['rate', 'term_months', 'amount_max', 'ends_on', 'fee', 'reward', 'discount', 'points', 'instalments']) AS field,
+        unnest([(d * 100 + t)::DOUBLE / 100, greatest(q, n + 2)::DOUBLE, p::DOUBLE, date_diff('day', DATE '1970-01-01', day)::DOUBLE, CASE WHEN n <> 3 THEN q * 10.0::DOUBLE END, q * 100.0::DOUBLE, d + 1.0::DOUBLE, q * 20.0::DOUBLE, n + 2.0::DOUBLE]) AS value FROM lines)
+    SELECT id AS doc, field, value, CASE WHEN field IN ('rate', 'discount') THEN 'percent' WHEN field IN ('term_months', 'instalments') THEN 'month' WHEN field = 'ends_on' THEN 'day' ELSE 'lira' END AS unit
+    FROM found WHERE value IS NOT NULL AND CASE field WHEN 'rate' THEN value = 0 OR (value > 0.10 AND value < 15) WHEN 'amount_max' THEN value > 5000 ELSE true END""")
 def extract_fields(spark, sf_dir):
-    """The fields of a campaign text made from every line: implausible values are not fields."""
+    """The nine fields of a campaign text made from every line: implausible values are not fields, nor is a fee that is denied (line 3)."""
     percent = F.concat(F.col("d").cast("string"), F.lit(","), F.lpad(F.col("t").cast("string"), 2, "0"))
+    q, n = F.col("q"), F.col("n")
     body = F.concat(
-        F.lit("Konut finansmanı kampanyası: aylık kar payı oranı %"), percent, F.lit(".\n"), F.col("q"), F.lit(" ay vade ile "), lira(F.col("p")), F.lit(" TL finansman tutarı.\nKampanya "), dotted(F.col("day")),
-        F.lit(" tarihine kadar geçerli."),
+        F.lit("Konut finansmanı kampanyası: aylık kar payı oranı %"), percent, F.lit(".\n"), q, F.lit(" ay vade ile "), lira(F.col("p")), F.lit(" TL finansman tutarı.\nKampanya "), dotted(F.col("day")),
+        F.lit(" tarihine kadar geçerli." + APART + "Dosya masrafı "), q * 10, F.when(n == 3, " TL alınmaz.").otherwise(" TL alınır."), F.lit(APART + "Size "), q * 100, F.lit(" TL hediye çeki." + APART + "Ürünlerde %"), F.col("d") + 1,
+        F.lit(" indirim." + APART + "Toplam "), q * 20, F.lit(" TL puan." + APART + "Peşin fiyatına "), n + 2, F.lit(" taksit."),
     )
-    return extraction.extracted(lines(spark, sf_dir).select(F.concat_ws("-", "id", "q", "p", "d", "t").alias("id"), body.alias("text")), id_col="id").select("doc", "field", "value", "unit")
+    own = lines(spark, sf_dir).repartition(max(32, spark.sparkContext.defaultParallelism))  # a table of one file would be searched by one task
+    return extraction.extracted(own.select(F.concat_ws("-", "id", "q", "p", "d", "t").alias("id"), body.alias("text")), id_col="id").select("doc", "field", "value", "unit")
 
 
-@query(LINES_SQL + """SELECT id, CASE WHEN n IN (1, 3) THEN 0.0::DOUBLE END AS rate, CASE n WHEN 4 THEN false WHEN 5 THEN true END AS fee_free, CASE n WHEN 5 THEN 'Masrafsız konut finansmanı' END AS evidence FROM lines""")
+@query(LINES_SQL + """SELECT id, CASE WHEN n IN (1, 6) THEN 0.0::DOUBLE END AS rate, CASE n WHEN 1 THEN 'Vade farksız ' || q || ' taksit imkanı' WHEN 6 THEN q || ' ay boyunca kâr payı alınmaz' END AS rate_said,
+    CASE n WHEN 4 THEN false WHEN 5 THEN true END AS fee_free, CASE n WHEN 5 THEN 'Masrafsız konut finansmanı' END AS evidence FROM lines""")
 def statements(spark, sf_dir):
     """Zero rates and freedom from fees that whole texts state, and the sentence that says the latter."""
     said = by_line({
-        1: "Vade farksız taksit imkanı.", 2: F.concat(F.lit("Vade farksız değil, aylık %"), F.col("q"), F.lit(" oran.")), 3: "Faizsiz alışveriş.",
+        1: F.concat(F.lit("Fırsat! Vade farksız "), F.col("q"), F.lit(" taksit imkanı.")), 6: F.concat(F.col("q"), F.lit(" ay boyunca kâr payı alınmaz. Başvurun.")), 2: F.concat(F.lit("Vade farksız değil, aylık %"), F.col("q"), F.lit(" oran.")), 3: "Faizsiz bankacılık ilkeleriyle aylık oran belirtilmemiştir.",
         4: "Konut finansmanında dosya masrafı yoktur. Tahsis ücreti alınır.", 5: "Herkese açık kampanya. Masrafsız konut finansmanı! Hemen başvurun.",
     }, F.concat(F.lit("Aylık %"), F.col("d"), F.lit(" oran.")))
     free = conditions.free_statement(said)
     evidence = F.when(free, conditions.first_sentence(said, F.lit(True)))
-    return lines(spark, sf_dir).select("id", conditions.zero_rate(said).alias("rate"), free.alias("fee_free"), evidence.alias("evidence"))
+    rate = conditions.zero_rate(said)
+    return lines(spark, sf_dir).select("id", rate.alias("rate"), F.when(rate == 0, conditions.zero_sentence(said)).alias("rate_said"), free.alias("fee_free"), evidence.alias("evidence"))
 
 
-@query(LINES_SQL + "SELECT id, CASE WHEN n < 7 THEN p::DOUBLE END AS low, CASE WHEN n < 7 THEN (p + 1000 * q)::DOUBLE END AS high, CASE WHEN n < 7 THEN day END AS start_day, CASE WHEN n < 7 THEN day + q END AS end_day FROM lines")
+@query(LINES_SQL + """SELECT id, CASE n WHEN 7 THEN NULL WHEN 2 THEN q * 1000.0::DOUBLE WHEN 3 THEN q * 1000000.0::DOUBLE WHEN 4 THEN q * 1000.0::DOUBLE ELSE p::DOUBLE END AS low,
+    CASE n WHEN 7 THEN NULL WHEN 2 THEN (q + 100) * 1000.0::DOUBLE WHEN 3 THEN (q + 1) * 1000000.0::DOUBLE WHEN 4 THEN (q + 1) * 1000.0::DOUBLE ELSE (p + 1000 * q)::DOUBLE END AS high,
+    CASE WHEN n = 5 THEN make_date(year(day + q), month(day), least(day(day), 28)) WHEN n < 7 THEN day END AS start_day, CASE WHEN n < 7 THEN day + q END AS end_day FROM lines""")
 def range_ends(spark, sf_dir):
-    """Both ends of amount and date ranges; a lone amount or day is no range."""
-    said = by_line({7: F.concat(F.lit("Tutar "), lira(F.col("p")), F.lit(" TL; son gün "), dotted(F.col("day")))}, F.concat(F.lit("Tutar "), lira(F.col("p")), F.lit(" - "), lira(F.col("p") + 1000 * F.col("q")), F.lit(" TL arası; geçerlilik "), dotted(F.col("day")), F.lit(" - "), dotted(F.date_add("day", F.col("q")))))
+    """Both ends of amount and date ranges in the spellings that sentences use; a lone amount or day is no range."""
+    n, q, p, day, until = F.col("n"), F.col("q"), F.col("p"), F.col("day"), F.date_add("day", F.col("q"))
+    name = lambda d: F.get(F.array(*map(F.lit, MONTHS)), F.month(d) - 1)
+    spelled = lambda d: F.concat_ws(" ", F.dayofmonth(d), name(d), F.year(d))
+    many = by_line({
+        1: F.concat(lira(p), F.lit(" TL ile "), lira(p + 1000 * q), F.lit(" TL arası")), 2: F.concat(q, F.lit(" bin - "), q + 100, F.lit(" bin TL")), 3: F.concat(q, F.lit(" milyon TL ila "), q + 1, F.lit(" milyon TL")),
+        4: F.concat(q, F.lit(" – "), q + 1, F.lit(" bin ₺")), 7: F.concat(lira(p), F.lit(" TL")),
+    }, F.concat(lira(p), F.lit(" - "), lira(p + 1000 * q), F.lit(" TL arası")))
+    days = by_line({
+        2: F.concat(spelled(day), F.lit(" - "), spelled(until)), 3: F.concat(dotted(day), F.lit(" ile "), dotted(until), F.lit(" arasında")), 7: dotted(day),
+        5: F.concat(F.least(F.dayofmonth(day), F.lit(28)), F.lit(" "), name(day), F.lit(" – "), spelled(until)),
+    }, F.concat(dotted(day), F.lit(" - "), dotted(until)))
+    said = F.concat(F.lit("Tutar "), many, F.lit("; geçerlilik "), days, F.lit("."))
     got = lines(spark, sf_dir).select("id", conditions.amount_range(said).alias("amount"), conditions.date_range(said).alias("days"))
     return got.select("id", "amount.low", "amount.high", F.col("days.start").alias("start_day"), F.col("days.end").alias("end_day"))
 
@@ -109,17 +132,24 @@ def tier_table_max(spark, sf_dir):
     """The largest financing of a tier table; tables of one row and those with an open end have none."""
     row = lambda base, percent: F.concat(lira(F.col("p") + base), F.lit(f" TL | %{percent}\n"))
     head, one, two = F.lit("Taşıt değeri | Kredi oranı\n"), row(400_000, 70), row(800_000, 50)
-    body = F.when(F.col("n") % 4 == 1, F.concat(head, one)).when(F.col("n") % 4 == 0, F.concat(head, one, two, F.lit("üzeri | %20\n"))).otherwise(F.concat(head, one, two))
+    turned = lambda base, percent: F.concat(F.lit(f"| Yeni | %{percent} | "), lira(F.col("p") + base), F.lit(" TL |\n"))
+    other = F.concat(F.lit("| Durum | Kredi oranı | Taşıt değeri |\n"), turned(400_000, 70), turned(800_000, 50))
+    body = F.when(F.col("n") % 4 == 3, other).when(F.col("n") % 4 == 1, F.concat(head, one)).when(F.col("n") % 4 == 0, F.concat(head, one, two, F.lit("üzeri | %20\n"))).otherwise(F.concat(head, one, two))
     return lines(spark, sf_dir).select("id", conditions.tier_max(body).alias("most"))
 
 
-@query(LINES_SQL + """SELECT id, CASE WHEN 1000 * q <= p THEN (1000 * q)::DOUBLE END AS amount_min, CASE WHEN n <= q THEN n END AS term_min, CASE WHEN n % 2 = 1 THEN 'card' ELSE '' END AS products,
-    CASE n % 3 WHEN 0 THEN 'retired' WHEN 1 THEN 'student' ELSE '' END AS segments FROM lines""")
+@query(LINES_SQL + """SELECT id, CASE WHEN 1000 * q <= p AND d % 3 <> 1 THEN (1000 * q)::DOUBLE END AS amount_min, CASE WHEN n <= q THEN n END AS term_min,
+    CASE n WHEN 1 THEN 'card' WHEN 4 THEN 'insurance' WHEN 5 THEN 'salary' WHEN 7 THEN 'autopay' ELSE '' END AS products, CASE q % 4 WHEN 0 THEN 'retired' WHEN 2 THEN 'student,farmer' ELSE '' END AS segments FROM lines""")
 def eligibility_terms(spark, sf_dir):
-    """Conditions read from sentences against the offer's own caps: a least value above its cap is dropped."""
-    product = F.when(F.col("n") % 2 == 1, "Kredi kartı şartı aranır. ").otherwise("Kredi kartı sahipleri de başvurabilir. ")
-    segment = F.when(F.col("n") % 3 == 0, "Emekli müşterilere özel.").when(F.col("n") % 3 == 1, "Öğrenci müşterilere özel.").otherwise("Herkese açık.")
-    said = F.concat(F.lit("En az "), lira(1000 * F.col("q")), F.lit(" TL kullanılmalıdır. Vade asgari "), F.col("n"), F.lit(" ay. "), product, segment)
+    """Conditions read from sentences against the offer's own caps: what is denied, excluded or about spending is no condition."""
+    q, least = F.pmod("q", F.lit(4)), lira(1000 * F.col("q"))
+    amount = F.when(F.pmod("d", F.lit(3)) == 0, F.concat(F.lit("Finansman en az "), least, F.lit(" TL kullandırılır. "))).when(F.pmod("d", F.lit(3)) == 1, F.concat(F.lit("En az "), least, F.lit(" TL alışveriş yapanlara geçerlidir. "))).otherwise(F.concat(F.lit("Asgari "), least, F.lit(" TL tutarlı finansman. ")))
+    product = by_line({
+        1: "Kredi kartı şartı aranır. ", 2: "Kredi kartı şartı aranmaz. ", 3: "Sigorta poliçesi zorunlu değildir. ", 4: "Sigorta poliçesi yaptırılması zorunludur. ", 5: "Maaş müşterisi olan müşteriler yararlanır. ",
+        7: "Otomatik ödeme talimatı verilmesi gereklidir. ",
+    }, "Kredi kartı sahipleri de başvurabilir. ")
+    segment = F.when(q == 0, "Emekli müşterilere özel.").when(q == 1, "Emekli maaşı alanlar hariç herkese açık.").when(q == 2, "Öğrenci ve çiftçi müşterilere özel.").otherwise("Gençler için değildir.")
+    said = F.concat(amount, F.lit("Vade asgari "), F.col("n"), F.lit(" ay. "), product, segment)
     rows = lines(spark, sf_dir).select("id", said.alias("text"), F.col("p").cast("double").alias("amount_max"), F.col("q").alias("term_months"))
     return conditions.derived(rows).select("id", "amount_min", "term_min", F.array_join("products", ",").alias("products"), F.array_join("segments", ",").alias("segments"))
 
