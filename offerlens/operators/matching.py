@@ -21,28 +21,70 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def pairs_of_letters(word: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: F.substring(word, i, F.lit(2))))
+#: Tokens that the prefixes of two alike words must share; their pairs are the join's key.
+SHARED = 2
+
+
+def letters_of(word: Column) -> Column:
+    """A word's letters as a set: each with the number of times that it has stood there."""
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
 
 
 def near_spellings(words: DataFrame, vocabulary: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """(word, near, ratio): for each distinct word the vocabulary's most alike, of equal ones the first; none below the cutoff.
 
-    Words under five letters and nulls have none.  At a cutoff of 0.88 words that are alike have two adjacent letters in
-    common and lengths within the cutoff, so candidates are found by a join on letter pairs and the ratio is taken of
-    those alone.
+    Words under five letters and nulls have none.  The ratio is twice the matched letters over all, so alike words of n
+    and m letters have c (n + m) / 2 letters in common at least, and a word of n letters c n / (2 - c) with any.  With
+    letters ordered from the rarest, the first ones of two alike words, as many as may differ and SHARED more, share
+    SHARED at least: pairs of those are the key of an equi-join.  Only pairs that pass the count of common letters are
+    compared.  Cutoffs from 0.5; a common letter alone joins nothing.
     """
-    if cutoff < CUTOFF:
-        raise ValueError(f"below {CUTOFF} alike words need not share two adjacent letters")
-    part = lambda rows, name: rows.where(F.length(name) >= LEAST_LETTERS).select(name).distinct().withColumn("pair", F.explode(pairs_of_letters(F.col(name))))
-    asked, held = part(words.select("word"), "word"), part(vocabulary.select(F.col("word").alias("near")), "near")
-    short, total = F.least(F.length("word"), F.length("near")), F.length("word") + F.length("near")
-    met = asked.join(held, "pair").where(2 * short >= cutoff * total).select("word", "near").distinct()
+    if cutoff < 0.5:
+        raise ValueError("below a cutoff of 0.5 short words need not share two letters")
+    asked = words.select("word").where(F.length("word") >= LEAST_LETTERS).distinct()
+    held = vocabulary.select("word").where(F.length("word") >= LEAST_LETTERS).distinct()
+    token = lambda df: df.select("word", F.explode(letters_of(F.col("word"))).alias("t"))
+    rarity = token(asked.unionByName(held).distinct()).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        ordered = token(df).join(rarity, "t").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("l")).select(F.col("word").alias(name), F.transform("l", lambda x: x["t"]).alias(f"{name}_l"))
+        size = F.size(f"{name}_l")
+        first = F.slice(f"{name}_l", F.lit(1), F.least(size, size - F.ceil(size * (cutoff / (2 - cutoff)) - 1e-9).cast("int") + SHARED))
+        ordered = ordered.withColumn("p", first)
+        pairs = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda b: F.concat_ws(" ", F.least(a, b), F.greatest(a, b)))))
+        return ordered.withColumn("pair", F.explode(pairs)).drop("p")
+
+    needed = cutoff * (F.length("word") + F.length("near")) / 2 - 1e-9
+    met = keyed(asked, "word").join(keyed(held, "near"), "pair").where(F.least(F.length("word"), F.length("near")) >= needed)
+    met = met.where(F.size(F.array_intersect("word_l", "near_l")) >= needed).select("word", "near").distinct()
     scored = met.withColumn("ratio", ratio("word", "near")).where(F.col("ratio") >= cutoff)
     best = F.min_by(F.struct("near", "ratio"), F.struct(-F.col("ratio"), F.col("near"))).alias("r")
     return scored.groupBy("word").agg(best).select("word", "r.*")
 
 
+def recognised_in_steps(questions: DataFrame, banks: DataFrame, cutoff: float = 0.8) -> DataFrame:
+    """(question_id, bank, step): banks that a question names, by the first step that names any.
+
+    name: its first two words stand there in turn; word: a word that no other bank's name has; near: a word spelled
+    nearly like one of those.  Null and empty questions and names name none.
+    """
+    questions = questions.select("question_id", text.split_apostrophes(F.col("question")).alias("question"))  # an ending after a name is no part of it
+    order = F.filter(F.split(text.search_key(F.col("bank")), "[^0-9a-z]+"), lambda w: w != "")
+    named = banks.select("bank", F.concat_ws(" ", F.slice(order, F.lit(1), F.lit(2))).alias("core")).where("core LIKE '% %'").distinct()
+    inner = F.filter(F.split(text.search_key(F.col("question")), "[^0-9a-z]+"), lambda w: w != "")
+    turns = F.zip_with(inner, F.slice(inner, F.lit(2), F.size(inner)), lambda a, b: F.concat(a, F.lit(" "), b))
+    asked = questions.select("question_id", F.explode(F.array_distinct(turns)).alias("core"))
+    core = asked.join(named, "core").select("question_id", "bank").distinct().withColumn("step", F.lit("name"))
+    rest = questions.join(core, "question_id", "left_anti")
+    unique = banks.select("bank", F.explode(words_of(F.col("bank"))).alias("near")).distinct().groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.min("bank").alias("bank")).where("n = 1").drop("n")
+    words = rest.select("question_id", F.explode(words_of(F.col("question"))).alias("word"))
+    whole = words.join(unique, F.col("word") == F.col("near")).select("question_id", "bank").distinct().withColumn("step", F.lit("word"))
+    left = words.join(whole, "question_id", "left_anti")
+    nearly = left.join(near_spellings(left, unique.select(F.col("near").alias("word")), cutoff), "word").join(unique, "near").select("question_id", "bank").distinct().withColumn("step", F.lit("near"))
+    return core.unionByName(whole).unionByName(nearly)
+
+
 def foreign(questions: DataFrame, banks: DataFrame) -> DataFrame:
     """(question_id, name): what a question calls a bank although no word of the registry's names is it."""
     key = text.search_key(F.col("question"))

@@ -9,21 +9,29 @@ from pyspark.sql import functions as F
 from offerlens.operators import matching, texts, vectors
 
 
-def test_near_spellings_are_those_of_all_pairs(spark):
+@pytest.mark.parametrize("cutoff", [0.88, 0.75, 0.6])
+def test_near_spellings_are_those_of_all_pairs(spark, cutoff):
     r, letters = random.Random(5), "abcde"
     held = ["".join(r.choices(letters, k=r.randint(3, 14))) for _ in range(120)]
     asked = [w[: (i := r.randrange(len(w)))] + r.choice(["", "x", w[i : i + 1] * 2]) + w[i + r.randint(0, 1) :] for w in held] + ["", None, "abc", held[0], held[0]]
     frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "word string")
-    got = {x.word: (x.near, round(x.ratio, 9)) for x in matching.near_spellings(frame(asked), frame([*held, None])).collect()}
+    got = {x.word: (x.near, round(x.ratio, 9)) for x in matching.near_spellings(frame(asked), frame([*held, None]), cutoff).collect()}
     want = {}
     for w in {w for w in asked if w and len(w) >= 5}:
         best = min(((-SequenceMatcher(None, w, v).ratio(), v) for v in set(held) if len(v) >= 5), default=(0, ""))
-        if -best[0] >= 0.88:
+        if -best[0] >= cutoff:
             want[w] = (best[1], round(-best[0], 9))
     assert got == want and len(want) > 30
     assert matching.near_spellings(frame([]), frame(held)).count() == 0
     with pytest.raises(ValueError):
-        matching.near_spellings(frame(asked), frame(held), 0.5)
+        matching.near_spellings(frame(asked), frame(held), 0.4)
+
+
+def test_banks_are_recognised_in_steps(spark):
+    banks = spark.createDataFrame([("Albaraka Türk",), ("Kuveyt Türk",), ("Türkiye Finans",), ("Ziraat Katılım",), ("Vakıf Katılım",), (None,), ("",)], "bank string")
+    asked = {1: "Kuveyt Türk'ün oranı?", 2: "albaraka ne sunar", 3: "albraka oranı", 4: "katılım bankaları", 5: "kuveyit turk ile ziraat", 6: "Türk", 7: None, 8: "", 9: "vakif katilim, ziraat katılım"}
+    got = {(r.question_id, r.bank, r.step) for r in matching.recognised_in_steps(spark.createDataFrame(list(asked.items()), "question_id int, question string"), banks).collect()}
+    assert got == {(1, "Kuveyt Türk", "name"), (2, "Albaraka Türk", "word"), (3, "Albaraka Türk", "near"), (5, "Ziraat Katılım", "word"), (9, "Vakıf Katılım", "name"), (9, "Ziraat Katılım", "name")}
 
 
 def test_names_outside_the_registry(spark):
