@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.functions import text
-from offerlens.operators import conditions, extraction
+from offerlens.operators import conditions, extraction, gates as gate_passes
 from offerlens.plans import query, table
 from offerlens.plans.offers import OFFERS_SQL, offers
 
@@ -164,6 +164,32 @@ def gates(spark, sf_dir):
     return conditions.gated(cells, {"rate": (0.5, 9.5)}, {"fee": "lira"}).select("doc", "field", "refused")
 
 
+@query(LINES_SQL + """, k AS (SELECT concat_ws('-', id, q, p, d, t) AS doc, *, (d * 100 + t)::DOUBLE / 100 AS r, greatest((400000 + p)::DOUBLE * 70 / 100, (800000 + p)::DOUBLE * 50 / 100) AS tier FROM lines),
+    c AS (SELECT doc, 'rate' AS field, r AS value, 'percent' AS unit, CASE WHEN n = 1 AND r > 0 THEN 'rederived' ELSE 'given' END AS origin, CASE WHEN NOT (r = 0 OR (r > 0.10 AND r < 15)) THEN 'range' END AS refused, CASE WHEN n = 1 AND r > 0 THEN 2 ELSE 1 END AS passes FROM k
+          UNION ALL SELECT doc, 'amount_max', CASE WHEN n = 2 THEN tier ELSE p::DOUBLE END, 'lira', CASE WHEN n = 2 THEN 'tier' ELSE 'given' END, CASE WHEN n = 2 THEN NULL WHEN p <= 5000 THEN 'range' WHEN n = 3 THEN 'phrase' END, 1 FROM k
+          UNION ALL SELECT doc, 'term_months', q::DOUBLE, 'month', CASE WHEN n = 4 THEN 'rederived' ELSE 'given' END, NULL, CASE WHEN n = 4 THEN 2 ELSE 1 END FROM k
+          UNION ALL SELECT doc, 'instalments', n + 2.0::DOUBLE, 'month', 'given', CASE WHEN n + 2 > q THEN 'term' END, 1 FROM k)
+    SELECT doc, field, value, unit, origin, refused, passes::INTEGER AS passes FROM c""")
+def settled_cells(spark, sf_dir):
+    """Cells of every line after all passes of the gates: rates a hundred times too large (line 1), amounts of a tier table (2), phrases that are not there (3), wrong units (4)."""
+    q, n, p = F.col("q"), F.col("n"), F.col("p")
+    percent = F.concat(F.lit("%"), F.col("d").cast("string"), F.lit(","), F.lpad(F.col("t").cast("string"), 2, "0"))
+    amount, term, parts = F.concat(lira(p), F.lit(" TL")), F.concat(q, F.lit(" ay")), F.concat(n + 2, F.lit(" taksit"))
+    row = lambda base, ratio: F.concat(lira(p + base), F.lit(f" TL | %{ratio}\n"))
+    tiers = F.when(n == 2, F.concat(F.lit("\nTaşıt değeri | Kredi oranı\n"), row(400_000, 70), row(800_000, 50))).otherwise("")
+    body = F.concat(F.lit("Aylık oran "), percent, F.lit(", "), term, F.lit(", "), parts, F.when(n == 3, "").otherwise(F.concat(F.lit(", "), amount)), tiers)
+    rows = lines(spark, sf_dir).withColumn("doc", F.concat_ws("-", "id", "q", "p", "d", "t"))
+    rate = (F.col("d") * 100 + F.col("t")) / 100
+    most = F.greatest((p + 400_000) * 70 / 100, (p + 800_000) * 50 / 100)
+    cell = lambda field, value, unit, raw: F.struct(F.lit(field).alias("field"), value.cast("double").alias("value"), unit.alias("unit"), raw.alias("raw"))
+    cells = F.array(
+        cell("rate", F.when(n == 1, (rate + 1) * 100 * F.when(rate > 0, 1).otherwise(0)).otherwise(rate), F.lit("percent"), percent), cell("amount_max", F.when(n == 2, most).otherwise(p), F.lit("lira"), F.when(n == 2, "tablo").otherwise(amount)),
+        cell("term_months", q, F.when(n == 4, "day").otherwise("month"), term), cell("instalments", n + 2, F.lit("month"), parts),
+    )
+    got = gate_passes.settled(rows.select("doc", F.inline(cells)), rows.select("doc", body.alias("text")), {"rate": (0.10, 15.0), "amount_max": (5000.0, 1e12), "term_months": (0.0, 361.0)}, {"rate": "percent", "amount_max": "lira", "term_months": "month"})
+    return got.select("doc", "field", "value", "unit", "origin", "refused", "passes")
+
+
 VARIANTS = ["as_is", "point_mark", "wide", "upper", "sign", "sign_after", "word"]
 
 
