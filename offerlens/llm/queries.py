@@ -15,6 +15,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that start earlier.  Null, empty and repeated rows as in the operator's docstring; an empty table gives no rows."""
     return repeats.without_repeated_bytes(documents(spark, sf_dir))
 
 
@@ -24,34 +25,41 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out; und without a letter.  Null, empty and repeated rows as in the operator's docstring; an empty table gives no rows."""
     docs = documents(spark, sf_dir).withColumn("held_out", held_out(F.col("doc_id")))
     model = language.fit(docs.where(~F.col("held_out")).select("text", "lang"))
     return language.identify(docs, model, carry=["held_out"]).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document.  Null, empty and repeated rows as in the operator's docstring; an empty table gives no rows."""
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text by the byte-level vocabulary, and what they decode to.  Null, empty and repeated rows as in the operator's docstring; an empty table gives no rows."""
     import public_tokenizers
 
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited one, and their likenesses.  Null, empty and repeated rows as in the operator's docstring; an empty table gives no rows."""
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that stand elsewhere too.  Null, empty and repeated rows as in the operator's docstring; an empty table gives no rows."""
     return repeats.without_repeated_words(documents(spark, sf_dir))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url: of the longest rule, else of the trees.  Null, empty and repeated rows as in the operator's docstring; an empty table gives no rows."""
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stupid-backoff score of every document under the counts of all.  Null, empty and repeated rows as in the operator's docstring; an empty table gives no rows."""
     return scoring.score(documents(spark, sf_dir))
 
 
@@ -63,6 +71,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bucket, batch and slot.  Null, empty and repeated rows as in the operator's docstring; an empty table gives no rows."""
     return packing.pack(documents(spark, sf_dir))
 
 
