@@ -75,12 +75,15 @@ def fee_free(spark, sf_dir):
 APART = "\n" + "Bu sayfa bilgilendirme içindir, banka dilediği an koşulları yeniden belirleyebilir. " * 2 + "\n"
 
 
-@query(LINES_SQL + """, found AS (SELECT concat_ws('-', id, q, p, d, t) AS id, unnest(['rate', 'term_months', 'amount_max', 'ends_on', 'fee', 'reward', 'discount', 'points', 'instalments']) AS field,
-        unnest([(d * 100 + t)::DOUBLE / 100, greatest(q, n + 2)::DOUBLE, p::DOUBLE, date_diff('day', DATE '1970-01-01', day)::DOUBLE, CASE WHEN n <> 3 THEN q * 10.0::DOUBLE END, q * 100.0::DOUBLE, d + 1.0::DOUBLE, q * 20.0::DOUBLE, n + 2.0::DOUBLE]) AS value FROM lines)
-    SELECT id AS doc, field, value, CASE WHEN field IN ('rate', 'discount') THEN 'percent' WHEN field IN ('term_months', 'instalments') THEN 'month' WHEN field = 'ends_on' THEN 'day' ELSE 'lira' END AS unit
-    FROM found WHERE value IS NOT NULL AND CASE field WHEN 'rate' THEN value = 0 OR (value > 0.10 AND value < 15) WHEN 'amount_max' THEN value > 5000 ELSE true END""")
-def extract_fields(spark, sf_dir):
-    """The nine fields of a campaign text made from every line: implausible values are not fields, nor is a fee that is denied (line 3)."""
+# what a campaign text made from every line states, and which of it is plausible
+FIELDS_SQL = LINES_SQL + """, stated AS (SELECT concat_ws('-', id, q, p, d, t) AS id, unnest(['rate', 'term_months', 'amount_max', 'ends_on', 'fee', 'reward', 'discount', 'points', 'instalments']) AS field,
+        unnest([(d * 100 + t)::DOUBLE / 100, greatest(q, n + 2)::DOUBLE, p::DOUBLE, date_diff('day', DATE '1970-01-01', day)::DOUBLE, CASE WHEN n <> 3 THEN q * 10.0::DOUBLE END, q * 100.0::DOUBLE, d + 1.0::DOUBLE, q * 20.0::DOUBLE, n + 2.0::DOUBLE]) AS value FROM lines),
+    found AS (SELECT * FROM stated WHERE value IS NOT NULL AND CASE field WHEN 'rate' THEN value = 0 OR (value > 0.10 AND value < 15) WHEN 'amount_max' THEN value > 5000 ELSE true END)
+"""
+
+
+def campaign_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): a campaign text with the nine fields of every line, dealt out, as a table of one file would be searched by one task."""
     percent = F.concat(F.col("d").cast("string"), F.lit(","), F.lpad(F.col("t").cast("string"), 2, "0"))
     q, n = F.col("q"), F.col("n")
     body = F.concat(
@@ -88,8 +91,14 @@ def extract_fields(spark, sf_dir):
         F.lit(" tarihine kadar geçerli." + APART + "Dosya masrafı "), q * 10, F.when(n == 3, " TL alınmaz.").otherwise(" TL alınır."), F.lit(APART + "Size "), q * 100, F.lit(" TL hediye çeki." + APART + "Ürünlerde %"), F.col("d") + 1,
         F.lit(" indirim." + APART + "Toplam "), q * 20, F.lit(" TL puan." + APART + "Peşin fiyatına "), n + 2, F.lit(" taksit."),
     )
-    own = lines(spark, sf_dir).repartition(max(32, spark.sparkContext.defaultParallelism))  # a table of one file would be searched by one task
-    return extraction.extracted(own.select(F.concat_ws("-", "id", "q", "p", "d", "t").alias("id"), body.alias("text")), id_col="id").select("doc", "field", "value", "unit")
+    own = lines(spark, sf_dir).repartition(max(32, spark.sparkContext.defaultParallelism))
+    return own.select(F.concat_ws("-", "id", "q", "p", "d", "t").alias("id"), body.alias("text"))
+
+
+@query(FIELDS_SQL + "SELECT id AS doc, field, value, CASE WHEN field IN ('rate', 'discount') THEN 'percent' WHEN field IN ('term_months', 'instalments') THEN 'month' WHEN field = 'ends_on' THEN 'day' ELSE 'lira' END AS unit FROM found")
+def extract_fields(spark, sf_dir):
+    """The nine fields of a campaign text made from every line: implausible values are not fields, nor is a fee that is denied (line 3)."""
+    return extraction.extracted(campaign_texts(spark, sf_dir), id_col="id").select("doc", "field", "value", "unit")
 
 
 @query(LINES_SQL + """SELECT id, CASE WHEN n IN (1, 6) THEN 0.0::DOUBLE END AS rate, CASE n WHEN 1 THEN 'Vade farksız ' || q || ' taksit imkanı' WHEN 6 THEN q || ' ay boyunca kâr payı alınmaz' END AS rate_said,

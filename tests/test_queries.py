@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 from offerlens import plans
-from offerlens.plans import answers, audits, composed, dialogues, matching, offers, questions, records, tables, texts, topics, vocabulary  # noqa: F401
+from offerlens.plans import answers, audits, composed, dialogues, evaluation, matching, offers, questions, records, tables, texts, topics, vocabulary  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = [p.stem for p in sorted(Path(SF).glob("*.parquet"))]
