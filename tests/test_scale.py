@@ -10,7 +10,7 @@ from offerlens.plans import QUERIES, answers, questions as asked  # noqa: F401
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, step", [("listing_order", "listed")])
+@pytest.mark.parametrize("name, step", [("listing_order", "listed"), ("single_answer", "single_answer")])
 def test_offers_are_put_in_order_once(spark, monkeypatch, name, step):
     seen, own = [], getattr(questions, step)
     monkeypatch.setattr(questions, step, lambda c, *a: seen.append(c.count()) or own(c, *a))
