@@ -16,3 +16,11 @@ def test_offers_are_put_in_order_once(spark, monkeypatch, name, step):
     monkeypatch.setattr(questions, step, lambda c, *a: seen.append(c.count()) or own(c, *a))
     assert QUERIES[name](spark, SMALL).count()
     assert seen == [spark.read.parquet(f"{SMALL}/lineitem.parquet").count()]
+
+
+def test_condition_answers_order_offers_once(spark, monkeypatch):
+    seen, own = [], questions.listed
+    monkeypatch.setattr(questions, "listed", lambda c, *a: seen.append(c.count()) or own(c, *a))
+    QUERIES["condition_answers"](spark, SMALL).count()
+    shown = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert seen == [shown]  # no line lacks both a rate and an amount
