@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from offerlens.operators import questions
-from offerlens.plans import QUERIES, answers, questions as asked  # noqa: F401
+from offerlens.operators import eligibility, questions
+from offerlens.plans import QUERIES, answers, offers, questions as asked  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,3 +27,26 @@ def test_condition_answers_order_offers_once(spark, monkeypatch):
     QUERIES["condition_answers"](spark, SMALL).count()
     shown = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert seen == [shown]  # no line lacks both a rate and an amount
+
+
+def test_outdone_counts_earlier_rows():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n, most = rng.integers(0, 120), int(rng.integers(1, 6))
+        kind, roof, reach = np.sort(rng.integers(0, 4, n)), rng.choice([1, 2, 3, 5, np.inf], n), rng.choice([1, 2, 3, 4, np.inf], n)
+        want = [sum(kind[j] == kind[i] and roof[j] >= roof[i] and reach[j] >= reach[i] for j in range(i)) >= most for i in range(n)]
+        assert eligibility.outdone(kind, roof, reach, most).tolist() == want
+
+
+def test_contenders_hold_the_best_of_every_profile(spark):
+    o = offers.conditioned(spark, SMALL.replace("0.001", "0.01")).cache()
+    asking = spark.sql("SELECT id AS profile_id, 'FRANCE' AS country, 'HOUSEHOLD' AS customer_type, IF(id % 7 = 0, NULL, id * 2500.0D - 5000) AS amount, CAST(id % 48 + 1 AS INT) AS months FROM range(40)")
+
+    def best(own):
+        rows = eligibility.tier(eligibility.reasons(offers.pairs(asking, own)))
+        w = Window.partitionBy("profile_id").orderBy("tier", F.when(F.col("tier") == 0, F.round("within", 4)).otherwise(F.col("within")), "offer_id")
+        return sorted(map(tuple, rows.withColumn("n", F.row_number().over(w)).where("n <= 5").select("profile_id", "tier", "n", "offer_id").collect()))
+
+    few = eligibility.contenders(o, 5).cache()
+    assert best(few) == best(o)
+    assert few.count() * 2 < o.count()
