@@ -159,7 +159,7 @@ def ask(block: int, at: Layout) -> Iterator[pd.DataFrame]:
 
 
 TOLD = "h long, block long, at long, doc long, pos long, n int, before int, snippet binary"
-WINDOWS = "block long, at long, doc long, pos long, n int, snippet binary"
+WINDOWS = "block long, at long, doc long, pos long, n int, after int, snippet binary"
 
 
 def among(hashes: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -181,8 +181,11 @@ def tell(block: int, at: Layout, live: pd.DataFrame) -> pd.DataFrame:
 
 
 def windows(block: int, at: Layout, live: pd.DataFrame) -> pd.DataFrame:
-    """The windows of crowded grams, each text once with the place of the first; further places have no text and are known to go."""
-    size, out, texts = at.kind.window, [], {}
+    """The windows of crowded grams, each text once with the place of the first.
+
+    Further places are known to go: they have no text, and those that meet are one row up to where the last one ends.
+    """
+    size, out, texts, again = at.kind.window, [], {}, []
     for s in at.segments():
         for i in np.flatnonzero(among(s.hash[s.first], live["h"].to_numpy())).tolist():
             rep = s.first[i]
@@ -192,8 +195,9 @@ def windows(block: int, at: Layout, live: pd.DataFrame) -> pd.DataFrame:
         places.sort()
         a, d, _ = places[0]
         n = sum(p[2] for p in places)
-        out.append((block, a, int(at.block.ids[d]), a - int(at.starts[d]), n, text))
-        out += [(block, a, 0, 0, 0, None) for a, _, _ in places[1:]]
+        out.append((block, a, int(at.block.ids[d]), a - int(at.starts[d]), n, size, text))
+        again += [(a, a + size - 1) for a, _, _ in places[1:]]
+    out += [(block, a, 0, 0, 0, b + 1 - a, None) for a, b in merged(again)]
     return pd.DataFrame(out, columns=[c.split(" ")[0] for c in WINDOWS.split(", ")])
 
 
@@ -204,7 +208,7 @@ def repeated_windows(rows: DataFrame, kind: Passages) -> DataFrame:
     w = W.partitionBy(F.coalesce("snippet", F.encode(F.concat_ws("-", "block", "at"), "UTF-8")))
     seen = rows.withColumns({"place": place, "first": F.min(place).over(w), "total": F.sum("n").over(w)})
     again = (F.col("total") > 1) & (F.col("place") != F.col("first")) if kind.first_stays else F.col("total") > 1
-    return seen.where(F.col("snippet").isNull() | again).select("block", "at", F.lit(0).alias("before"), F.lit(kind.window).alias("after"))
+    return seen.where(F.col("snippet").isNull() | again).select("block", "at", F.lit(0).alias("before"), "after")
 
 
 def whole_groups(frames: Iterator[pd.DataFrame], key: str, least: int) -> Iterator[pd.DataFrame]:
