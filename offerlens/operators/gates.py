@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from offerlens.functions import text
 from offerlens.operators import conditions
@@ -61,13 +62,16 @@ def settled(cells: DataFrame, docs: DataFrame, limits: dict[str, tuple[float, fl
     held = docs.select("doc", F.col("text").alias("_text"), conditions.tier_max(F.col("text")).alias("_tiers"))
     rows = cells.join(held, "doc", "left").withColumn("_stands", F.coalesce(F.contains(spaceless(F.col("_text")), spaceless(F.col("raw"))), F.lit(False)))
     tier = from_tiers(F.col("value"), F.col("_tiers"))
-    rows = rows.withColumns({"origin": F.when(tier, "tier").otherwise("given"), "refused": F.when(~tier, refusal(limits, zero_ok, units)), "passes": F.lit(1), "_again": read_again(F.col("raw"))}).drop("_text", "_tiers")
+    rows = rows.withColumns({"origin": F.when(tier, "tier").otherwise("given"), "refused": F.when(~tier, refusal(limits, zero_ok, units)), "passes": F.lit(1)}).drop("_text", "_tiers")
+    # a phrase is read again only where that can count: a cell that passes is never retried, nor one that comes to pass
+    rows = rows.withColumn("_again", F.when(F.col("refused").isin("unit", "range") & F.col("_stands"), read_again(F.col("raw"))))
     for _ in range(passes - 1):
         other = F.col("_again.value").isNotNull() & ~(F.col("_again.value").eqNullSafe(F.col("value")) & F.col("_again.unit").eqNullSafe(F.col("unit")))
         rows = rows.withColumn("_retry", F.coalesce(F.col("refused").isin("unit", "range") & F.col("_stands") & other, F.lit(False)))
         rows = rows.withColumns({"value": F.when(F.col("_retry"), F.col("_again.value")).otherwise(F.col("value")), "unit": F.when(F.col("_retry"), F.col("_again.unit")).otherwise(F.col("unit")), "origin": F.when(F.col("_retry"), "rederived").otherwise(F.col("origin")), "passes": F.col("passes") + F.col("_retry").cast("int")})
         rows = rows.withColumn("refused", F.when(F.col("_retry"), refusal(limits, zero_ok, units)).otherwise(F.col("refused"))).drop("_retry")
-    longest = rows.where("field = 'term_months' AND refused IS NULL").groupBy("doc").agg(F.max("value").alias("_longest"))
-    rows = rows.join(longest, "doc", "left")
+    # over the cells as the join has dealt them; a null doc names no document
+    term = F.when((F.col("field") == "term_months") & F.col("refused").isNull() & F.col("doc").isNotNull(), F.col("value"))
+    rows = rows.withColumn("_longest", F.max(term).over(W.partitionBy("doc")))
     over = (F.col("field") == "instalments") & F.col("refused").isNull() & (F.col("value") > F.col("_longest"))
     return rows.withColumn("refused", F.when(F.coalesce(over, F.lit(False)), "term").otherwise(F.col("refused"))).drop("_stands", "_again", "_longest")

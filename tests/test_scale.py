@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from offerlens.operators import eligibility, extraction, questions
-from offerlens.plans import QUERIES, answers, offers, questions as asked  # noqa: F401
+from offerlens.operators import conditions, eligibility, extraction, gates, questions, retrieval, tables, topics
+from offerlens.plans import QUERIES, answers, composed, offers, questions as asked  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -61,3 +61,13 @@ def test_lines_that_texts_share_are_read_once(monkeypatch):
     found = [[(extraction.RULES[i].field, t[a:b]) for i, a, b, _ in extraction.spans_of(t, extraction.RULES, read)] for t in texts]
     assert found == [[("rate", f"%{n},5"), ("ends_on", "31.12.2026")] for n in range(1, 9)]
     assert seen.count(common) == 1 and seen.count(long) == 8 and len(seen) == 17  # lines too long to hold are read each time
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_are_settled_in_one_pass_over_them(spark):
+    cells = spark.sql("SELECT CAST(id AS STRING) AS doc, 'rate' AS field, 1.0D AS value, 'percent' AS unit, '%1' AS raw FROM range(3)")
+    docs = spark.sql("SELECT CAST(id AS STRING) AS doc, '%1' AS text FROM range(3)")
+    assert plan_of(gates.settled(cells, docs, {"rate": (0.1, 15.0)}, {"rate": "percent"})).count("Join ") == 1
