@@ -21,19 +21,28 @@ def column_owner(t: Column, start: Column, least: int = 2) -> Column:
     the headings, a run of cells that are not data, and dealt to as many columns as there are headings.
     """
     cells = F.filter(F.split(F.substring(t, F.lit(1), start.cast("int")), r"\|"), lambda c: ~c.rlike(RULE))
-    # the place's own cell is the last one, cut off where it starts
-    last = F.array_max(F.transform(cells, lambda c, i: F.when(~c.rlike(DATA), i)))
-    before = F.coalesce(F.array_max(F.transform(cells, lambda c, i: F.when(c.rlike(DATA) & (i < last), i))), F.lit(-1))
-    heads, data = F.slice(cells, before + 2, last - before), F.size(cells) - 1 - last
-    return F.when((F.size(heads) >= least) & (data > 0), F.trim(F.get(heads, F.pmod(data - 1, F.greatest(F.size(heads), F.lit(1))))))
+
+    def owner(cells: Column, isdata: Column) -> Column:
+        """From the cells and whether each is data; the place's own cell is the last one, cut off where it starts."""
+
+        def of_run(last: Column) -> Column:
+            before = F.coalesce(F.array_max(F.transform(isdata, lambda d, i: F.when(d & (i < last), i))), F.lit(-1))
+            heads, data = F.slice(cells, before + 2, last - before), F.size(cells) - 1 - last
+            return F.when(data > 0, text.bound_to(heads, lambda h: F.when(F.size(h) >= least, F.trim(F.get(h, F.pmod(data - 1, F.greatest(F.size(h), F.lit(1))))))))
+
+        return text.bound_to(F.array_max(F.transform(isdata, lambda d, i: F.when(~d, i))), of_run)
+
+    return text.bound_to(cells, lambda c: text.bound_to(F.transform(c, lambda x: x.rlike(DATA)), lambda d: owner(c, d)))
 
 
 def spaceless(t: Column, quote: Column) -> Column:
     """struct<start, expression>: where a text first has a quote, blanks aside, from 0, and how it stands there; else null."""
-    signs = F.filter(F.split(F.regexp_replace(quote, r"(?U)\s+", ""), ""), lambda s: s != "")
-    pattern = F.concat(F.lit("(?U)"), F.array_join(F.transform(signs, lambda s: F.concat(F.lit("\\Q"), s, F.lit("\\E"))), r"\s*"))
-    at = F.when(F.size(signs) > 0, F.regexp_instr(t, pattern))
-    return F.when(at > 0, F.struct((at - 1).alias("start"), F.regexp_substr(t, pattern).alias("expression")))
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    signs = lambda q: F.filter(F.split(q, ""), lambda s: s != "")
+    pattern = lambda q: F.concat(F.lit("(?U)"), F.array_join(F.transform(signs(q), lambda s: F.concat(F.lit("\\Q"), s, F.lit("\\E"))), r"\s*"))
+    # a row's own pattern is made and run only where the quote stands; the first match's spelling does not stand earlier
+    found = text.bound_to(bare(quote), lambda q: F.when((q != "") & F.contains(bare(t), q), F.regexp_substr(t, pattern(q))))
+    return text.bound_to(found, lambda x: F.when(x.isNotNull(), F.struct((F.instr(t, x) - 1).alias("start"), x.alias("expression"))))
 
 
 @F.pandas_udf(StringType())

@@ -67,6 +67,19 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_cells_of_a_table_are_parted_once(spark):
+    made = plan_of(spark.range(1).select(tables.column_owner(F.lit("a|b|1|2").substr(F.lit(1), F.col("id")), F.col("id"))))
+    assert made.count("split(") <= 2
+
+
+def test_a_quote_is_looked_for_by_one_pattern(spark):
+    made = plan_of(spark.range(1).select(tables.spaceless(F.col("id").cast("string"), F.col("id").cast("string"))))
+    assert "regexp_instr" not in made and made.count("regexp_substr") == 1
+    rows = spark.createDataFrame([("ab a  b", "a b"), ("xa \nb", " ab"), ("ab", "ac"), ("ab", " "), (None, "a"), ("a.b a b", "a b")], "t string, q string")
+    got = [tuple(r.s) if r.s else None for r in rows.select(tables.spaceless(F.col("t"), F.col("q")).alias("s")).collect()]
+    assert got == [(0, "ab"), (1, "a \nb"), None, None, None, (4, "a b")]
+
+
 def test_cells_are_settled_in_one_pass_over_them(spark):
     cells = spark.sql("SELECT CAST(id AS STRING) AS doc, 'rate' AS field, 1.0D AS value, 'percent' AS unit, '%1' AS raw FROM range(3)")
     docs = spark.sql("SELECT CAST(id AS STRING) AS doc, '%1' AS text FROM range(3)")
