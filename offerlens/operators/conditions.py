@@ -113,7 +113,7 @@ def tier_max(c: Column) -> Column:
     def read(table: Column) -> Column:
         body = F.slice(table, F.lit(2), F.size(table) - 1)
         values = lambda at: F.transform(body, lambda r: F.struct(text.money(F.get(r, at["base"])).alias("amount"), text.rate(F.get(r, at["ratio"])).alias("ratio")))
-        at = heads(F.transform(table[0], text.search_key))
+        at = bound_to(F.transform(table[0], text.search_key), heads)
         return bound_to(at, lambda x: F.when((x["base"] >= 0) & (x["ratio"] >= 0), bound_to(values(x), most)))
 
     return bound_to(rows, lambda table: F.when(F.size(table) >= 3, read(table)))

@@ -84,3 +84,7 @@ def test_cells_are_settled_in_one_pass_over_them(spark):
     cells = spark.sql("SELECT CAST(id AS STRING) AS doc, 'rate' AS field, 1.0D AS value, 'percent' AS unit, '%1' AS raw FROM range(3)")
     docs = spark.sql("SELECT CAST(id AS STRING) AS doc, '%1' AS text FROM range(3)")
     assert plan_of(gates.settled(cells, docs, {"rate": (0.1, 15.0)}, {"rate": "percent"})).count("Join ") == 1
+
+
+def test_headings_of_tiers_are_read_once(spark):
+    assert plan_of(spark.range(1).select(conditions.tier_max(F.col("id").cast("string")))).count("âîûışğüöç'") <= 4  # with those of the amounts and ratios
