@@ -68,7 +68,8 @@ def fee_free(spark, sf_dir):
         1: "Konut finansmanında dosya masrafı yoktur", 2: "İhtiyaç finansmanı tahsis ücreti alınır", 3: "Masrafsız taşıt finansmanı", 4: "FAST ile para transferi ücretsiz",
         5: F.concat(F.lit("Konut finansmanı dosya masrafı "), lira(F.col("p")), F.lit(" TL")), 6: "Ekspertiz ücreti banka tarafından karşılanır",
     }, "Kampanya tüm şubelerde geçerlidir")
-    return lines(spark, sf_dir).select("id", text.fee_free(said).alias("fee_free"), text.denied(said).alias("denied"))
+    rows = lines(spark, sf_dir).select("id", said.alias("said"))  # made once
+    return rows.select("id", text.fee_free(F.col("said")).alias("fee_free"), text.denied(F.col("said")).alias("denied"))
 
 
 # a passage longer than a rule's window, without a keyword
@@ -109,10 +110,11 @@ def statements(spark, sf_dir):
         1: F.concat(F.lit("Fırsat! Vade farksız "), F.col("q"), F.lit(" taksit imkanı.")), 6: F.concat(F.col("q"), F.lit(" ay boyunca kâr payı alınmaz. Başvurun.")), 2: F.concat(F.lit("Vade farksız değil, aylık %"), F.col("q"), F.lit(" oran.")), 3: "Faizsiz bankacılık ilkeleriyle aylık oran belirtilmemiştir.",
         4: "Konut finansmanında dosya masrafı yoktur. Tahsis ücreti alınır.", 5: "Herkese açık kampanya. Masrafsız konut finansmanı! Hemen başvurun.",
     }, F.concat(F.lit("Aylık %"), F.col("d"), F.lit(" oran.")))
+    rows, said = lines(spark, sf_dir).select("id", said.alias("said")), F.col("said")  # made once
     free = conditions.free_statement(said)
     evidence = F.when(free, conditions.first_sentence(said, F.lit(True)))
     rate = conditions.zero_rate(said)
-    return lines(spark, sf_dir).select("id", rate.alias("rate"), F.when(rate == 0, conditions.zero_sentence(said)).alias("rate_said"), free.alias("fee_free"), evidence.alias("evidence"))
+    return rows.select("id", rate.alias("rate"), F.when(rate == 0, conditions.zero_sentence(said)).alias("rate_said"), free.alias("fee_free"), evidence.alias("evidence"))
 
 
 @query(LINES_SQL + """SELECT id, CASE n WHEN 7 THEN NULL WHEN 2 THEN q * 1000.0::DOUBLE WHEN 3 THEN q * 1000000.0::DOUBLE WHEN 4 THEN q * 1000.0::DOUBLE ELSE p::DOUBLE END AS low,
@@ -132,7 +134,8 @@ def range_ends(spark, sf_dir):
         5: F.concat(F.least(F.dayofmonth(day), F.lit(28)), F.lit(" "), name(day), F.lit(" – "), spelled(until)),
     }, F.concat(dotted(day), F.lit(" - "), dotted(until)))
     said = F.concat(F.lit("Tutar "), many, F.lit("; geçerlilik "), days, F.lit("."))
-    got = lines(spark, sf_dir).select("id", conditions.amount_range(said).alias("amount"), conditions.date_range(said).alias("days"))
+    rows, said = lines(spark, sf_dir).select("id", said.alias("said")), F.col("said")  # made once
+    got = rows.select("id", conditions.amount_range(said).alias("amount"), conditions.date_range(said).alias("days"))
     return got.select("id", "amount.low", "amount.high", F.col("days.start").alias("start_day"), F.col("days.end").alias("end_day"))
 
 

@@ -86,5 +86,10 @@ def test_cells_are_settled_in_one_pass_over_them(spark):
     assert plan_of(gates.settled(cells, docs, {"rate": (0.1, 15.0)}, {"rate": "percent"})).count("Join ") == 1
 
 
+@pytest.mark.parametrize("name, part", [("fee_free", "tahsis ücreti alınır"), ("statements", "Herkese açık"), ("range_ends", "; geçerlilik ")])
+def test_sentences_are_made_once(spark, name, part):
+    assert plan_of(QUERIES[name](spark, SMALL)).count(part) == 1
+
+
 def test_headings_of_tiers_are_read_once(spark):
     assert plan_of(spark.range(1).select(conditions.tier_max(F.col("id").cast("string")))).count("âîûışğüöç'") <= 4  # with those of the amounts and ratios
