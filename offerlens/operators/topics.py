@@ -73,8 +73,9 @@ def topics(records: DataFrame, resolved: DataFrame, k: int = 3, ceiling: float =
     """
     named = records.select(F.col("group"), words_of(F.col("name")).alias("words"))
     total = named.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * ceiling)).alias("most"))
-    telling = F.filter("words", lambda w: ~inflected(w) & ~qualifier(w))
-    counted = named.select("group", F.explode(telling).alias("word")).groupBy("group", "word").agg(F.count(F.lit(1)).alias("n"))
+    # a word's form is looked at once a group, not at each of its places
+    counted = named.select("group", F.explode("words").alias("word")).groupBy("group", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.where(~inflected(F.col("word")) & ~qualifier(F.col("word")))
     prefixes, stems = related_counts(named)
     spread = prefixes.select(F.col("prefix").alias("stem"), F.col("n").alias("df")).unionByName(stems.select("stem", F.col("n").alias("df")))
     rare = spread.crossJoin(F.broadcast(total)).where("df <= most").drop("most")  # one row

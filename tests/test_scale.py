@@ -93,3 +93,9 @@ def test_sentences_are_made_once(spark, name, part):
 
 def test_headings_of_tiers_are_read_once(spark):
     assert plan_of(spark.range(1).select(conditions.tier_max(F.col("id").cast("string")))).count("âîûışğüöç'") <= 4  # with those of the amounts and ratios
+
+
+def test_forms_of_words_are_looked_at_once_a_group(spark):
+    rows = spark.sql("SELECT 'a' AS group, CAST(id AS STRING) AS name FROM range(3)")
+    made = plan_of(topics.topics(rows, spark.sql("SELECT 'x' AS word")))
+    assert "lambda" not in made[made.index("yor|digi") - 200 : made.index("yor|digi")]
