@@ -99,3 +99,11 @@ def test_forms_of_words_are_looked_at_once_a_group(spark):
     rows = spark.sql("SELECT 'a' AS group, CAST(id AS STRING) AS name FROM range(3)")
     made = plan_of(topics.topics(rows, spark.sql("SELECT 'x' AS word")))
     assert "lambda" not in made[made.index("yor|digi") - 200 : made.index("yor|digi")]
+
+
+def test_condition_answers_ask_for_customers_alone(spark, monkeypatch):
+    seen, own = [], retrieval.nearest_records
+    monkeypatch.setattr(retrieval, "nearest_records", lambda v, q, *a: seen.append((q.count(), *a)) or own(v, q, *a))
+    QUERIES["condition_answers"](spark, SMALL)
+    customers, vectors = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("customer", "embeddings"))
+    assert seen == [(customers.where("c_custkey % 100 = 0").join(vectors, F.col("c_custkey") == F.col("vec_id")).count(), 3)]
