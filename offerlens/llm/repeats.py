@@ -280,26 +280,31 @@ def anywhere(rows: pd.DataFrame, kind: Passages) -> pd.DataFrame:
     of a snippet hold it.
     """
     out: list[tuple[int, int, int, int]] = []
-    for _, g in rows.groupby("h", sort=False):
+    h = rows["h"].to_numpy()
+    edges = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+    own = [rows[c].tolist() for c in ("snippet", "before", "n", "block", "at")]  # most groups have two rows: no frame for each
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        snippets, befores, ns, group_blocks, ats = (c[lo:hi] for c in own)
         times: dict[tuple[bytes, int], int] = {}
-        for text, before, n in zip(g["snippet"], g["before"], g["n"], strict=True):
+        for text, before, n in zip(snippets, befores, ns, strict=True):
             times[text, before] = times.get((text, before), 0) + n
-        texts = {}
-        for text, before in times:
-            words = BLANK.split(text)
-            texts[text, before] = [*words[:before], None, *words[before:]]
         found: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
-        if len(texts) == 1:  # one snippet, more than once: all of it
-            (t, words), *_ = texts.items()
-            found[t] = [(0, len(words) - 1)] if len(words) > kind.window and times[t] > 1 else []
+        if len(times) == 1:  # one snippet, more than once: all of it
+            ((text, before), n), *_ = times.items()
+            size = text.count(b" ") + 1
+            found[text, before] = [(0, size)] if size >= kind.window and n > 1 else []
         else:
+            texts = {}
+            for text, before in times:
+                words = text.split(b" ")
+                texts[text, before] = [*words[:before], None, *words[before:]]
             a = Automaton()
             for t, words in texts.items():
                 a.add(words, times[t])
             a.close()
             for t, words in texts.items():
                 found[t] = merged([(i + 1 - m, i) for i, m in enumerate(a.repeated(words)) if m > kind.window and i + 1 - m <= t[1] <= i])
-        for text, block, at, before in zip(g["snippet"], g["block"], g["at"], g["before"], strict=True):
+        for text, block, at, before in zip(snippets, group_blocks, ats, befores, strict=True):
             out += [(block, at, before - a, b - before) for a, b in found[text, before]]
     return pd.DataFrame(out, columns=["block", "at", "before", "after"])
 
@@ -365,10 +370,10 @@ def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def cut(block: int, b: blocks.Block, found: pd.DataFrame) -> pd.DataFrame:
         at = Layout(b, kind)
-        gone, rows, raw = covered(at, found), [], b.bytes.tobytes()
-        starts, ends = at.word_at.tolist(), at.word_end.tolist()
+        gone, rows = covered(at, found), []
         for doc, x, y in zip(b.doc_ids(), at.starts.tolist(), at.ends.tolist(), strict=True):
-            kept = b" ".join([raw[starts[i] : ends[i]] for i in (np.flatnonzero(~gone[x:y]) + x).tolist()])
+            edges = (np.flatnonzero(np.diff(gone[x:y].astype(np.int8), prepend=1, append=1)) + x).tolist()
+            kept = b" ".join([at.raw(i, j) for i, j in zip(edges[::2], edges[1::2], strict=True)])  # runs of words that stay
             rows.append((doc, y - x, int(gone[x:y].sum()), hashlib.sha256(kept).hexdigest()) + ((kept.decode(),) if with_text else ()))
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
 

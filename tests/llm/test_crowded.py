@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,3 +26,14 @@ def test_known_windows_travel_as_runs(spark):
     whole = lambda k: sorted(map(tuple, repeats.without_repeated_bytes(docs, kind=k).collect()))
     assert blocks_ and whole(kind) == whole(repeats.BYTES)
     assert sum(r[2] for r in whole(kind)) == pytest.approx(160 * (n - 1), abs=8 * n)
+
+
+def test_groups_of_snippets_are_read_without_a_frame_each(monkeypatch):
+    word = [f"w{i}" for i in range(80)]
+    text = lambda a, b: " ".join(word[a:b]).encode()
+    rows = [(1, 0, 30, 1, 18, text(12, 60)), (1, 1, 30, 1, 13, text(17, 62)), (2, 0, 50, 2, 10, text(0, 40)), (3, 0, 70, 1, 10, text(20, 60)), (4, 1, 90, 2, 10, text(0, 34))]
+    frame = pd.DataFrame([(h, b, at, b, at, n, before, t) for h, b, at, n, before, t in rows], columns=["h", "block", "at", "doc", "pos", "n", "before", "snippet"])
+    monkeypatch.setattr(pd.DataFrame, "groupby", None)
+    found = pd.concat(list(repeats.search(iter([frame]), repeats.WORDS)))
+    # 43 words that two snippets share, all of one that stands twice, nothing of one that stands once or is too short
+    assert sorted(map(tuple, found.to_numpy().tolist())) == [(0, 30, 13, 30), (0, 50, 10, 30), (1, 30, 13, 30)]
