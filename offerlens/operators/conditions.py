@@ -137,19 +137,24 @@ def derived(rows: DataFrame, text_col: str = "text", amount_col: str = "amount_m
     The caps come from the offer's own fields.  The least amount and term stand after a cue such as "en az", the amount
     in a context of financing.  A product counts in a sentence that obliges and does not deny, a segment in one that
     neither denies nor excludes.  Where a least value is above its cap, it is dropped.  Null texts state nothing.
+    A text that several offers have is read once; rows and what was read meet by the text's digest.
     """
-    keys = F.coalesce(F.transform(sentences(F.col(text_col)), text.search_key), F.array().cast("array<string>"))
-    whole = text.search_key(F.coalesce(F.col(text_col), F.lit("")))
+    own = F.coalesce(F.col(text_col), F.lit(""))
+    digest = lambda c: F.unhex(F.sha2(c, 256)).alias("_digest")
+    keys = F.transform(sentences(F.col("_text")), text.search_key)
+    whole = text.search_key(F.col("_text"))
     denied = rf"{text.DENIES}|\bdegil"
     obliging = lambda k: F.filter(k, lambda s: s.rlike(OBLIGED) & ~s.rlike(denied))
     including = lambda k: F.filter(k, lambda s: ~s.rlike(denied) & ~s.rlike(text.EXCLUDES))
     said = bound_to(keys, lambda k: F.struct(bound_to(obliging(k), lambda o: named(o, PRODUCTS)).alias("products"), bound_to(including(k), lambda i: named(i, SEGMENTS)).alias("segments")))
     low = lambda value, cap: F.when(F.col(cap).isNull() | (value <= F.col(cap)), value)
-    term = F.nullif(F.regexp_extract(whole, rf"{AT_LEAST}(\d{{1,3}})\s*ay\b", 1), F.lit("")).cast("int")
-    return rows.withColumns({
-        "amount_min": bound_to(least_amount(whole), lambda v: low(v, amount_col)), "term_min": bound_to(term, lambda v: low(v, term_col)), "term_max": F.col(term_col),
-        "_said": said,
-    }).withColumns({"products": F.col("_said.products"), "segments": F.col("_said.segments")}).drop("_said")
+    term = F.regexp_extract(whole, rf"{AT_LEAST}(\d{{1,3}})\s*ay\b", 1).try_cast("int")
+    read = rows.select(own.alias("_text")).distinct().select(digest(F.col("_text")), least_amount(whole).alias("_amount"), term.alias("_term"), said.alias("_said"))
+    met = rows.withColumn("_digest", digest(own)).join(read, "_digest")
+    return met.withColumns({
+        "amount_min": low(F.col("_amount"), amount_col), "term_min": low(F.col("_term"), term_col), "term_max": F.col(term_col),
+        "products": F.col("_said.products"), "segments": F.col("_said.segments"),
+    }).drop("_digest", "_amount", "_term", "_said")
 
 
 def gated(cells: DataFrame, limits: dict[str, tuple[float, float]], units: dict[str, str]) -> DataFrame:

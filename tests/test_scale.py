@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from offerlens.operators import conditions, eligibility, extraction, gates, questions, retrieval, tables, topics
+from offerlens.functions import text
+from offerlens.operators import conditions, eligibility, extraction, gates, questions, retrieval, tables, terms, topics
 from offerlens.plans import QUERIES, answers, composed, offers, questions as asked  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
@@ -107,3 +108,12 @@ def test_condition_answers_ask_for_customers_alone(spark, monkeypatch):
     QUERIES["condition_answers"](spark, SMALL)
     customers, vectors = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("customer", "embeddings"))
     assert seen == [(customers.where("c_custkey % 100 = 0").join(vectors, F.col("c_custkey") == F.col("vec_id")).count(), 3)]
+
+
+def test_conditions_of_a_text_are_read_once(spark):
+    rows = spark.sql("SELECT id, IF(id % 3 = 0, NULL, concat('Finansman en az ', 1000 * (id % 3), ' TL kullandırılır.')) AS text, IF(id = 4, 500.0D, 9000.0D) AS amount_max, 12 AS term_months FROM range(6)")
+    got = conditions.derived(rows)
+    assert {r.id: (r.amount_min, r.amount_max, r.products) for r in got.collect()} == {i: ([None, 1000.0, 2000.0][i % 3] if i != 4 else None, 500.0 if i == 4 else 9000.0, []) for i in range(6)}
+    made = plan_of(got)
+    below = made.index("+- ", made.index("Aggregate [_text"))
+    assert "asgari" in made[:below] and "asgari" not in made[below:]
