@@ -20,7 +20,7 @@ PARTING = r" (?:ile|ve|veya) "
 
 
 def plain_key(c: Column) -> Column:
-    return F.trim(F.regexp_replace(text.search_key(c), r"[^0-9\p{L}]+", " "))
+    return F.trim(F.regexp_replace(text.folded(c), r"[^0-9\p{L}]+", " "))  # blanks are among what is replaced
 
 
 def counterparts(glossary: DataFrame, column: str = "counterpart") -> DataFrame:
@@ -73,8 +73,10 @@ def longest(terms: DataFrame, texts: DataFrame) -> DataFrame:
     kinds = {r[0] for r in held.select(F.left("k", F.lit(1))).distinct().collect()}  # three at most
     if not kinds:
         return texts.select("text_id", F.lit("").alias("key")).limit(0)
-    own = texts.select("text_id", plain_key(F.col("text")).alias("own")).where("own <> ''")
-    met = own.select("text_id", F.explode(keys_of(F.split("own", " "), kinds)).alias("k")).join(held, "k").select("text_id", "key")
+    # keys are made once: both uses of them read the same shuffle
+    own = texts.select("text_id", plain_key(F.col("text")).alias("own")).repartition("text_id")
+    asked = own.select("text_id", F.explode(text.bound_to(F.split("own", " "), lambda w: keys_of(w, kinds))).alias("k"))
+    met = asked.join(held, "k").select("text_id", "key")
     found = met.join(own, "text_id").where(stands_in(F.col("own"), F.col("key")))
     return found.groupBy("text_id").agg(F.min_by("key", F.struct(-F.length("key"), F.col("key"))).alias("key"))
 

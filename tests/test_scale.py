@@ -110,6 +110,22 @@ def test_condition_answers_ask_for_customers_alone(spark, monkeypatch):
     assert seen == [(customers.where("c_custkey % 100 = 0").join(vectors, F.col("c_custkey") == F.col("vec_id")).count(), 3)]
 
 
+def test_keys_of_texts_are_made_once(spark):
+    own = spark.createDataFrame([(1, "Kâr Payı oranı"), (2, "vade"), (3, ""), (4, None)], "text_id int, text string")
+    found = terms.longest(spark.createDataFrame([("kar payi",), ("vade",), ("",)], "key string"), own)
+    assert sorted(map(tuple, found.collect())) == [(1, "kar payi"), (2, "vade")]
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_fold_letters_as_before(spark):
+    said = ["IİıiI", "i̇İ İ̇", "ÂÎÛâîû ŞĞÜÖÇ şğüöç", "Σ ΣΑΣ ΑΣI ΣI", " a b\t'’ʼ´` c ", "1.000 TL - %3,5!", "ŞİRKET'in", "̇", "", None]
+    rows = spark.createDataFrame([(s,) for s in said], "s string")
+    key = F.trim(F.regexp_replace(F.translate(text.lower_tr(F.col("s")), "âîûışğüöç" + text.APOSTROPHES, "aiuisguoc"), r"(?U)\s+", " "))
+    plain = F.trim(F.regexp_replace(key, r"[^0-9\p{L}]+", " "))
+    for got in rows.select(key, plain, text.search_key(F.col("s")), terms.plain_key(F.col("s"))).collect():
+        assert got[:2] == got[2:]
+
+
 def test_conditions_of_a_text_are_read_once(spark):
     rows = spark.sql("SELECT id, IF(id % 3 = 0, NULL, concat('Finansman en az ', 1000 * (id % 3), ' TL kullandırılır.')) AS text, IF(id = 4, 500.0D, 9000.0D) AS amount_max, 12 AS term_months FROM range(6)")
     got = conditions.derived(rows)
