@@ -93,10 +93,10 @@ def contract_counters(cells: DataFrame, texts: DataFrame) -> DataFrame:
     with a quote that does not stand at its start, without a unit, and how many places give values to several fields."""
     joined = cells.join(texts, "doc", "left")
     there = F.coalesce(F.substring("text", F.col("start") + 1, F.length("quote")) == F.col("quote"), F.lit(False))
-    # a document's places are few: they combine by place before the counters do
+    # least and largest field, not a count of distinct ones, which would hold four tables of places in a task at once
     places = joined.groupBy("doc", "start").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("quote").isNull()).alias("no_quote"), F.count_if(F.col("quote").isNotNull() & ~there).alias("misplaced"),
-        F.count_if(F.col("unit").isNull()).alias("no_unit"), (F.countDistinct("field") > 1).cast("long").alias("shared"),
+        F.count_if(F.col("unit").isNull()).alias("no_unit"), F.coalesce(F.min("field") < F.max("field"), F.lit(False)).cast("long").alias("shared"),
     )
     total = lambda c, to: F.coalesce(F.sum(c), F.lit(0)).alias(to)
     return places.agg(total("n", "cells"), total("no_quote", "without_quote"), total("misplaced", "misplaced"), total("no_unit", "without_unit"), total("shared", "shared_places"))

@@ -133,3 +133,11 @@ def test_conditions_of_a_text_are_read_once(spark):
     made = plan_of(got)
     below = made.index("+- ", made.index("Aggregate [_text"))
     assert "asgari" in made[:below] and "asgari" not in made[below:]
+
+
+def test_shared_places_hold_one_table_of_places(spark):
+    rows = [("a", "rate", 5), ("a", "term", 5), ("a", "rate", 9), ("a", "rate", 9), ("b", None, 1), ("b", "rate", 1), ("b", None, 2), ("c", "rate", 5), ("c", "term", None), ("c", "fee", None)]
+    cells = spark.createDataFrame([(d, f, 1.0, "lira", at, "x") for d, f, at in rows], "doc string, field string, value double, unit string, start int, quote string")
+    got = tables.contract_counters(cells, spark.createDataFrame([("a", "01234x")], "doc string, text string"))
+    assert tuple(got.first()) == (10, 0, 8, 0, 2)
+    assert "distinct" not in plan_of(got)
