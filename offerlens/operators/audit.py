@@ -53,19 +53,21 @@ def blank_but_found(gold: DataFrame, cells: DataFrame, least: float) -> DataFram
     return cells.where((F.col("value").isNotNull()) & (F.col("confidence") >= least)).join(empty, ["id", "field"], "left_semi").select("id", "field", "value")
 
 
-def sheet_split(records: DataFrame, shared: int, people: int) -> DataFrame:
-    """(id, block): the first `shared` records by order go to all, block -1; the rest are dealt to the people in turn.
-
-    Places are counted by range partitions, so no task orders all records.
-    """
+def placed(records: DataFrame) -> DataFrame:
+    """(id, place): where each record stands by order of id, from 0; counted by range partitions, so no task orders all records."""
     spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = records.select("id").repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
     own = dealt.withColumn("_n", F.row_number().over(W.partitionBy("part").orderBy("id")))
     size = own.groupBy("part").agg(F.max("_n").alias("size"))  # a row a partition
     before = size.withColumn("before", F.coalesce(F.sum("size").over(W.partitionBy(F.lit(1)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    place = own.join(F.broadcast(before.select("part", "before")), "part").withColumn("_at", F.col("before") + F.col("_n") - 1)
-    return place.select("id", F.when(F.col("_at") < shared, -1).otherwise(F.pmod(F.col("_at") - shared, F.lit(people))).cast("int").alias("block"))
+    return own.join(F.broadcast(before.select("part", "before")), "part").select("id", (F.col("before") + F.col("_n") - 1).alias("place"))
+
+
+def sheet_split(records: DataFrame, shared: int, people: int) -> DataFrame:
+    """(id, block): the first `shared` records by order go to all, block -1; the rest are dealt to the people in turn."""
+    at = F.col("place")
+    return placed(records).select("id", F.when(at < shared, -1).otherwise(F.pmod(at - shared, F.lit(people))).cast("int").alias("block"))
 
 
 def corpus_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -141,3 +141,10 @@ def test_shared_places_hold_one_table_of_places(spark):
     got = tables.contract_counters(cells, spark.createDataFrame([("a", "01234x")], "doc string, text string"))
     assert tuple(got.first()) == (10, 0, 8, 0, 2)
     assert "distinct" not in plan_of(got)
+
+
+def test_draws_are_made_in_many_tasks(spark):
+    from offerlens.plans import records  # noqa: F401
+
+    made = plan_of(QUERIES["bootstrap_ci"](spark, SMALL))
+    assert "windowspecdefinition(1," not in made and "RepartitionByExpression [place" in made
