@@ -148,3 +148,12 @@ def test_draws_are_made_in_many_tasks(spark):
 
     made = plan_of(QUERIES["bootstrap_ci"](spark, SMALL))
     assert "windowspecdefinition(1," not in made and "RepartitionByExpression [place" in made
+
+
+def test_draws_are_not_broadcast(spark):
+    from offerlens.plans import records  # noqa: F401
+
+    got = QUERIES["bootstrap_ci"](spark, SMALL)
+    got.collect()
+    made = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [cast(place" in made
