@@ -53,6 +53,32 @@ def test_contenders_hold_the_best_of_every_profile(spark):
     assert few.count() * 2 < o.count()
 
 
+def test_pairs_of_an_offer_are_made_at_once_in_bounded_tasks(spark, monkeypatch):
+    own = lambda: QUERIES["eligibility_reasons"](spark, SMALL.replace("0.001", "0.01"))
+    monkeypatch.setattr(offers, "TASK_PAIRS", 5_000, raising=False)
+    got = own().withColumn("task", F.spark_partition_id()).collect()
+    tasks = [[r.offer_id for r in got if r.task == t] for t in sorted({r.task for r in got})]
+    assert max(map(len, tasks)) < 2 * 5_000 and len(tasks) * 5_000 > len(got)
+    for ids in tasks:
+        assert sum(a != b for a, b in zip(ids, ids[1:])) + 1 == len(set(ids))  # an offer's pairs stand together
+    monkeypatch.setattr(offers, "KNOWN", 0)  # too many profiles to send to every task
+    assert sorted(tuple(r)[:4] + (r.cost or 0,) for r in own().collect()) == sorted(tuple(r)[:4] + (r.cost or 0,) for r in got)
+
+
+def test_few_profiles_go_to_every_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        plan = QUERIES["eligibility_reasons"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(country" not in plan and "rangepartitioning(country" in plan
+
+
+def test_checks_that_fail_are_looked_up(spark):
+    rows = spark.range(16).selectExpr("CAST(id AS INT) AS bits").select(eligibility.failing("bits").alias("a"), eligibility.failing("bits", ",").alias("t")).collect()
+    assert [r.t for r in rows] == [",".join(r.a) for r in rows] and rows[0].a == [] and rows[11].a == ["customer_type", "amount_min", "term"]
+
+
 def test_lines_that_texts_share_are_read_once(monkeypatch):
     seen, own = [], extraction.position_key
     monkeypatch.setattr(extraction, "position_key", lambda s: seen.append(s) or own(s))
