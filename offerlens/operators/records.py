@@ -36,7 +36,11 @@ def owners(candidates: DataFrame, apart: Column | None = None) -> DataFrame:
     return candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def chosen(candidates: DataFrame, band: float = 0.15) -> DataFrame:
+#: How much less confident than the best a candidate may be that is chosen for its value.
+BAND = 0.15
+
+
+def chosen(candidates: DataFrame, band: float = BAND) -> DataFrame:
     """One candidate for each doc and field by its mode: first, nearest (most confident), highest or lowest.
 
     highest and lowest choose among those within `band` of the greatest confidence; equal values fall to the more
