@@ -12,17 +12,17 @@ from offerlens.operators import extraction
 NUMBER, DAY, FLAG = "number", "day", "flag"
 
 
-def agrees(kind: Column, expected: Column, found: Column, tolerance: float = 0.01) -> Column:
+def agrees(kind: Column, expected: Column, found: Column, tolerance: float = 0.01, value: Column | None = None) -> Column:
     """Whether two spellings of a value are the same one: never null; two nulls agree, a null and a value do not.
 
     Numbers agree up to the tolerance, of the larger one; days by the calendar, in any spelling that a date may have (or
     as 2026-01-31); flags if both are true or both are false; the rest, and what is not of its kind, without regard to
-    case and blanks around.
+    case and blanks around.  value: the number that found spells, if it is at hand.
     """
     plain = lambda c: F.trim(text.lower_tr(c))
     day = lambda c: F.coalesce(F.to_date(F.regexp_extract(c, r"^\s*(\d{4}-\d\d-\d\d)", 1).try_cast("date")), text.date(c))
     number, flag = (lambda c: c.try_cast("double")), (lambda c: c.try_cast("boolean"))
-    typed = F.when(kind == NUMBER, text.near(number(expected), number(found), tolerance)).when(kind == DAY, day(expected) == day(found)).when(kind == FLAG, flag(expected) == flag(found))
+    typed = F.when(kind == NUMBER, text.near(number(expected), number(found) if value is None else value, tolerance)).when(kind == DAY, day(expected) == day(found)).when(kind == FLAG, flag(expected) == flag(found))
     both = F.coalesce(typed, plain(expected) == plain(found))
     return F.when(expected.isNull() | found.isNull(), expected.isNull() & found.isNull()).otherwise(both)
 
@@ -40,8 +40,12 @@ def scored(gold: DataFrame, predicted: DataFrame, held: DataFrame, tolerance: fl
     found = predicted.where("found IS NOT NULL").groupBy("doc", "field").agg(F.min("found").alias("found"))
     known = held.select("doc").distinct().withColumn("_held", F.lit(True))
     cells = gold.select("doc", "field", "kind", "expected").join(found, ["doc", "field"], "left").join(known, "doc", "left")
+    return counted(cells.withColumn("same", agrees(F.col("kind"), F.col("expected"), F.col("found"), tolerance)))
+
+
+def counted(cells: DataFrame) -> DataFrame:
+    """What `scored` gives, of cells: field, expected, found, same and _held (null: its record is not held)."""
     own, same = F.col("_held").isNotNull(), F.col("same")
-    cells = cells.withColumn("same", agrees(F.col("kind"), F.col("expected"), F.col("found"), tolerance))
     n = cells.groupBy("field").agg(
         F.count_if(own & same & F.col("expected").isNotNull()).alias("tp"), F.count_if(own & ~same & F.col("found").isNotNull()).alias("fp"), F.count_if(own & ~same & F.col("expected").isNotNull()).alias("fn"),
         F.count_if(own & same).alias("right"), F.count_if(~own).alias("skipped"),
@@ -51,12 +55,25 @@ def scored(gold: DataFrame, predicted: DataFrame, held: DataFrame, tolerance: fl
     return n.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
-def rules_scored(gold: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`scored` of what the rules alone find in the texts; texts that are null are not held."""
-    cells = extraction.extracted(docs, id_col=id_col, text_col=text_col)
-    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("value").cast("int")).cast("string")
-    found = cells.select("doc", "field", F.when(F.col("unit") == "day", day).otherwise(F.col("value").cast("string")).alias("found"))
-    return scored(gold, found, docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc")))
+def rules_scored(gold: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01) -> DataFrame:
+    """`scored` of what the rules alone find in the texts; texts that are null are not held, of texts of one id the least value counts.
+
+    gold may also have doc and labels, an array of (field, kind, expected): a row for each record rather than for each
+    cell.  Records and labels meet by document, with a column for each field, so that no cell is shuffled on its own.
+    """
+    rules = extraction.RULES
+    values = extraction.values_of(docs, rules, id_col, text_col)
+    found = values.groupBy("doc").agg(*[F.min(f"v{i}").alias(f"v{i}") for i in range(len(rules))]).withColumn("_held", F.lit(True))
+    labels = F.col("labels") if "labels" in gold.columns else F.array(F.struct("field", "kind", "expected"))
+    cells = gold.select("doc", labels.alias("labels")).join(found, "doc", "left").select("_held", *[f"v{i}" for i in range(len(rules))], F.inline("labels"))
+    value, day = F.lit(None).cast("double"), F.lit(False)
+    for i, r in enumerate(rules):
+        value, day = F.when(F.col("field") == r.field, F.col(f"v{i}")).otherwise(value), day | (F.col("field") == r.field) if r.kind == "date" else day
+    spelled = F.when(day, F.date_add(F.lit("1970-01-01").cast("date"), F.col("value").cast("int")).cast("string")).otherwise(F.col("value").cast("string"))
+    number = F.when(~day, F.col("value"))
+    cells = cells.select("_held", "field", "kind", "expected", value.alias("value"))
+    same = agrees(F.col("kind"), F.col("expected"), spelled, tolerance, number)
+    return counted(cells.select("_held", "field", "expected", F.col("value").alias("found"), same.alias("same")))
 
 
 def macro(scores: DataFrame) -> DataFrame:

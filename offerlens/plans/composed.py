@@ -83,8 +83,13 @@ FIELDS_SQL = LINES_SQL + """, stated AS (SELECT concat_ws('-', id, q, p, d, t) A
 """
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line, dealt out, as a table of one file would be worked through by one task."""
+    return lines(spark, sf_dir).repartition(max(32, spark.sparkContext.defaultParallelism))
+
+
 def campaign_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text): a campaign text with the nine fields of every line, dealt out, as a table of one file would be searched by one task."""
+    """(id, text): a campaign text with the nine fields of every line."""
     percent = F.concat(F.col("d").cast("string"), F.lit(","), F.lpad(F.col("t").cast("string"), 2, "0"))
     q, n = F.col("q"), F.col("n")
     body = F.concat(
@@ -92,8 +97,7 @@ def campaign_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" tarihine kadar geçerli." + APART + "Dosya masrafı "), q * 10, F.when(n == 3, " TL alınmaz.").otherwise(" TL alınır."), F.lit(APART + "Size "), q * 100, F.lit(" TL hediye çeki." + APART + "Ürünlerde %"), F.col("d") + 1,
         F.lit(" indirim." + APART + "Toplam "), q * 20, F.lit(" TL puan." + APART + "Peşin fiyatına "), n + 2, F.lit(" taksit."),
     )
-    own = lines(spark, sf_dir).repartition(max(32, spark.sparkContext.defaultParallelism))
-    return own.select(F.concat_ws("-", "id", "q", "p", "d", "t").alias("id"), body.alias("text"))
+    return dealt(spark, sf_dir).select(F.concat_ws("-", "id", "q", "p", "d", "t").alias("id"), body.alias("text"))
 
 
 @query(FIELDS_SQL + "SELECT id AS doc, field, value, CASE WHEN field IN ('rate', 'discount') THEN 'percent' WHEN field IN ('term_months', 'instalments') THEN 'month' WHEN field = 'ends_on' THEN 'day' ELSE 'lira' END AS unit FROM found")

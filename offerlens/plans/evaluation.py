@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.operators import evaluation, extraction
 from offerlens.plans import query, table
-from offerlens.plans.composed import FIELDS_SQL, campaign_texts, lines
+from offerlens.plans.composed import FIELDS_SQL, campaign_texts, dealt
 
 FIELDS = [r.field for r in extraction.RULES]
 
@@ -26,7 +26,7 @@ GOLD_SQL = FIELDS_SQL + f""",
 
 
 def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, field, kind and expected: labels of the nine fields of every line, and of orders, which have no text."""
+    """doc and labels (field, kind and expected) of the nine fields of every line, and of orders, which have no text."""
     q, n, p, number = F.col("q"), F.col("n"), F.col("p"), lambda c: c.cast("double")
     stated = {
         "rate": (F.col("d") * 100 + F.col("t")) / 100, "amount_max": p, "instalments": n + 2, "fee": F.when(n != 3, q * 10), "reward": q * 100, "discount": F.col("d") + 1, "points": q * 20,
@@ -41,8 +41,8 @@ def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
             v = number(stated[f])
             value = F.when(k == 2, v * 1.005).when(k == 3, v * 1.2).otherwise(v).cast("string")
         cells.append(F.when(k != 0, F.struct(F.lit(f).alias("field"), F.lit("day" if f == "ends_on" else "number").alias("kind"), F.when(k != 1, value).alias("expected"))))
-    own = lines(spark, sf_dir).select(F.concat_ws("-", "id", "q", "p", "d", "t").alias("doc"), F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
-    others = table(spark, sf_dir, "orders").select(F.concat(F.lit("order-"), "o_orderkey").alias("doc"), F.lit("rate").alias("field"), F.lit("number").alias("kind"), F.lit("1").alias("expected"))
+    own = dealt(spark, sf_dir).select(F.concat_ws("-", "id", "q", "p", "d", "t").alias("doc"), F.array_compact(F.array(*cells)).alias("labels"))
+    others = table(spark, sf_dir, "orders").select(F.concat(F.lit("order-"), "o_orderkey").alias("doc"), F.array(F.struct(F.lit("rate").alias("field"), F.lit("number").alias("kind"), F.lit("1").alias("expected"))).alias("labels"))
     return own.unionByName(others)
 
 
